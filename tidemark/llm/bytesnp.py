@@ -128,3 +128,9 @@ def listed(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def binaries(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
+
+
+def windows_hash_of(rows: np.ndarray) -> np.ndarray:
+    """The hash that windows_hash gives each row of a byte matrix."""
+    p, _ = powers(rows.shape[1])
+    return mix((TABLE[rows] * p[: rows.shape[1]]).sum(axis=1, dtype=U))
