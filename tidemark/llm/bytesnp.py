@@ -22,6 +22,9 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation.
+GAP = SPACE.copy()
+GAP[[b for b in range(128) if not chr(b).isalnum()]] = True
 #: Bytes of text handled at a time, so that eight-byte work arrays stay small.
 CHUNK = 2 << 20
 
@@ -92,9 +95,9 @@ def pieces(buf: np.ndarray, off: np.ndarray, limit: int = CHUNK) -> Iterator[tup
         i = j
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (bytes other than white space; none crosses a row), and each row's first word."""
-    solid = ~SPACE[buf]
+def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (bytes outside gap; none crosses a row), and each row's first word."""
+    solid = ~gap[buf]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     end = solid.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, langid, minhash, sentencepiece_np, suffixes, templates
+from tidemark.llm import decontaminate, fingerprint, langid, minhash, sentencepiece_np, suffixes, templates
 from tidemark.llm.store import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.main_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), least=3, share=0.5)
