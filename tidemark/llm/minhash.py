@@ -4,10 +4,11 @@
    Documents with equal sets become one class, so copies cost one row from here on.
 2. Bands of minima make bucket keys. In a bucket every class is compared with the least one (its hub); pairs whose
    signatures agree too little are passed over, the others are confirmed on the full sets.
-3. The links' components label the classes. Buckets that still hold several components are compared again, across
-   components only and inside one task each, by signature; each class then tries its most alike partners of every
-   other component, twice as many each round, until none is untried. So no list of partners is cut, and no bucket's
-   pairs are all emitted.
+3. The links' components label the classes. Buckets that still hold several components travel once more, with texts,
+   in blocks of bounded size (a large bucket as all pairs of its blocks). In its task a block searches from component
+   to component: signatures pass pairs on, full sets confirm them, and a class that is reached is not compared with
+   its own component again. It puts out only links that join components, so no list of partners is cut and no
+   bucket's pairs are emitted.
 
 Nulls: a null text is empty; a null doc_id is kept as a row without links. Empty or blank texts have no shingles and
 link with nothing. Repeated doc_ids: rows with equal sets share a class as any others; rows with other sets stay
@@ -29,7 +30,10 @@ from tidemark.llm.store import Scratch, with_row_id
 
 #: 32 bands of 5: a pair of similarity 0.8 shares no bucket with probability 3e-6.
 BANDS, ROWS = 32, 5
+#: How much less than the wanted similarity signatures may agree: five standard deviations.
 SLACK = 0.16
+#: Classes of a bucket that meet in one task at most, twice.
+BLOCK = 1024
 _rng = np.random.Generator(np.random.PCG64(7))
 MUL = _rng.integers(0, 2**64 - 1, BANDS * ROWS, dtype=B.U) | B.U(1)
 ADD = _rng.integers(0, 2**64 - 1, BANDS * ROWS, dtype=B.U)
@@ -101,50 +105,70 @@ def _alike(least: float):
     return run
 
 
-def _across(least: float):
-    """From rows of whole buckets in order: each class's partners in other components, ranked by agreement within each component."""
-
-    def bucket(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, out: list) -> None:
-        names, comp = np.unique(comp, return_inverse=True)
-        sizes = np.bincount(comp)
-        order = np.argsort(sizes)  # small components ask the larger ones, never the largest itself
-        rank_of = np.empty(len(sizes), np.int64)
-        rank_of[order] = np.arange(len(sizes))
-        for c in order[:-1]:
-            mine, other = np.flatnonzero(comp == c), np.flatnonzero(rank_of[comp] > rank_of[c])
-            for i in mine:
-                for lo in range(0, len(other), 8192):
-                    part = other[lo : lo + 8192]
-                    share = (sig[part] == sig[i]).mean(axis=1)
-                    hit = share >= least
-                    if hit.any():
-                        p = part[hit]
-                        out.append((np.full(len(p), rep[i]), rep[p], share[hit], np.full(len(p), names[c]), names[comp[p]]))
+def search(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int, least: float) -> list[tuple[int, int]]:
+    """Links that join the components of one block. Each pair of different components is compared until they are joined."""
+    size = np.array([len(x) for x in sets])
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    mask = np.zeros(int(local.max()) + 1 if len(local) else 1, bool)
+    names, comp = np.unique(comp, return_inverse=True)
+    largest_first = np.argsort(-np.bincount(comp, minlength=len(names)), kind="stable")
+    waiting = np.ones(len(rep), bool)
+    links = []
+    for c in largest_first:
+        queue = np.flatnonzero((comp == c) & waiting).tolist()
+        waiting[queue] = False
+        left = np.flatnonzero(waiting)
+        while queue and len(left):
+            i = queue.pop()
+            near = left[(100 * np.minimum(size[left], size[i]) >= percent * np.maximum(size[left], size[i])) & ((sig[left] == sig[i]).mean(axis=1) >= least)]
+            if not len(near):
+                continue
+            own = local[at[i] : at[i + 1]]
+            mask[own] = True
+            part = np.concatenate([local[at[j] : at[j + 1]] for j in near])
+            both = np.add.reduceat(mask[part], np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+            mask[own] = False
+            reached = near[100 * both >= percent * (size[near] + size[i] - both)]
+            if len(reached):
+                which, first = np.unique(comp[reached], return_index=True)
+                links += [(int(rep[i]), int(rep[j])) for j in reached[first]]
+                new = left[np.isin(comp[left], which)]
+                queue += new.tolist()
+                waiting[new] = False
+                left = np.flatnonzero(waiting)
+    return links
+
+
+def _across(k: int, percent: int, least: float):
+    """From rows of whole blocks in order: the links found between their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        name = None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            out: list = []
-            rep, comp, sig = (np.concatenate([h[j] for h in held]) for j in (1, 2, 3))
-            bucket(rep, comp, sig, out)
-            for lo in range(0, len(out), 2000):
-                u, v, s, cu, cv = (np.concatenate([x[j] for x in out[lo : lo + 2000]]) for j in range(5))
-                yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(s, pa.float64()), pa.array(np.where(u > v, cu, cv)), pa.array(np.where(u > v, cv, cu))], names=["u", "v", "share", "cu", "cv"])
+        def flush() -> pa.RecordBatch:
+            rep, comp, sig = (np.concatenate([h[j] for h in held]) for j in range(3))
+            found = search(rep, comp, sig, [x for h in held for x in h[3]], percent, least)
+            return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, rep, comp = (batch.column(j).to_numpy() for j in range(3))
+            key, low, high, rep, comp = (batch.column(j).to_numpy() for j in range(5))
             sig = np.frombuffer(B.column(batch, "sig")[0], np.uint8).reshape(-1, BANDS * ROWS)
-            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if held and held[0][0] != key[lo]:
-                    yield from flush()
+            sets = list(shingle_sets(*B.column(batch, "text"), k))
+            new = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]])
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                this = (key[a], low[a], high[a])
+                if held and name != this:
+                    yield flush()
                     held = []
-                held.append((key[lo], rep[lo:hi], comp[lo:hi], sig[lo:hi]))
+                name = this
+                held.append((rep[a:z], comp[a:z], sig[a:z], sets[a:z]))
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
@@ -158,45 +182,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     classes = sets.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members, _ = scratch.write(sets.select("doc_id", "low", "high", "n_shingles").join(classes, ["low", "high", "n_shingles"]).select("doc_id", "n_shingles", "rep", "low", "high"))
-    reps = members.where("doc_id = rep").select("rep", "low", "high").distinct()
+    reps = members.where("doc_id = rep").select("rep", "low", "high").distinct().hint("merge")
     own, _ = scratch.write(signed.join(reps, (F.col("doc_id") == F.col("rep")) & (signed.low == reps.low) & (signed.high == reps.high), "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bands").dropDuplicates(["rep", "sig"]))
     sigs = own.select("rep", "sig")
     banded = own.select("rep", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets, _ = scratch.write(banded.join(hubs, "key").select("key", "rep", "hub"))
+    buckets, _ = scratch.write(banded.join(hubs.hint("merge"), "key").select("key", "rep", "hub"))
     low_share = percent / 100 - SLACK
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) with their texts, which travel once by u and once by v."""
         ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        need = scratch.cut(texts.where("doc_id is not null").join(ids, "doc_id", "left_semi"))
+        need = scratch.cut(texts.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi"))
         u = need.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
         v = need.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-        return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(shingle, percent), "u bigint, v bigint, linked boolean")
+        return pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(shingle, percent), "u bigint, v bigint, linked boolean")
 
     pairs = buckets.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    with_sig = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
+    with_sig = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")).hint("merge"), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")).hint("merge"), "v")
     pairs = scratch.cut(with_sig.select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(low_share), "u bigint, v bigint"))
-    tried = scratch.cut(confirmed(pairs))
-    labels = components(tried.where("linked").select("u", "v"), scratch)
-    upto = 1
-    while True:
-        placed = buckets.select("key", "rep").join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("key", "rep", F.coalesce("to", "rep").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-        rows = placed.join(mixed, "key").join(sigs, "rep").select("key", "rep", "comp", "sig").repartition("key").sortWithinPartitions("key", "rep")
-        across = rows.mapInArrow(_across(low_share), "u bigint, v bigint, share double, cu bigint, cv bigint").distinct()
-        fresh = across.join(tried.select("u", "v"), ["u", "v"], "left_anti")
-        ways = fresh.select("u", "v", "share", F.col("u").alias("asks"), F.col("cv").alias("there")).unionByName(fresh.select("u", "v", "share", F.col("v").alias("asks"), F.col("cu").alias("there")))
-        from pyspark.sql import Window
-
-        best = ways.withColumn("r", F.row_number().over(Window.partitionBy("asks", "there").orderBy(F.desc("share"), "u", "v"))).where(F.col("r") <= upto)
-        more = scratch.cut(best.select("u", "v").distinct())
-        if more.isEmpty():
-            break
-        found = scratch.cut(confirmed(more))
-        tried = scratch.cut(tried.unionByName(found))
-        labels = components(labels.unionByName(found.where("linked").select("u", "v")), scratch)
-        upto *= 2
+    links = scratch.cut(confirmed(pairs).where("linked").select("u", "v"))
+    labels = components(links, scratch)
+    placed = buckets.select("key", "rep").join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("key", "rep", F.coalesce("to", "rep").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a < b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = placed.join(mixed, "key").withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "comp")
+    fat = texts.where("doc_id is not null").join(rows.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+    fat = scratch.cut(fat.join(sigs.dropDuplicates(["rep"]).hint("merge"), "rep"))
+    across = rows.join(fat.hint("merge"), "rep").select("key", "low", "high", "rep", "comp", "sig", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    more = scratch.cut(across.mapInArrow(_across(shingle, percent, low_share), "u bigint, v bigint").distinct())
+    if not more.isEmpty():
+        labels = components(labels.unionByName(more), scratch)
     grouped = members.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("doc_id", "low", "high", "n_shingles", F.coalesce("to", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
