@@ -6,6 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "weekly_features"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers the decorated function under its name, with the SQL that DuckDB answers alike."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def load() -> None:
+    from tidemark.queries import backtest, distribution, evaluation, modelling, series, storage  # noqa: F401
