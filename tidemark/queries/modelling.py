@@ -1 +1,177 @@
-"""Queries."""
+"""Model fits and walk-forward runs. Closed forms are checked by SQL; iterative fits have tests of their own."""
+
+from __future__ import annotations
+
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.catalog import query
+from tidemark.plans import walkforward as WF
+from tidemark.queries.distribution import FORECAST, forecast
+from tidemark.queries.series import RETURNS, WEEKLY_RETURNS, by_week, daily_returns, r6, weekly_returns_df
+from tidemark.sources import tables as T
+
+XY = f"{FORECAST}, p AS (SELECT series_id, week, q4 AS x, y FROM fc)"
+
+
+def pairs(spark, d) -> DataFrame:
+    return forecast(spark, d).select("series_id", "week", F.col("q4").alias("x"), "y")
+
+
+@query(f"{XY}, m AS (SELECT series_id, avg(x) AS mx, avg(y) AS my, avg(x * y) - avg(x) * avg(y) AS cxy, avg(x * x) - avg(x) * avg(x) AS cxx, count(*) AS n FROM p GROUP BY 1) SELECT series_id, round(cxy / (cxx + 0.01::DOUBLE / n), 6) AS slope, round(my - mx * cxy / (cxx + 0.01::DOUBLE / n), 6) AS intercept FROM m")
+def ridge(spark, d):
+    """One regressor, penalty 0.01 on the slope only, from moment sums."""
+    m = pairs(spark, d).groupBy("series_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("cxy"), F.var_pop("x").alias("cxx"), F.count("*").alias("n"))
+    slope = F.col("cxy") / (F.col("cxx") + F.lit(0.01) / F.col("n"))
+    return m.select("series_id", r6(slope, "slope"), r6(F.col("my") - F.col("mx") * slope, "intercept"))
+
+
+@query(f"{WEEKLY_RETURNS}, l AS (SELECT series_id, week, r, coalesce(lag(r) OVER (PARTITION BY series_id ORDER BY week), 0) AS b FROM r WHERE r IS NOT NULL) SELECT series_id, round(greatest(-1, least(1, sum(r * b) / sum(b * b))), 6) AS c FROM l GROUP BY 1")
+def residual_persistence(spark, d):
+    """Slope through the origin on the row before (0 for the first), clipped to [-1, 1]."""
+    rows = weekly_returns_df(spark, d).where("r is not null").withColumn("b", F.coalesce(F.lag("r").over(by_week()), F.lit(0.0)))
+    c = F.try_divide(F.sum(F.col("r") * F.col("b")), F.sum(F.col("b") * F.col("b")))
+    return rows.groupBy("series_id").agg(r6(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)), "c"))
+
+
+DIMS = 4
+
+
+@query("WITH e AS (SELECT label, vec_id, unnest(generate_series(1, 4)) AS i, embedding FROM embeddings), v AS (SELECT label, vec_id, i, embedding[i]::DOUBLE AS x, 1.0::DOUBLE + vec_id % 3 AS w FROM e), m AS (SELECT label, i, sum(w * x) / sum(w) AS m FROM v GROUP BY 1, 2), c AS (SELECT a.label, a.i, b.i AS j, sum(a.w * (a.x - ma.m) * (b.x - mb.m)) / sum(a.w) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id JOIN m ma ON ma.label = a.label AND ma.i = a.i JOIN m mb ON mb.label = b.label AND mb.i = b.i GROUP BY 1, 2, 3) SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(c, 6) AS cov FROM c")
+def weighted_covariance(spark, d):
+    """Moment sums of four dimensions by label in one aggregation; no pairing of rows."""
+    e = T.table(spark, d, "embeddings").select("label", (F.lit(1.0) + F.col("vec_id") % 3).alias("w"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIMS)])
+    mean = e.groupBy("label").agg(*[(F.sum(F.col("w") * F.col(f"x{k}")) / F.sum("w")).alias(f"m{k}") for k in range(DIMS)])
+    c = e.join(F.broadcast(mean), "label")
+    apart = [F.col(f"x{k}") - F.col(f"m{k}") for k in range(DIMS)]
+    wide = c.groupBy("label").agg(*[(F.sum(F.col("w") * apart[i] * apart[j]) / F.sum("w")).alias(f"c{i}{j}") for i in range(DIMS) for j in range(DIMS)])
+    cells = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.round(f"c{i}{j}", 6).alias("cov")) for i in range(DIMS) for j in range(DIMS)])
+    return wide.select("label", F.explode(cells).alias("c")).select("label", "c.i", "c.j", "c.cov")
+
+
+MU, SD, STAY = [-0.25, 0.0, 0.25], [0.3, 0.15, 0.3], 0.9
+EMIT = [f"exp(-0.5::DOUBLE * ((r - ({m}::DOUBLE)) / {s}::DOUBLE) * ((r - ({m}::DOUBLE)) / {s}::DOUBLE)) / {s}::DOUBLE" for m, s in zip(MU, SD, strict=True)]
+MOVE = [f"{EMIT[k].replace('r -', 'n.r -')} * (0.9::DOUBLE * a{k + 1} + 0.05::DOUBLE * (1 - a{k + 1}))" for k in range(3)]
+
+
+@query(
+    f"""{WEEKLY_RETURNS.replace('WITH prices', 'WITH RECURSIVE prices', 1)}, n AS (SELECT series_id, week, r, row_number() OVER (PARTITION BY series_id ORDER BY week) AS i FROM r WHERE r IS NOT NULL),
+f AS (SELECT series_id, week, i, b1 / (b1 + b2 + b3) AS a1, b2 / (b1 + b2 + b3) AS a2, b3 / (b1 + b2 + b3) AS a3 FROM (SELECT series_id, week, i, {EMIT[0]} AS b1, {EMIT[1]} AS b2, {EMIT[2]} AS b3 FROM n WHERE i = 1) UNION ALL
+SELECT series_id, week, i, b1 / (b1 + b2 + b3), b2 / (b1 + b2 + b3), b3 / (b1 + b2 + b3) FROM (SELECT n.series_id, n.week, n.i, {MOVE[0]} AS b1, {MOVE[1]} AS b2, {MOVE[2]} AS b3 FROM f JOIN n ON n.series_id = f.series_id AND n.i = f.i + 1) x)
+SELECT series_id, week, round(a1, 5) AS p1, round(a2, 5) AS p2, round(a3, 5) AS p3 FROM f"""
+)
+def hmm_filter(spark, d):
+    """Filtered probabilities of three fixed states, as one fold over each series' sorted rows."""
+    rows = weekly_returns_df(spark, d).where("r is not null")
+    zero = F.array().cast("array<struct<week:date,p1:double,p2:double,p3:double>>")
+
+    def step(acc, x):
+        last = F.get(acc, F.size(acc) - 1)
+        raw = []
+        for k, (m, s) in enumerate(zip(MU, SD, strict=True)):
+            z = (x["r"] - m) / s
+            before = last[f"p{k + 1}"]
+            raw.append(F.exp(-0.5 * z * z) / s * F.when(F.size(acc) == 0, 1.0).otherwise(STAY * before + (1 - STAY) / 2 * (1 - before)))
+        total = raw[0] + raw[1] + raw[2]
+        return F.concat(acc, F.array(F.struct(x["week"].alias("week"), *[(v / total).alias(f"p{k + 1}") for k, v in enumerate(raw)])))
+
+    path = rows.groupBy("series_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("week", "r"))), zero, step).alias("path"))
+    return path.select("series_id", F.explode("path").alias("p")).select("series_id", "p.week", *[F.round(f"p.p{k}", 5).alias(f"p{k}") for k in (1, 2, 3)])
+
+
+@query(f"{RETURNS} SELECT series_id, obs_date, round(r / nullif(lag(r) OVER (PARTITION BY series_id ORDER BY obs_date), 0), 4) AS ratio FROM r WHERE r IS NOT NULL")
+def residual_ratio(spark, d):
+    rows = daily_returns(spark, d).where("r is not null")
+    return rows.select("series_id", "obs_date", F.round(F.try_divide(F.col("r"), F.lag("r").over(Window.partitionBy("series_id").orderBy("obs_date"))), 4).alias("ratio"))
+
+
+@query()
+def pca_2d(spark, d):
+    """Two shrunk components of each label's embeddings."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        from tidemark.models.pca import two_components
+
+        pdf = pdf.sort_values("vec_id")
+        s = two_components(np.stack(pdf["embedding"].to_numpy()).astype(float)[:, :10])
+        return pd.DataFrame({"label": pdf["label"], "vec_id": pdf["vec_id"], "pc1": s[:, 0].round(6), "pc2": s[:, 1].round(6)})
+
+    return T.table(spark, d, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(fit, "label int, vec_id long, pc1 double, pc2 double")
+
+
+@query()
+def hmm_fit(spark, d):
+    """Each start of each series is one task; the best likelihood wins, the first of equals."""
+    return WF.best_hmm(weekly_returns_df(spark, d), restarts=6, iterations=60)
+
+
+@query()
+def quantile_regression(spark, d):
+    """Joint non-crossing fit of each series: coefficients by level."""
+    return WF.quantile_fits(pairs(spark, d))
+
+
+@query()
+def panel_quantile_regression(spark, d):
+    return WF.panel_fit(pairs(spark, d))
+
+
+@query()
+def panel_spread_regression(spark, d):
+    return WF.spread_fit(pairs(spark, d))
+
+
+@query()
+def student_t_law(spark, d):
+    return WF.student_fits(pairs(spark, d))
+
+
+@query()
+def har_sigma(spark, d):
+    return WF.har_fits(daily_returns(spark, d))
+
+
+@query()
+def garch_family(spark, d):
+    """Exponential and threshold models, normal and t laws, of weekly returns: one task each."""
+    return WF.garch_fits(weekly_returns_df(spark, d).where("r is not null"))
+
+
+@query()
+def mle_tail(spark, d):
+    return WF.tail_fits(weekly_returns_df(spark, d).where("r is not null"))
+
+
+@query()
+def isotonic_recalibration(spark, d):
+    return WF.isotonic_fits(pairs(spark, d))
+
+
+@query()
+def walkforward(spark, d):
+    """Every 26th week: fit on rows at least 14 weeks older, predict the week. The rows are broadcast once, if they are few."""
+    return WF.run(pairs(spark, d), embargo=14, min_train=60, every=26)
+
+
+@query()
+def challenger_run(spark, d):
+    """Refit each 13 weeks with the parameters before as the start, so each series is one sequential task."""
+    return WF.challenger(pairs(spark, d), every=39, min_train=80, embargo=14)
+
+
+@query()
+def hypotheses(spark, d):
+    return WF.hypotheses(pairs(spark, d))
+
+
+@query()
+def nonfinite_audit(spark, d):
+    """First stage and week at which a value of the volatility pipeline isn't finite, by series."""
+    r = weekly_returns_df(spark, d)
+    stages = F.array(F.struct(F.lit(1).alias("stage"), F.col("value").alias("v")), F.struct(F.lit(2).alias("stage"), F.col("r").alias("v")), F.struct(F.lit(3).alias("stage"), F.when(F.col("r") != 0, F.ln(F.abs("r"))).alias("v")))
+    bad = r.select("series_id", "week", F.explode(stages).alias("s")).where("s.v is null or isnan(s.v)")
+    return bad.groupBy("series_id").agg(F.min(F.struct("s.stage", "week")).alias("first")).select("series_id", "first.stage", "first.week")
+
+
