@@ -46,11 +46,21 @@ class Words:
     """Distinct words of some texts, and their grams, ragged: hashes, then rows of the tables of known ones."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None):
-        start, end, self.first = B.words(buf, off, B.GAP)
-        pre = B.prefix(buf, B.FOLDED)
-        h, at, self.of = np.unique(B.spans_hash(pre, start, end), return_index=True, return_inverse=True)
-        s, n = start[at], end[at] - start[at]
-        self.hash = h
+        starts, sizes, hashes, firsts, seen, byte = [], [], [], [np.zeros(1, np.int64)], 0, 0
+        for _, _, b, o in B.pieces(buf, off):
+            start, end, first = B.words(b, o, B.GAP)
+            hashes.append(B.spans_hash(B.prefix(b, B.FOLDED), start, end))
+            starts.append(start + byte)
+            sizes.append(end - start)
+            firsts.append(first[1:] + seen)
+            seen, byte = seen + len(start), byte + len(b)
+        self.first = np.concatenate(firsts)
+        z = np.zeros(0, np.int64)
+        self.hash, at, of = np.unique(np.concatenate([*hashes, z.astype(B.U)]), return_index=True, return_inverse=True)
+        self.of = of.astype(np.int32)
+        from_, n = np.concatenate([*starts, z])[at], np.concatenate([*sizes, z])[at]
+        s = np.cumsum(n) - n
+        pre = B.prefix(buf[np.repeat(from_ - s, n) + np.arange(int(n.sum()))], B.FOLDED)  # of the distinct words alone
         grams, owner = [], []
         for k in STARTS:
             own = np.flatnonzero(n >= k)
@@ -225,26 +235,21 @@ SIGNIFICANT = 2.5
 
 def vocabulary(w: Words, toxic: np.ndarray) -> tuple[tuple, tuple]:
     """Hashes of words and grams of at least SEEN texts, sorted; and how significantly each marks toxic texts, by row."""
-    text = np.repeat(np.arange(len(toxic)), np.diff(w.first))
-    pairs = np.unique(w.of.astype(np.int64) * len(toxic) + text)
-    word, text = pairs // len(toxic), pairs % len(toxic)
     n = np.bincount(w.owner, minlength=len(w.hash))
     begin = np.concatenate([[0], np.cumsum(n)])
+    names, code = np.unique(w.gram_hash, return_inverse=True)
+    found = [np.zeros((2, len(w.hash))), np.zeros((2, len(names)))]
+    for i, (lo, hi) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+        word = np.unique(w.of[lo:hi])
+        size = n[word]
+        grams = np.unique(code[np.repeat(begin[word] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        found[0][toxic[i], word] += 1
+        found[1][toxic[i], grams] += 1
     keys, odds = [], []
     ratio = toxic.sum() / max(1, (1 - toxic).sum())
-    for kind in range(2):
-        if kind:
-            names, code = np.unique(w.gram_hash, return_inverse=True)
-            size = n[word]
-            spread = np.repeat(begin[word] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            pairs = np.unique(code[spread].astype(np.int64) * len(toxic) + np.repeat(text, size))
-            which, where = pairs // len(toxic), pairs % len(toxic)
-        else:
-            names, which, where = w.hash, word, text
-        hit = np.bincount(which, toxic[where], len(names))
-        miss = np.bincount(which, 1 - toxic[where], len(names))
+    for own, (miss, hit) in zip((w.hash, names), found, strict=True):
         ok = hit + miss >= SEEN
-        keys.append(names[ok])
+        keys.append(own[ok])
         odds.append(np.concatenate([[-9], ((hit - 2 * ratio * (miss + 0.5)) / np.sqrt(hit + 1))[ok]]))
     return tuple(keys), tuple(odds)
 
@@ -332,14 +337,17 @@ def score_rows(p: dict | None, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _run(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        model = pickle.loads(shared.value) if shared.value else None
         for batch in batches:
-            score = score_rows(shared.value, *B.column(batch, "text"))
+            score = score_rows(model, *B.column(batch, "text"))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1200) -> DataFrame:
     """(doc_id, held_out, score, predicted). It learns from about `sample` labelled documents of each kind whose crc32(doc_id) mod 5 is not 0."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
@@ -349,7 +357,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> DataFram
     share = F.when(F.col("toxic") > 0, min(1.0, sample / sizes.get(1, 1))).otherwise(min(1.0, sample / sizes.get(0, 1)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    model = train(rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(int))
-    shared = spark.sparkContext.broadcast(model)
+    rows = texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+
+    def learn(pdf):
+        import pickle
+
+        import pandas as pd
+
+        pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
+        return pd.DataFrame({"model": [pickle.dumps(train(pdf["text"].tolist(), (pdf["toxic"].to_numpy() > 0).astype(int)))]})
+
+    # One task holds the bounded sample; the driver gets the weights only.
+    found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: learn(pdf), "model binary").collect()
+    shared = spark.sparkContext.broadcast(found[0]["model"] if found else None)
     return texts.select("doc_id", held.alias("held_out"), "text").mapInArrow(_run(shared), f"doc_id {kind}, held_out boolean, score double, predicted int")
