@@ -203,7 +203,7 @@ def per_document(doc: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((values[0], doc))
     doc = doc[order]
     begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    end = np.append(begin[1:], len(doc))
+    end = np.append(begin[1:], len(doc))[: len(begin)]
     table = np.stack([v[order] for v in values], axis=1).astype("<u8")
     return pa.record_batch([pa.array(doc[begin]), B.binaries([table[a:z].tobytes() for a, z in zip(begin, end, strict=True)])], names=["doc_id", "places"])
 
