@@ -114,6 +114,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 def _order(key: np.ndarray, count: np.ndarray, shift: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Discounted probability of each entry; contexts and their backoff weights. Keys are in order."""
+    if not len(key):
+        return np.zeros(0), key, np.zeros(0)
     context = key >> np.uint32(shift)
     begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     total = np.add.reduceat(count, begin)
@@ -149,9 +151,11 @@ class Model:
 
     @staticmethod
     def find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         at = np.searchsorted(table, x)
         at[at == len(table)] = 0
-        return at, table[at] == x if len(table) else np.zeros(len(x), bool)
+        return at, table[at] == x
 
     def weight(self, contexts: np.ndarray, back: np.ndarray, x: np.ndarray) -> np.ndarray:
         at, ok = self.find(contexts, x)

@@ -65,6 +65,8 @@ class Model:
 
 def score_words(vocab: Pieces, model: Model, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.zeros((len(start), len(model.langs)))
+    if not model.langs:
+        return out
     for lo in range(0, len(start), 1 << 17):
         b, s, e = spaced(buf, start[lo : lo + (1 << 17)], end[lo : lo + (1 << 17)])
         for which, matrix in by_length(b, s, e, 1 << 13):
