@@ -1,8 +1,10 @@
 """Every query with an oracle against DuckDB on the smallest tables; every other query gives a stable schema."""
 
 import math
+import numbers
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -29,7 +31,9 @@ def rows(df: pd.DataFrame) -> list[tuple]:
             return ""
         if hasattr(v, "isoformat"):
             return v.isoformat()[:10]
-        return f"{v + 0.0:.4f}".replace("-0.0000", "0.0000") if isinstance(v, float) else str(v)
+        if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)):
+            return f"{v + 0.0:.4f}".replace("-0.0000", "0.0000")
+        return str(v)
 
     return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
