@@ -1,6 +1,5 @@
 """Every query with an oracle against DuckDB on the smallest tables; every other query gives a stable schema."""
 
-import math
 import numbers
 import os
 
@@ -27,7 +26,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if np.isscalar(v) and pd.isna(v) or v is None or v is pd.NA or v is pd.NaT:
             return ""
         if hasattr(v, "isoformat"):
             return v.isoformat()[:10]
