@@ -175,3 +175,12 @@ def nonfinite_audit(spark, d):
     return bad.groupBy("series_id").agg(F.min(F.struct("s.stage", "week")).alias("first")).select("series_id", "first.stage", "first.week")
 
 
+
+
+@query()
+def weekly_output(spark, d):
+    """The nested weekly record of each series and week."""
+    from tidemark.plans import inference
+    from tidemark.queries.distribution import KNOTS, SCORES, missing_guard
+
+    return inference.records(forecast(spark, d), missing_guard(spark, d), KNOTS, SCORES)
