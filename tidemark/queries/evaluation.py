@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.operators import alignment as A
 from tidemark.operators import evaluate as V
-from tidemark.operators import windows as W
 from tidemark.queries.distribution import FORECAST, forecast
 from tidemark.queries.series import ID, RETURNS, WEEKLY, WEEKLY_RETURNS, by_week, daily_returns, r6, weekly_prices, weekly_returns_df
 from tidemark.sources import tables as T
