@@ -46,5 +46,8 @@ class Scratch:
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text, as bigint and string, whatever else the table has."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Only doc_id and text, as bigint and string, whatever else the table has. Columns that are so already get no alias,
+    so that equal plans over them stay equal and share their exchanges."""
+    kinds = dict(docs.dtypes)
+    wanted = {"doc_id": "bigint", "text": "string"}
+    return docs.select(*[F.col(c) if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in wanted.items()])

@@ -167,6 +167,9 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch of documents in a range: places of hashes that occur elsewhere too."""
     for rows in _grouped(batches):
+        if rows[0]["r"] < 0:
+            yield pa.record_batch([pa.array([x["chunk"] for x in rows], pa.int64()), B.binaries([x["body"] for x in rows])], names=["chunk", "body"])
+            continue
         bodies, heads = [], []
         for x in rows:
             n = len(x["body"]) // 15
@@ -441,20 +444,19 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_RANGE))
     sampled = known.select("doc_id", "text").mapInArrow(_sample(window, ranges), "r int, chunk bigint, body binary, docs binary, heads binary")
-    sampled, sampled_at = scratch.write(sampled)
-    away = sampled.where("r >= 0").repartition(ranges, "r").sortWithinPartitions("r").select("r", "chunk", "body", "docs", "heads").mapInArrow(_shared, "chunk bigint, body binary")
-    places = away.unionByName(sampled.where("r < 0").select("chunk", "body"))
+    target = F.when(F.col("r") >= 0, F.col("r").cast("bigint")).otherwise(F.col("chunk"))
+    places = sampled.repartition(ranges, target).sortWithinPartitions("r").select("r", "chunk", "body", "docs", "heads").mapInArrow(_shared, "chunk bigint, body binary")
     places = scratch.cut(places.repartition("chunk").sortWithinPartitions("chunk").select("chunk", "body").mapInArrow(_by_document, "doc_id bigint, places binary"))
-    scratch.drop(sampled_at)
     joined_places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     copies = known.select("doc_id", "tk", F.sha2("text", 256).alias("digest"))
     firsts = copies.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.cut(copies.join(firsts, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("tk").alias("copies")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_RANGE))
-    dealt = texts.repartition(parts, "doc_id")
+    dealt = texts.where("doc_id is not null").repartition(parts, "doc_id")  # read by both joins below, dealt once
     with_places = dealt.join(joined_places, "doc_id").join(copies, "doc_id", "left").where("copies is null or not array_contains(copies, tk)")
-    runs = scratch.cut(with_places.select("doc_id", "text", "tk", "places").mapInArrow(_runs(window, ranges), "r int, shared binary, rest binary, load binary"))
+    runs = with_places.select("doc_id", "text", "tk", "places").mapInArrow(_runs(window, ranges), "r int, shared binary, rest binary, load binary")
     merged = runs.repartition(ranges, F.when(F.col("r") >= 0, F.col("r")).otherwise(F.crc32("load"))).sortWithinPartitions("r").select("r", "shared", "rest", "load").mapInArrow(_merge(window), "doc_id bigint, places binary")
     gone = merged.groupBy("doc_id").agg(F.collect_list("places").alias("gone"))
     ready = dealt.join(gone, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "tk", "gone", F.coalesce(F.array_contains("copies", F.col("tk")), F.lit(False)).alias("copy"))
-    return ready.mapInArrow(_cut(window), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    nameless = texts.where("doc_id is null").select("doc_id", "text", "tk", F.lit(None).cast("array<binary>").alias("gone"), F.lit(False).alias("copy"))
+    return ready.unionByName(nameless).mapInArrow(_cut(window), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
