@@ -30,3 +30,35 @@ def test_unclosed_article_and_markup():
     page = templates.tokens("<html><body><article><p>One<p>Two<footer>no</footer>")
     assert templates.extract(page, None) == "One\nTwo"
     assert templates.extract(templates.tokens("<p>a < b and c</p><!-- never ends"), None) == "a < b and c"
+
+
+def texts_of(page, n=8):
+    pages = [templates.tokens(page.replace("{k}", "abcdefgh"[k])) for k in range(n)]
+    template = templates.deduce(pages) if n >= templates.SUPPORT else None
+    return [templates.extract(p, template) for p in pages]
+
+
+def test_template_text_inside_an_article_goes():
+    page = "<body><nav>Top</nav><article><h1>Head {k}</h1><p>Tell your friends</p><p>Story {k}</p><p>More {k}</p><div>Made with care</div></article></body>"
+    assert texts_of(page) == [f"Head {c}\nStory {c}\nMore {c}" for c in "abcdefgh"]
+    assert texts_of(page, 1) == ["Head a\nTell your friends\nStory a\nMore a\nMade with care"]
+
+
+def test_notice_on_some_pages_inside_an_article_goes():
+    page = "<body><article><p>Story {k}</p>{n}<p>End {k}</p></article></body>"
+    pages = [templates.tokens(page.replace("{k}", c).replace("{n}", "<p>Closed on Monday</p>" if c < "i" else "")) for c in "abcdefghi"]
+    template = templates.deduce(pages)
+    assert [templates.extract(p, template) for p in pages] == [f"Story {c}\nEnd {c}" for c in "abcdefghi"]
+
+
+def test_equal_pages_are_not_their_own_template(spark):
+    page = "<body><article><p>One story</p></article></body>"
+    out = templates.main_text(spark.createDataFrame([(k, f"http://c.example/{k}", page) for k in range(6)], "page_id bigint, url string, html string")).collect()
+    assert [r["text"] for r in out] == ["One story"] * 6
+
+
+def test_cards_do_not_hide_the_main_text():
+    cards = "<article><p>See {k}1</p></article><article><p>See {k}2</p></article>"
+    page = "<body><div><p>A long story about {k} that goes on and on</p><p>and on about {k}</p></div>" + cards + "</body>"
+    want = [f"A long story about {c} that goes on and on\nand on about {c}" for c in "abcdefgh"]
+    assert texts_of(page) == want and texts_of(page, 2) == want[:2]

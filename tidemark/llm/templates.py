@@ -1,15 +1,20 @@
 """Main text of web pages by template deduction over pages of one host.
 
-A page is a sequence of tokens, each a tag or a text with the path of its open elements. Over a group of pages of one
+A page is a sequence of tokens, each a tag or a block of text with the path of its open elements. Over a group of pages of one
 host, tokens that occur equally often on every page share an occurrence vector and form an equivalence class. A class
 is valid if its vector has support (occurs on enough pages), and on each page its members come in one order, cycle by
-cycle; classes are nested into the template where one lies inside one gap of another. Gaps between members of the
-template are slots. A slot is dropped if an element around it has a page role other than the article's (by tag, role,
-id or class), or if its text is itself part of the template; if the template has an article element, slots outside
-it are dropped too. What remains, in page order, is the main text.
+cycle; each cycle lies inside one gap of the classes before it, or holds whole cycles of theirs. A text with support is
+a class of its own if it fits in no other. Valid classes are the template; inside article elements a text needs the
+support of INSIDE pages, so what repeats in the articles of a group of fewer pages stays. What lies between two
+template tokens is a slot; gaps between the same two tokens are one slot.
+
+Roles choose among slots. Texts under an element of another role than the article's are dropped: by tag, ARIA role or
+hiding, or by a word of its id or class. Of the rest the texts in article elements are the main text, unless one slot outside holds more than all of them: several articles are
+then cards, and what is outside is the main text; a single one stays beside it. Without articles all the rest is taken.
 
 Groups: a host's pages are dealt into groups of about GROUP pages by a hash of page_id, so that no host is one task.
-A group of fewer than SUPPORT pages has no vectors to compare; each of its elements counts as template then.
+Equal pages count once. A group of fewer than SUPPORT different pages has no vectors to compare: nothing is template
+then, and the texts of elements with the same labels around them are one slot.
 
 Blocks are texts between block-level tags; white space inside a block becomes one space, blocks are joined by one line
 feed, character references are decoded. Nulls: null html is empty; a null url is a host of its own; a null page_id
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP, SUPPORT = 48, 4
+#: Pages that a text inside an article must be on: there it is presumed to be content.
+INSIDE = 8
 #: Hosts of more than GROUP pages that may be broadcast.
 MANY_HOSTS = 100_000
 
@@ -54,37 +62,43 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPES = {"ul", "ol", "dl", "table", "select", "article", "div", "section", "body"}
 
 
-def element(name: str, tag: str) -> tuple[str, bool, bool]:
-    """(label, has another role than the article's, is the article)."""
-    marks, other, article = "", name in OTHER_ROLE, name in ("article", "main")
-    if len(tag) > len(name) + 2:
-        for key, value in ATTRIBUTE.findall(tag):
-            key, value = key.lower(), value.strip("\"'")
-            if key == "role":
-                other |= value.lower() in OTHER_ARIA
-                article |= value.lower() in ("main", "article")
-            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-                other = True
-            elif key == "style":
-                other |= "display:none" in value.replace(" ", "").lower()
-            elif key in ("class", "id") and value:
-                marks += "." + value
-                other |= bool(OTHER_NAME.search(value))
-                article |= key == "class" and name not in ("body", "html") and bool(ARTICLE_NAME.search(value))
-    return name + marks, other, article and not other
-
-
-def tokens(page: str) -> list[tuple[str, str, tuple, int]]:
-    """(kind, value, open elements, block) in page order; kind is a tag's '<' or '>', or 't' for text."""
-    out, path, block, at = [], (), 0, 0
+class Element:
+    """An open element: its label and those around it, and the roles that its tag, attributes, class or id give it."""
+
+    __slots__ = ("article", "label", "labels", "other")
+
+    def __init__(self, name: str, tag: str, around: tuple):
+        marks, other, article = "", name in OTHER_ROLE, name in ("article", "main")
+        if len(tag) > len(name) + 2:
+            for key, value in ATTRIBUTE.findall(tag):
+                key, value = key.lower(), value.strip("\"'")
+                if key == "role":
+                    other |= value.lower() in OTHER_ARIA
+                    article |= value.lower() in ("main", "article")
+                elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+                    other = True
+                elif key == "style":
+                    other |= "display:none" in value.replace(" ", "").lower()
+                elif key in ("class", "id") and value:
+                    marks += "." + value
+                    other |= bool(OTHER_NAME.search(value))
+                    article |= key == "class" and name not in ("body", "html") and bool(ARTICLE_NAME.search(value))
+        self.label, self.other, self.article = name + marks, other, article and not other
+        self.labels = (*(around[-1].labels if around else ()), self.label)
+
+
+def tokens(page: str) -> list[tuple[str, str, tuple]]:
+    """(kind, value, open elements) in page order; kind is a tag's '<' or '>', or 't' for a block's text."""
+    out, path, at = [], (), 0
+    parts: list[str] = []
     names: list[str] = []
     stack: list[tuple] = []
 
-    def text(piece: str) -> None:
-        if piece and not piece.isspace():
-            out.append(("t", piece, path, block))
-        elif piece:
-            out.append(("s", piece, path, block))
+    def close() -> None:
+        value = "".join(parts)
+        parts.clear()
+        if value and not value.isspace():
+            out.append(("t", value, path))
 
     def pop(to: int) -> None:
         nonlocal path
@@ -94,7 +108,7 @@ def tokens(page: str) -> list[tuple[str, str, tuple, int]]:
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            text(page[at : m.start()])
+            parts.append(page[at : m.start()])
         at = m.end()
         tag = m.group()
         found = NAME.match(tag)
@@ -103,13 +117,13 @@ def tokens(page: str) -> list[tuple[str, str, tuple, int]]:
         name = found.group(1).lower()
         if name in INLINE:
             if name == "br":
-                out.append(("s", " ", path, block))
+                parts.append(" ")
             continue
-        block += 1
+        close()
         if tag[1] == "/":
             if name in names:
                 to = len(names) - 1 - names[::-1].index(name)
-                out.append((">", path[to][0], path[:to], block))
+                out.append((">", path[to].label, path[:to]))
                 pop(to)
             continue
         if name in CLOSES_PARAGRAPH and "p" in names:
@@ -120,43 +134,49 @@ def tokens(page: str) -> list[tuple[str, str, tuple, int]]:
                 break
             if names[i] in SCOPES:
                 break
-        label = element(name, tag)
-        out.append(("<", label[0], path, block))
+        opened = Element(name, tag, path)
+        out.append(("<", opened.label, path))
         if name not in VOID and not tag.endswith("/>"):
             names.append(name)
             stack.append(path)
-            path = (*path, label)
+            path = (*path, opened)
     if at < len(page):
-        text(page[at:])
+        parts.append(page[at:])
+    close()
     return out
 
 
+def key_of(kind: str, value: str, path: tuple) -> tuple:
+    return kind, SPACE.sub(" ", value).strip() if kind == "t" else value, path[-1].labels if path else ()
+
+
 def deduce(pages: list[list[tuple]]) -> set[tuple]:
     """Template tokens of a group, as (kind, value, labels of the open elements)."""
+    articles: set[tuple] = set()
     vectors: dict[tuple, dict[int, int]] = defaultdict(dict)
     places: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for p, page in enumerate(pages):
         seen: Counter = Counter()
-        for i, (kind, value, path, _) in enumerate(page):
-            if kind == "s":
-                continue
-            key = (kind, value.strip() if kind == "t" else value, tuple(x[0] for x in path))
+        for i, (kind, value, path) in enumerate(page):
+            key = key_of(kind, value, path)
+            if kind == "t" and any(x.article for x in path):
+                articles.add(key)
             seen[key] += 1
             places[key][p].append(i)
         for key, n in seen.items():
             vectors[key][p] = n
-    least = max(SUPPORT, (len(pages) + 1) // 2)
+    half = (len(pages) + 1) // 2
     classes: dict[tuple, list[tuple]] = defaultdict(list)
     for key, v in vectors.items():
-        if len(v) >= least:
+        if len(v) >= max(INSIDE if key in articles else SUPPORT, half):
             classes[tuple(sorted(v.items()))].append(key)
-    template: set[tuple] = set()
-    spans: list[tuple[dict, list]] = []
-    for vector, members in sorted(classes.items(), key=lambda c: (-len(c[0]), len(c[1]))):
+    template: set[tuple] = {key for members in classes.values() for key in members if key[0] == "t"}
+    spans: list[tuple[int, dict[int, list[int]]]] = []
+    for vector, members in sorted(classes.items(), key=lambda c: (-len(c[0]), -len(c[1]))):
         good = ordered(vector, members, places)
         if len(good) >= 2 and nested(vector, good, places, spans):
             template.update(good)
-            spans.append((dict(vector), good))
+            spans.append((len(good), {p: sorted(i for key in good for i in places[key][p]) for p, _ in vector}))
     return template
 
 
@@ -173,53 +193,67 @@ def ordered(vector: tuple, members: list[tuple], places: dict) -> list[tuple]:
 
 
 def nested(vector: tuple, members: list[tuple], places: dict, spans: list) -> bool:
-    """Each cycle of the class lies inside one gap of every class that is in the template already."""
-    for _, outer in spans:
+    """Each cycle of the class lies inside one gap of every class that is in the template already, or holds whole cycles of it."""
+    for size, marks in spans:
         for p, n in vector:
-            marks = sorted(i for key in outer for i in places[key].get(p, ()))
+            own = marks.get(p, [])
             for c in range(n):
-                lo, hi = places[members[0]][p][c], places[members[-1]][p][c]
-                if any(lo < i < hi for i in marks) and not all(lo < i < hi for i in marks):
-                    if not any(key[0] != "t" for key in members):
-                        return False
+                lo, hi = bisect_right(own, places[members[0]][p][c]), bisect_left(own, places[members[-1]][p][c])
+                if lo < hi and (lo % size or hi % size):
+                    return False
     return True
 
 
-def extract(page: list[tuple], template: set[tuple] | None) -> str:
-    in_article = any(kind == "t" and any(x[2] for x in path) for kind, _, path, _ in page)
-    blocks: list[str] = []
-    now, parts = None, []
+def slots(page: list[tuple], template: set[tuple] | None) -> list[tuple]:
+    """(index, slot, path, length) of each text that is not template: slots have a name from the template tokens on both sides."""
+    out: list[tuple] = []
+    held: list[tuple] = []
+    last = None
+    for i, (kind, value, path) in enumerate(page):
+        key = key_of(kind, value, path)
+        if template is not None and key in template:
+            out.extend((j, (last, key), at, n) for j, at, n in held)
+            held, last = [], key
+        elif kind == "t":
+            if template is None:
+                out.append((i, key[2], path, len(value)))
+            else:
+                held.append((i, path, len(value)))
+    out.extend((j, (last, None), at, n) for j, at, n in held)
+    return out
 
-    def close() -> None:
-        if parts:
-            line = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            if line:
-                blocks.append(line)
-            parts.clear()
-
-    for kind, value, path, block in page:
-        if kind not in "ts":
-            continue
-        if block != now:
-            close()
-            now = block
-        if kind == "s":
-            if parts:
-                parts.append(" ")
-            continue
-        if any(x[1] for x in path) or (in_article and not any(x[2] for x in path)):
-            continue
-        if template and not any(x[2] for x in path) and ("t", value.strip(), tuple(x[0] for x in path)) in template:
-            continue
-        parts.append(value)
-    close()
-    return "\n".join(blocks)
+
+def largest(texts: list[tuple]) -> int:
+    sizes: Counter = Counter()
+    for _, slot, _, n in texts:
+        sizes[slot] += n
+    return max(sizes.values(), default=0)
+
+
+def chosen(texts: list[tuple]) -> set[int]:
+    """Indices of the main text's tokens among those of all slots."""
+    kept = [t for t in texts if not any(x.other for x in t[2])]
+    first = [next((x for x in path if x.article), None) for _, _, path, _ in kept]
+    inside = [t for t, x in zip(kept, first, strict=True) if x]
+    outside = [t for t, x in zip(kept, first, strict=True) if not x]
+    if inside and largest(outside) <= sum(t[3] for t in inside):
+        kept = inside
+    elif len({x for x in first if x}) > 1:
+        kept = outside
+    return {t[0] for t in kept}
+
+
+def extract(page: list[tuple], template: set[tuple] | None) -> str:
+    taken = chosen(slots(page, template))
+    lines = (SPACE.sub(" ", entities.unescape(page[i][1])).strip() for i in sorted(taken))
+    return "\n".join(x for x in lines if x)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def group(rows: list[dict]) -> pa.RecordBatch:
         pages = [tokens(x["html"] or "") for x in rows]
-        template = deduce(pages) if len(pages) >= SUPPORT else None
+        own = list({x["html"] or "": p for x, p in zip(rows, pages, strict=True)}.values())
+        template = deduce(own) if len(own) >= SUPPORT else None
         texts = [extract(p, template) for p in pages]
         return pa.record_batch([pa.array([x["page_id"] for x in rows], pa.int64()), pa.array([x["url"] for x in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
