@@ -62,3 +62,14 @@ def test_cards_do_not_hide_the_main_text():
     page = "<body><div><p>A long story about {k} that goes on and on</p><p>and on about {k}</p></div>" + cards + "</body>"
     want = [f"A long story about {c} that goes on and on\nand on about {c}" for c in "abcdefgh"]
     assert texts_of(page) == want and texts_of(page, 2) == want[:2]
+
+
+def test_names_of_wrappers_do_not_drop_the_article():
+    for outer in ('<body class="has-sidebar">', '<body><div class="header-fixed">', '<body><main class="no-sidebar">', '<body><div id="with-nav"><div class="right-sidebar">', '<body><main>Here {k}<div class="with-nav">'):
+        page = outer + '<div class="sidebar">Side {k}</div><article class="post tag-social"><p>Story of {k} and more</p></article><section class="comments"><article><p>Yes {k}</p></article></section>'
+        for n in (1, 8):
+            assert [t.removeprefix(f"Here {c}\n") for t, c in zip(texts_of(page, n), "abcdefgh", strict=False)] == [f"Story of {c} and more" for c in "abcdefgh"[:n]]
+
+
+def test_layout_words_on_body_without_an_article():
+    assert texts_of('<body class="no-sidebar"><p>Plain {k}</p></body>', 1) == ["Plain a"]

@@ -9,7 +9,9 @@ support of INSIDE pages, so what repeats in the articles of a group of fewer pag
 template tokens is a slot; gaps between the same two tokens are one slot.
 
 Roles choose among slots. Texts under an element of another role than the article's are dropped: by tag, ARIA role or
-hiding, or by a word of its id or class. Of the rest the texts in article elements are the main text, unless one slot outside holds more than all of them: several articles are
+hiding, or by a word of its id or class. Such words don't count for html, body, main and article, nor for what is around
+the largest article element if no article element is free of them and it holds more than any free slot. Of the rest the
+texts in article elements are the main text, unless one slot outside holds more than all of them: several articles are
 then cards, and what is outside is the main text; a single one stays beside it. Without articles all the rest is taken.
 
 Groups: a host's pages are dealt into groups of about GROUP pages by a hash of page_id, so that no host is one task.
@@ -63,28 +65,33 @@ SCOPES = {"ul", "ol", "dl", "table", "select", "article", "div", "section", "bod
 
 
 class Element:
-    """An open element: its label and those around it, and the roles that its tag, attributes, class or id give it."""
+    """An open element: its label and those around it, and the roles that its tag or attributes (other, article) or its class or id (named) give it."""
 
-    __slots__ = ("article", "label", "labels", "other")
+    __slots__ = ("article", "cost", "label", "labels", "main", "named", "other")
 
     def __init__(self, name: str, tag: str, around: tuple):
-        marks, other, article = "", name in OTHER_ROLE, name in ("article", "main")
+        marks, other, article, named, called = "", name in OTHER_ROLE, name in ("article", "main"), False, False
+        self.main = name == "main"
         if len(tag) > len(name) + 2:
             for key, value in ATTRIBUTE.findall(tag):
                 key, value = key.lower(), value.strip("\"'")
                 if key == "role":
                     other |= value.lower() in OTHER_ARIA
                     article |= value.lower() in ("main", "article")
+                    self.main |= value.lower() == "main"
                 elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                     other = True
                 elif key == "style":
                     other |= "display:none" in value.replace(" ", "").lower()
                 elif key in ("class", "id") and value:
                     marks += "." + value
-                    other |= bool(OTHER_NAME.search(value))
-                    article |= key == "class" and name not in ("body", "html") and bool(ARTICLE_NAME.search(value))
-        self.label, self.other, self.article = name + marks, other, article and not other
+                    named |= bool(OTHER_NAME.search(value))
+                    called |= key == "class" and bool(ARTICLE_NAME.search(value))
+        self.label, self.other = name + marks, other
+        self.named = named and not article and name not in ("html", "body")
+        self.article = (article or (called and not named and name not in ("html", "body"))) and not other
         self.labels = (*(around[-1].labels if around else ()), self.label)
+        self.cost = (around[-1].cost if around else 0) + self.named
 
 
 def tokens(page: str) -> list[tuple[str, str, tuple]]:
@@ -232,7 +239,21 @@ def largest(texts: list[tuple]) -> int:
 
 def chosen(texts: list[tuple]) -> set[int]:
     """Indices of the main text's tokens among those of all slots."""
-    kept = [t for t in texts if not any(x.other for x in t[2])]
+    texts = [t for t in texts if not any(x.other for x in t[2])]
+    free = [t for t in texts if not t[2] or not t[2][-1].cost]
+    inner: Counter = Counter()
+    around: dict[Element, tuple] = {}
+    for _, _, path, n in texts:
+        at = next((k for k in range(len(path) - 1, -1, -1) if path[k].article), None)
+        if at is not None:
+            inner[path[at]] += n
+            around[path[at]] = path[:at]
+    open_to: set[Element] = set()
+    if inner and not any(not x.cost and not x.main for x in inner):
+        wrapped = max(inner, key=lambda x: (inner[x], -x.cost))
+        if wrapped.cost and inner[wrapped] > largest(free):
+            open_to = set(around[wrapped])
+    kept = [t for t in texts if not any(x.named and x not in open_to for x in t[2])]
     first = [next((x for x in path if x.article), None) for _, _, path, _ in kept]
     inside = [t for t, x in zip(kept, first, strict=True) if x]
     outside = [t for t, x in zip(kept, first, strict=True) if not x]
