@@ -224,6 +224,24 @@ def test_hmm_against_enumeration():
     assert hmm.dwell_path(np.array([0, 0, 1, 0]))[:, 0].tolist() == [1, 2, 1, 1]
 
 
+def test_every_week_is_predicted(spark, monkeypatch):
+    from tidemark.plans import walkforward as WF
+    from tidemark.queries import modelling
+
+    start, rng = dt.date(2000, 1, 7), np.random.default_rng(2)
+    rows = [("A", start + dt.timedelta(weeks=k), x := float(rng.normal()), x / 2 + float(rng.normal())) for k in range(86) if k != 70]
+    weeks = [r[1] for r in rows]
+    monkeypatch.setattr(modelling, "pairs", lambda spark, d: spark.createDataFrame(rows, "series_id string, week date, x double, y double"))
+    out = {r["as_of"]: r for r in modelling.challenger_run(spark, "").collect()}
+    before = {w: sum(v <= w - dt.timedelta(weeks=14) for v in weeks) for w in weeks}
+    assert sorted(out) == [w for w in weeks if before[w] >= 52]
+    first = min(out)
+    assert {r["fitted"] for r in out.values()} == {first, first + dt.timedelta(weeks=13)}
+    assert all(r["n_train"] == before[r["fitted"]] and w - r["fitted"] < dt.timedelta(weeks=13) for w, r in out.items())
+    assert all(r["q05"] < r["q50"] < r["q95"] for r in out.values()) and len({r["q50"] for r in out.values()}) == len(out)
+    assert sorted(r["as_of"] for r in modelling.walkforward(spark, "").collect()) == [w for w in weeks if before[w] >= 60]
+
+
 def test_hmm_fit_improves():
     from tidemark.models import hmm
 

@@ -181,17 +181,26 @@ def run(pairs: DataFrame, embargo: int, min_train: int, every: int) -> DataFrame
 
 
 def challenger(pairs: DataFrame, every: int, min_train: int, embargo: int) -> DataFrame:
+    """A row of each week with enough training rows: quantiles by the last fit, the week of that fit (fitted) and its rows."""
+    names = ["q05", "q10", "q25", "q50", "q75", "q90", "q95"]
+    columns = ["series_id", "as_of", "fitted", "n_train", "objective", "status", *names]
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         from tidemark.models import scale
 
-        x, y, out, theta = pdf[["x"]].to_numpy(float), pdf["y"].to_numpy(float), [], None
-        for t in range(min_train + embargo, len(pdf), every):
-            n = t - embargo
-            theta, value, status = scale.fit_student(x[:n], np.ones((n, 1)), y[:n], theta, 40)
-            out.append((pdf["series_id"].iloc[0], pdf["week"].iloc[t], n, round(value, 5), status))
-        return pd.DataFrame(out, columns=["series_id", "as_of", "n_train", "objective", "status"])
-
-    return by_series(pairs, fit, "series_id string, as_of date, n_train long, objective double, status string")
+        x, y, week, out, theta, fitted = pdf[["x"]].to_numpy(float), pdf["y"].to_numpy(float), pd.to_datetime(pdf["week"]).to_numpy("datetime64[D]"), [], None, None
+        for t in range(len(pdf)):
+            n = int(np.searchsorted(week, week[t] - np.timedelta64(7 * embargo, "D"), "right"))
+            if n < min_train:
+                continue
+            if fitted is None or week[t] >= week[fitted] + np.timedelta64(7 * every, "D"):
+                theta, value, status = scale.fit_student(x[:n], np.ones((n, 1)), y[:n], theta, 40)
+                fitted, rows = t, n
+            q = scale.student_quantiles(np.array([theta[0] + x[t] @ theta[1:-1]]), np.exp(np.clip(theta[-1:], -8, 3)))[0]
+            out.append((pdf["series_id"].iloc[0], pdf["week"].iloc[t], pdf["week"].iloc[fitted], rows, round(value, 5), status, *q.round(5)))
+        return pd.DataFrame(out, columns=columns)
+
+    return by_series(pairs, fit, "series_id string, as_of date, fitted date, n_train long, objective double, status string, " + ", ".join(f"{q} double" for q in names))
 
 
 def hypotheses(pairs: DataFrame) -> DataFrame:

@@ -151,14 +151,14 @@ def isotonic_recalibration(spark, d):
 
 @query()
 def walkforward(spark, d):
-    """Every 26th week: fit on rows at least 14 weeks older, predict the week. The rows are broadcast once, if they are few."""
-    return WF.run(pairs(spark, d), embargo=14, min_train=60, every=26)
+    """Every week: fit on rows at least 14 weeks older, predict the week. The rows are broadcast once, if they are few."""
+    return WF.run(pairs(spark, d), embargo=14, min_train=60, every=1)
 
 
 @query()
 def challenger_run(spark, d):
-    """Refit each 13 weeks with the parameters before as the start, so each series is one sequential task."""
-    return WF.challenger(pairs(spark, d), every=39, min_train=80, embargo=14)
+    """Refit each 13 weeks with the parameters before as the start, so each series is one sequential task; every week is predicted."""
+    return WF.challenger(pairs(spark, d), every=13, min_train=52, embargo=14)
 
 
 @query()
