@@ -242,6 +242,48 @@ def test_every_week_is_predicted(spark, monkeypatch):
     assert sorted(r["as_of"] for r in modelling.walkforward(spark, "").collect()) == [w for w in weeks if before[w] >= 60]
 
 
+def test_production_bootstraps(spark, monkeypatch):
+    from tidemark.operators import performance as P
+    from tidemark.queries import backtest
+
+    rng, reps = np.random.default_rng(4), 2000
+    p, b, y = (rng.uniform(0.5, 1.5, 30) for _ in range(3))
+    rows = spark.createDataFrame([(k, float(p[k]), float(b[k]), float(y[k])) for k in range(30)], "idx bigint, p double, b double, y double")
+    monkeypatch.setattr(backtest, "metric_rows", lambda spark, d: rows)
+    monkeypatch.setattr(backtest, "week_rows", lambda spark, d: rows)
+    draws = {}
+    for length in (52, 78):
+        for r in range(reps):
+            s, i, path = (backtest.SEED + r * 7919) % P.LCG_M, -1, []
+            for _ in range(30):
+                s1 = (s * P.LCG_A + P.LCG_C) % P.LCG_M
+                s = (s1 * P.LCG_A + P.LCG_C) % P.LCG_M
+                i = s * 30 // P.LCG_M if i < 0 or s1 * length < P.LCG_M else (i + 1) % 30
+                path.append(i)
+            draws[length, r] = path
+    stream = {(r["block_length"], r["rep"]): (r["n"], r["checksum"]) for r in backtest.bootstrap_stream_production(spark, "").collect()}
+    assert stream == {k: (30, sum(v)) for k, v in draws.items()}
+    single = {r["block_length"]: r for r in backtest.bootstrap_p05_production(spark, "").collect()}
+    cluster = {r["block_length"]: r for r in backtest.cluster_bootstrap_p05_production(spark, "").collect()}
+    for length in (52, 78):
+        at = [draws[length, r] for r in range(reps)]
+        gain, ceq = [1 - p[i].mean() / b[i].mean() for i in at], [52 * (y[i].mean() - 0.5 * y[i].var(ddof=1)) for i in at]
+        assert single[length]["gain_p05"] == pytest.approx(np.quantile(gain, 0.05), abs=2e-6) == cluster[length]["gain_p05"]
+        assert single[length]["ceq_p05"] == pytest.approx(np.quantile(ceq, 0.05), abs=2e-6)
+        assert cluster[length]["gain_mean"] == pytest.approx(np.mean(gain), abs=2e-6)
+
+
+def test_registered_fit_has_production_starts(spark, monkeypatch):
+    from tidemark.plans import walkforward as WF
+    from tidemark.queries import modelling
+
+    asked = {}
+    monkeypatch.setattr(modelling, "weekly_returns_df", lambda spark, d: None)
+    monkeypatch.setattr(WF, "best_hmm", lambda returns, **given: asked.update(given))
+    modelling.hmm_fit(spark, "")
+    assert asked == {"restarts": 50, "iterations": 200}
+
+
 def test_hmm_fit_improves():
     from tidemark.models import hmm
 

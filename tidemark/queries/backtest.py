@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,8 +151,11 @@ def bootstrap_stream(spark, d):
 
 @query(f"{METRICS}, {stream_sql(REPS, LENGTH, SEED)}, v AS (SELECT rep, 1 - avg(p) / avg(b) AS gain, 52 * (avg(y) - 0.5::DOUBLE * var_samp(y)) AS ceq FROM bs JOIN mx USING (idx) GROUP BY 1) SELECT round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(quantile_cont(ceq, 0.05::DOUBLE), 6) AS ceq_p05 FROM v")
 def bootstrap_p05(spark, d):
-    rows = metric_rows(spark, d)
-    stats = P.resampled(rows, P.index_stream(spark, REPS, rows.count(), LENGTH, SEED), ["p", "b", "y"]).groupBy("rep").agg((1 - F.try_divide(F.avg("p"), F.avg("b"))).alias("gain"), P.certainty_equivalent("y").alias("ceq"))
+    return p05(spark, metric_rows(spark, d), REPS, LENGTH)
+
+
+def p05(spark, rows: DataFrame, reps: int, length: int) -> DataFrame:
+    stats = P.resampled(rows, P.index_stream(spark, reps, rows.count(), length, SEED), ["p", "b", "y"]).groupBy("rep").agg((1 - F.try_divide(F.avg("p"), F.avg("b"))).alias("gain"), P.certainty_equivalent("y").alias("ceq"))
     return stats.agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.percentile("ceq", F.lit(0.05)), "ceq_p05"))
 
 
@@ -160,12 +165,46 @@ CLUSTER = f"{FORECAST.replace('WITH prices', 'WITH RECURSIVE prices', 1)}, wk AS
 @query(f"{CLUSTER}, {stream_sql(REPS, LENGTH, SEED)}, v AS (SELECT rep, 1 - sum(p) / sum(b) AS gain FROM bs JOIN mx USING (idx) GROUP BY 1) SELECT round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(avg(gain), 6) AS gain_mean FROM v")
 def cluster_bootstrap_p05(spark, d):
     """Whole weeks of all assets are drawn together."""
+    return cluster_p05(spark, week_rows(spark, d), REPS, LENGTH)
+
+
+def week_rows(spark, d) -> DataFrame:
     weeks = forecast(spark, d).groupBy("week").agg(F.sum(Q.pinball("y", QS)).alias("p"), F.sum(F.abs("y")).alias("b"))
-    rows = weeks.withColumn("idx", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint"))
-    v = P.resampled(rows, P.index_stream(spark, REPS, rows.count(), LENGTH, SEED), ["p", "b"]).groupBy("rep").agg((1 - F.sum("p") / F.sum("b")).alias("gain"))
+    return weeks.withColumn("idx", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint"))
+
+
+def cluster_p05(spark, rows: DataFrame, reps: int, length: int) -> DataFrame:
+    v = P.resampled(rows, P.index_stream(spark, reps, rows.count(), length, SEED), ["p", "b"]).groupBy("rep").agg((1 - F.sum("p") / F.sum("b")).alias("gain"))
     return v.agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.avg("gain"), "gain_mean"))
 
 
+#: Production values of the bootstraps. The queries above are the same plans at a size that SQL can check.
+PRODUCTION_REPS, PRODUCTION_LENGTHS = 2000, (52, 78)
+
+
+def each_length(f) -> DataFrame:
+    """f(length) of each production block length, with the length as first column."""
+    return reduce(DataFrame.unionByName, [f(n).select(F.lit(n).alias("block_length"), "*") for n in PRODUCTION_LENGTHS])
+
+
+@query()
+def bootstrap_stream_production(spark, d):
+    n = metric_rows(spark, d).count()
+    return each_length(lambda length: P.index_stream(spark, PRODUCTION_REPS, n, length, SEED).groupBy("rep").agg(F.count("*").alias("n"), F.sum("idx").alias("checksum")))
+
+
+@query()
+def bootstrap_p05_production(spark, d):
+    rows = metric_rows(spark, d)
+    return each_length(lambda length: p05(spark, rows, PRODUCTION_REPS, length))
+
+
+@query()
+def cluster_bootstrap_p05_production(spark, d):
+    rows = week_rows(spark, d)
+    return each_length(lambda length: cluster_p05(spark, rows, PRODUCTION_REPS, length))
+
+
 @query(
     f"""{METRICS.replace('WITH RECURSIVE', 'WITH', 1)}, k AS (SELECT count(*) AS n FROM mx), bl AS (SELECT r AS rep, b AS block, CAST((CAST({SEED} + r * 7919 + b * 104729 AS HUGEINT) {LCG} AS HUGEINT) AS s, n FROM k, range(400) t(r), range(100) u(b) WHERE b * 20 < n),
 ix AS (SELECT rep, block * 20 + o AS pos, CAST(s * (n - 19) // {P.LCG_M} AS BIGINT) + o AS idx, n FROM bl, range(20) v(o)), g AS (SELECT rep, avg(b - p) AS m FROM ix JOIN mx USING (idx) WHERE pos < n GROUP BY 1)

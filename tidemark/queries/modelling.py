@@ -104,7 +104,7 @@ def pca_2d(spark, d):
 @query()
 def hmm_fit(spark, d):
     """Each start of each series is one task; the best likelihood wins, the first of equals."""
-    return WF.best_hmm(weekly_returns_df(spark, d), restarts=6, iterations=60)
+    return WF.best_hmm(weekly_returns_df(spark, d), restarts=50, iterations=200)
 
 
 @query()
