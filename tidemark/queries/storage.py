@@ -124,7 +124,10 @@ def _folder(spark: SparkSession) -> str:
 @query(f"WITH {T.VINTAGES} SELECT series_id, obs_date, value AS value, realtime_start FROM vintages WHERE series_id = '1-URGENT' AND day(obs_date) <> 13")
 def payload_scan(spark, d):
     """Through the service's JSON: written as its answers are, with missing marks, and scanned back."""
-    v = T.vintages(spark, d).where("series_id = '1-URGENT'")
+    return through_payload(spark, T.vintages(spark, d).where("series_id = '1-URGENT'"))
+
+
+def through_payload(spark: SparkSession, v: DataFrame) -> DataFrame:
     value = F.when(F.dayofmonth("obs_date") == 13, O.MISSING).otherwise(F.col("value").cast("string"))
     one = v.groupBy("series_id", "obs_date").agg(F.collect_list(F.struct(F.col("obs_date").cast("string").alias("date"), value.alias("value"), F.col("realtime_start").cast("string").alias("realtime_start"), F.col("realtime_end").cast("string").alias("realtime_end"))).alias("observations"))
     path = f"{_folder(spark)}/payload-{os.urandom(6).hex()}"
@@ -132,6 +135,12 @@ def payload_scan(spark, d):
     return O.read_payload(spark, path).select("series_id", "obs_date", "value", "realtime_start")
 
 
+@query(f"WITH {T.VINTAGES} SELECT series_id, obs_date, value AS value, realtime_start FROM vintages WHERE day(obs_date) <> 13")
+def payload_scan_all(spark, d):
+    """As payload_scan, for all series."""
+    return through_payload(spark, T.vintages(spark, d))
+
+
 @query(f"{WEEKLY} SELECT series_id, week, value AS value FROM weekly WHERE week BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 def records_round_trip(spark, d):
     """Weekly records written by as_of and read back for a range of dates."""
