@@ -181,6 +181,17 @@ def test_contamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), items.limit(0)).count() == 0
 
 
+def test_contamination_by_short_items(spark):
+    items = [(1, PASSAGE), (3, "  "), (4, "alpha beta gamma"), (5, "solo"), (6, "Delta echo"), (7, "solo")]
+    rows = [(1, f"{prose(9)} Solo, {prose(5)} solo", "en", "s", 1), (2, "solo", "en", "s", 1), (3, "say delta-Echo now", "en", "s", 1), (4, "delta echo", "en", "s", 1), (5, "echo delta", "en", "s", 1), (6, "delta and echo, alpha beta gamma", "en", "s", 1), (7, f"{PASSAGE} solo", "en", "s", 1), (8, "one solo", "en", "s", 1)]
+    out = decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_tiles"]) for r in out}
+    assert len(got) == len(out)
+    assert got == {k: (1.0, 1) for k in [(1, 5), (1, 7), (2, 5), (2, 7), (3, 6), (4, 6), (6, 4), (7, 1), (7, 5), (7, 7), (8, 5), (8, 7)]}
+    assert {(r["doc_id"], r["item_id"]): r["tiles"] for r in out}[3, 6] == [[1, 2]]
+    assert {(d[0], i) for d in rows for i, t in items if brute_coverage(t, d[1], min(3, len((t or "").split()))) >= 0.5} == set(got)
+
+
 def test_encoding_round_trip(docs, spark):
     out = sentencepiece_np.encode(docs)
     rows = {r["doc_id"]: r for r in out.collect()}

@@ -11,7 +11,8 @@ broadcast is bounded whatever the benchmark's size. A pair is tiled only if the
 bound the coverage from above, reach the threshold.
 
 Nulls: null texts are empty; documents with a null doc_id and items with a null id are reported with that null. Items
-without tokens are never reported; items shorter than `least` match as a whole. Ties between matches of equal length
+without tokens are never reported; items shorter than `least` match as a whole, wherever
+a document has all their tokens in a row. Ties between matches of equal length
 go to the earlier place in the item, then in the document. Repeated rows are compared each; empty tables give empty
 results; other columns are ignored.
 """
@@ -54,6 +55,15 @@ class Seeds:
         self.end = np.append(self.begin[1:], len(h))
 
 
+def seeds_by_length(ids: list, texts: list[str], least: int) -> list[Seeds]:
+    """Seeds of `least` tokens, and for items of fewer tokens seeds of just their length."""
+    whole = Seeds(ids, texts, least)
+    sizes = np.minimum(whole.length, least)
+    if not ((sizes > 0) & (sizes < least)).any():
+        return [whole]
+    return [Seeds([ids[i] for i in own], [texts[i] for i in own], int(k)) for k in np.unique(sizes[sizes > 0]) if len(own := np.flatnonzero(sizes == k))]
+
+
 def tiles(pairs: list[tuple[int, int]], least: int, n_item: int) -> list[tuple[int, int, int]]:
     """Greedy tiling from seeds (place in item, place in document): (place in item, place in document, length) of each tile."""
     if n_item < least:
@@ -121,16 +131,17 @@ def matches(seeds: Seeds, h: np.ndarray, at: np.ndarray, share: float) -> Iterat
 
 def _run(shared, share: float, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
+        parts = shared.value
         for batch in batches:
             buf, off = B.column(batch, "text")
             rows = []
             for i, _, b, o in B.pieces(buf, off):
                 words, first = tokens(b, o)
-                h, at = B.shingles(words, first, seeds.least)
-                for r, k, found in matches(seeds, h, at, share):
-                    covered = sum(t[2] for t in found)
-                    rows.append((batch.column(0)[i + r].as_py(), seeds.ids[k], len(found), covered, int(seeds.length[k]), covered / float(seeds.length[k]), [[t[1], t[2]] for t in found]))
+                for seeds in parts:
+                    h, at = B.shingles(words, first, seeds.least)
+                    for r, k, found in matches(seeds, h, at, share):
+                        covered = sum(t[2] for t in found)
+                        rows.append((batch.column(0)[i + r].as_py(), seeds.ids[k], len(found), covered, int(seeds.length[k]), covered / float(seeds.length[k]), [[t[1], t[2]] for t in found]))
             kinds = [batch.schema.field(0).type, id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.int64()))]
             yield pa.record_batch([pa.array([x[c] for x in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "item_id", "n_tiles", "covered", "item_tokens", "coverage", "tiles"])
 
@@ -155,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 3, share: f
     out = None
     for part in slices(items):
         rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        shared = spark.sparkContext.broadcast(Seeds([r["item_id"] for r in rows], [r["text"] for r in rows], least))
+        shared = spark.sparkContext.broadcast(seeds_by_length([r["item_id"] for r in rows], [r["text"] for r in rows], least))
         found = texts.mapInArrow(_run(shared, share, pa.int64()), f"doc_id {kind}, item_id bigint, n_tiles bigint, covered bigint, item_tokens bigint, coverage double, tiles array<array<bigint>>")
         out = found if out is None else out.unionByName(found)
     return out
