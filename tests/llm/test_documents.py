@@ -192,6 +192,25 @@ def test_contamination_by_short_items(spark):
     assert {(d[0], i) for d in rows for i, t in items if brute_coverage(t, d[1], min(3, len((t or "").split()))) >= 0.5} == set(got)
 
 
+def test_long_words_are_learnt_from(monkeypatch):
+    import numpy as np
+
+    from tidemark.llm import pieces
+
+    strings = [b"a", b"b", b"ab", b"aba", b"ba"]
+    vocab = pieces.Pieces(strings, list(range(10, 15)), [-1.0] * 5, list(range(100, 356)))
+    probs = np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.2], [0.2, 0.2], [0.1, 0.1]])
+    probs = np.vstack([probs, np.full((len(vocab.text) - 5, 2), 1e-9)])[: len(vocab.text)]
+    single, weight = np.full((256, 2), 1e-4), np.array([[1.0, 2.0], [3.0, 0.0]])
+    matrix = np.frombuffer(b"abaabbabaabbbabaabab", np.uint8).reshape(2, 10)
+    want = pieces.expected(vocab, probs, single, matrix, weight)
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert want.sum() > 1 and np.allclose(pieces.expected(vocab, probs, single, matrix, weight), want)
+    monkeypatch.undo()
+    model = langid.train(vocab, ["x", "y"], [b"ab" * 60, b"ba" * 700, b"bb" * 50], np.array([[5, 0], [4, 0], [0, 5]]))
+    assert model.probs[vocab.text.index(b"ab"), 0] > 2 * model.probs[vocab.text.index(b"ab"), 1]
+
+
 def test_encoding_round_trip(docs, spark):
     out = sentencepiece_np.encode(docs)
     rows = {r["doc_id"]: r for r in out.collect()}

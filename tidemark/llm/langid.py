@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesnp as B
-from tidemark.llm.pieces import Pieces, by_length, expected, forward
+from tidemark.llm.pieces import SHORT, Pieces, by_length, expected, forward
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTER = regex.compile(r"\p{L}")
 NONE = "und"
 #: Words that a task remembers between batches.
 REMEMBERED = 1 << 20
+#: Cells of a table of forward sums of long words.
+TABLE = 1 << 20
 
 
 def spaced(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,8 +88,9 @@ def train(vocab: Pieces, langs: list[str], words: list[bytes], counts: np.ndarra
     for _ in range(rounds):
         uses = np.zeros((n, len(langs)))
         for which, matrix in by_length(buf, off[:-1], off[1:], 1 << 13):
-            if matrix.shape[1] <= 64:
-                uses += expected(vocab, probs, single, matrix, counts[which])
+            step = len(which) if matrix.shape[1] <= SHORT else max(1, TABLE // (matrix.shape[1] * len(langs)))
+            for lo in range(0, len(which), step):
+                uses += expected(vocab, probs, single, matrix[lo : lo + step], counts[which[lo : lo + step]])
         uses += 0.05
         probs = uses / uses.sum(axis=0) * (1 - 256e-6)
         single = np.full((256, len(langs)), 1e-6)

@@ -126,6 +126,8 @@ def viterbi(vocab: Pieces, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: Per byte, so that forward sums of ordinary words stay near one.
 LIFT = np.exp(2.2)
 LINEAR = 100
+#: Longest words whose expected uses are summed without logarithms.
+SHORT = 64
 
 
 def forward(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -163,6 +165,8 @@ def expected(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.nd
     """Expected uses of each slot by language, over all segmentations of rows that count weight (row x language) times."""
     n, length = matrix.shape
     pre = column_sums(matrix)
+    if length > SHORT:
+        return _expected_log(vocab, probs, single, matrix, weight, pre)
     langs = probs.shape[1]
     alpha, beta = np.zeros((length + 1, n, langs)), np.zeros((length + 1, n, langs))
     alpha[0] = beta[length] = 1
@@ -189,3 +193,30 @@ def expected(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.nd
                 for k in range(langs):
                     out[:, k] += np.bincount(slot, use[:, k], len(out))
     return out
+
+
+def _expected_log(vocab, probs, single, matrix, weight, pre):
+    n, length = matrix.shape
+    langs = probs.shape[1]
+    logs, log_single = np.log(probs), np.log(single)
+    alpha = np.full((length + 1, n, langs), -np.inf)
+    beta = alpha.copy()
+    alpha[0] = beta[length] = 0
+    for j in range(1, length + 1):
+        alpha[j] = alpha[j - 1] + log_single[matrix[:, j - 1]]
+        for size in range(1, min(j, vocab.longest) + 1):
+            rows, slot = vocab.probe(pre, j - size, j)
+            if len(rows):
+                alpha[j][rows] = np.logaddexp(alpha[j][rows], alpha[j - size][rows] + logs[slot])
+    out = np.zeros_like(probs)
+    for j in range(length, 0, -1):
+        beta[j - 1] = np.logaddexp(beta[j - 1], beta[j] + log_single[matrix[:, j - 1]])
+        for size in range(1, min(j, vocab.longest) + 1):
+            rows, slot = vocab.probe(pre, j - size, j)
+            if len(rows):
+                rest = beta[j][rows] + logs[slot]
+                beta[j - size][rows] = np.logaddexp(beta[j - size][rows], rest)
+                use = np.exp(alpha[j - size][rows] + rest - alpha[length][rows]) * weight[rows]
+                for k in range(langs):
+                    out[:, k] += np.bincount(slot, use[:, k], len(out))
+    return out
