@@ -12,6 +12,8 @@ import numpy as np
 from tidemark.llm import bytesnp as B
 
 MARK = "▁"
+#: Bytes of strings of equal length that advance together; a lattice keeps some tens of bytes for each.
+CELLS = 1 << 20
 
 
 class Pieces:
@@ -84,7 +86,7 @@ def by_length(buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int =
     cuts = np.flatnonzero(np.diff(length[order])) + 1
     for own in np.split(order, cuts):
         if len(own) and (n := int(length[own[0]])):
-            step = max(1, min(block, (4 << 20) // n))
+            step = max(1, min(block, CELLS // n))
             for lo in range(0, len(own), step):
                 part = own[lo : lo + step]
                 yield part, buf[start[part][:, None] + np.arange(n)]
