@@ -192,23 +192,67 @@ def test_contamination_by_short_items(spark):
     assert {(d[0], i) for d in rows for i, t in items if brute_coverage(t, d[1], min(3, len((t or "").split()))) >= 0.5} == set(got)
 
 
-def test_long_words_are_learnt_from(monkeypatch):
+def plain_sums(strings, probs, single, text, k):
+    """log of the sum over all segmentations of each prefix, byte by byte in logarithms."""
+    import math
+
+    import numpy as np
+
+    out = [0.0]
+    for j in range(1, len(text) + 1):
+        terms = [out[j - 1] + math.log(single[text[j - 1], k])]
+        terms += [out[j - len(s)] + math.log(probs[i, k]) for i, s in enumerate(strings) if text[:j].endswith(s)]
+        out.append(float(np.logaddexp.reduce(terms)))
+    return out
+
+
+@pytest.mark.parametrize("length", [1, 8, 63, 64, 70, 100, 101, 5000])
+def test_sums_of_long_words(length):
     import numpy as np
 
     from tidemark.llm import pieces
 
     strings = [b"a", b"b", b"ab", b"aba", b"ba"]
     vocab = pieces.Pieces(strings, list(range(10, 15)), [-1.0] * 5, list(range(100, 356)))
-    probs = np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.2], [0.2, 0.2], [0.1, 0.1]])
-    probs = np.vstack([probs, np.full((len(vocab.text) - 5, 2), 1e-9)])[: len(vocab.text)]
-    single, weight = np.full((256, 2), 1e-4), np.array([[1.0, 2.0], [3.0, 0.0]])
-    matrix = np.frombuffer(b"abaabbabaabbbabaabab", np.uint8).reshape(2, 10)
-    want = pieces.expected(vocab, probs, single, matrix, weight)
-    monkeypatch.setattr(pieces, "SHORT", 0)
-    assert want.sum() > 1 and np.allclose(pieces.expected(vocab, probs, single, matrix, weight), want)
-    monkeypatch.undo()
-    model = langid.train(vocab, ["x", "y"], [b"ab" * 60, b"ba" * 700, b"bb" * 50], np.array([[5, 0], [4, 0], [0, 5]]))
-    assert model.probs[vocab.text.index(b"ab"), 0] > 2 * model.probs[vocab.text.index(b"ab"), 1]
+    probs, single = np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.2], [0.2, 0.2], [0.1, 0.1]]), np.full((256, 2), 1e-6)
+    # covered by pieces, by none (as a language of another script), and a mixture
+    rows = [bytes(rng.choice(b"ab") for _ in range(length)), bytes(rng.choice(b"xyz") for _ in range(length)), bytes(rng.choice(b"abxyz") for _ in range(length))]
+    got = pieces.forward(vocab, probs, single, np.array([list(r) for r in rows], np.uint8))
+    for row, g in zip(rows, got):
+        for k in range(2):
+            assert g[k] == pytest.approx(plain_sums(strings, probs, single, row, k)[-1], rel=1e-9)
+    weight = np.array([[1.0, 2.0], [3.0, 1.0], [1.0, 0.0]])
+    uses = pieces.expected(vocab, probs, single, np.array([list(r) for r in rows], np.uint8), weight)
+    want = np.zeros_like(uses)
+    for row, w in zip(rows, weight):
+        for k in range(2):
+            before = plain_sums(strings, probs, single, row, k)
+            after = plain_sums([s[::-1] for s in strings], probs, single, row[::-1], k)[::-1]
+            for i, s in enumerate(strings):
+                for j in range(len(s), length + 1):
+                    if row[:j].endswith(s):
+                        want[i, k] += w[k] * np.exp(before[j - len(s)] + np.log(probs[i, k]) + after[j] - before[-1])
+    assert np.allclose(uses, want, rtol=1e-7)
+
+
+def test_language_without_spaces(spark):
+    """Each text is one word of 60 to 400 bytes, in two languages of one script."""
+    signs = {"p": "山川草木日月火水", "q": "金土人口目耳手足"}
+    rows = [(i, "".join(rng.choice(signs["pq"[i % 2]]) for _ in range(rng.randint(20, 130))), "pq"[i % 2], "s", 1) for i in range(90)]
+    rows += [(500 + i, "".join(rng.choice(signs["pq"[i % 2]]) for _ in range(2000)), None, "s", 1) for i in range(2)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "pq"[i % 2] for i, *_ in rows}
+
+
+def test_language_of_a_long_text_beside_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    en, fr = "the cat with other things that were".split(), "les chats avec une chose qui était là".split()
+    rows = [(i, " ".join(rng.choice(en if i % 2 else fr) for _ in range(20)), "en" if i % 2 else "fr", "s", 1) for i in range(60)] + [(99, " ".join(rng.choice(fr) for _ in range(40_000)), None, "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("x").alias(c) for c in ("word", "n", "k", "slot", "score", "lang_pred", "held_out")])
+    got = langid.identify(df)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()}[99] == "fr"
 
 
 def test_encoding_round_trip(docs, spark):

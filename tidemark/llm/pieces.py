@@ -79,14 +79,14 @@ def column_sums(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_length(buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 16):
-    """(which, byte matrix) for spans of equal length, in blocks of bounded size."""
+def by_length(buf: np.ndarray, start: np.ndarray, end: np.ndarray, cells: int = CELLS):
+    """(which, byte matrix) for spans of equal length, in blocks of at most `cells` bytes (or one span)."""
     length = end - start
     order = np.argsort(length, kind="stable")
     cuts = np.flatnonzero(np.diff(length[order])) + 1
     for own in np.split(order, cuts):
         if len(own) and (n := int(length[own[0]])):
-            step = max(1, min(block, CELLS // n))
+            step = max(1, cells // n)
             for lo in range(0, len(own), step):
                 part = own[lo : lo + step]
                 yield part, buf[start[part][:, None] + np.arange(n)]
@@ -125,100 +125,64 @@ def viterbi(vocab: Pieces, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
-#: Per byte, so that forward sums of ordinary words stay near one.
-LIFT = np.exp(2.2)
-LINEAR = 100
-#: Longest words whose expected uses are summed without logarithms.
-SHORT = 64
+#: Forward and backward sums are scaled to one every so many bytes, so that strings of any length stay in a float's range.
+RESCALE = 8
 
 
-def forward(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """log of the sum over all segmentations, by row and language. probs: slot x language; single: byte x language."""
-    n, length = matrix.shape
+def by_edges(vocab: Pieces, matrix: np.ndarray, ends: bool):
+    """Per position j in order (ends) or backwards: the edges (size, rows, slot) of pieces that end at j, or begin there."""
     pre = column_sums(matrix)
-    if length > LINEAR:
-        return _forward_log(vocab, probs, single, matrix, pre)
-    alpha = np.zeros((length + 1, n, probs.shape[1]))
-    alpha[0] = 1
-    for j in range(1, length + 1):
-        alpha[j] = alpha[j - 1] * single[matrix[:, j - 1]] * LIFT
-        for size in range(1, min(j, vocab.longest) + 1):
-            rows, slot = vocab.probe(pre, j - size, j)
-            if len(rows):
-                alpha[j][rows] += alpha[j - size][rows] * (probs[slot] * LIFT**size)
-    return np.log(np.maximum(alpha[length], 1e-300)) - length * np.log(LIFT)
+    length = matrix.shape[1]
+    for j in range(1, length + 1) if ends else range(length - 1, -1, -1):
+        room = min(j if ends else length - j, vocab.longest)
+        yield j, [(size, *edge) for size in range(1, room + 1) if len((edge := vocab.probe(pre, j - size, j) if ends else vocab.probe(pre, j, j + size))[0])]
 
 
-def _forward_log(vocab, probs, single, matrix, pre):
+def sums(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray, ends: bool, keep: bool) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of each prefix (ends) or suffix, by position, row and language;
+    keep: of all positions, else of the whole string only. A string's values are stored relative to a scale of their own,
+    which is drawn to the newest position every RESCALE bytes for the positions that later ones still read."""
     n, length = matrix.shape
-    logs, log_single = np.log(probs), np.log(single)
-    alpha = np.full((length + 1, n, probs.shape[1]), -np.inf)
-    alpha[0] = 0
-    for j in range(1, length + 1):
-        alpha[j] = alpha[j - 1] + log_single[matrix[:, j - 1]]
-        for size in range(1, min(j, vocab.longest) + 1):
-            rows, slot = vocab.probe(pre, j - size, j)
-            if len(rows):
-                alpha[j][rows] = np.logaddexp(alpha[j][rows], alpha[j - size][rows] + logs[slot])
-    return alpha[length]
+    value = np.zeros((length + 1, n, probs.shape[1]))
+    scale = np.zeros_like(value) if keep else None
+    now = np.zeros((n, probs.shape[1]))
+    step = -1 if ends else 1
+    value[0 if ends else length] = 1
+    for j, edges in by_edges(vocab, matrix, ends):
+        value[j] = value[j + step] * single[matrix[:, j - 1 if ends else j]]
+        for size, rows, slot in edges:
+            value[j][rows] += value[j + step * size][rows] * probs[slot]
+        done = j if ends else length - j
+        if keep:
+            scale[j] = now
+        if done % RESCALE == 0:
+            near = slice(max(0, j - vocab.longest), j + 1) if ends else slice(j, j + vocab.longest + 1)
+            top = value[j].copy()
+            value[near] /= top
+            now = now + np.log(top)
+            if keep:
+                scale[near] = now
+    if keep:
+        with np.errstate(divide="ignore"):
+            return np.log(value) + scale
+    return np.log(value[length if ends else 0]) + now
 
 
-def expected(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected uses of each slot by language, over all segmentations of rows that count weight (row x language) times."""
-    n, length = matrix.shape
-    pre = column_sums(matrix)
-    if length > SHORT:
-        return _expected_log(vocab, probs, single, matrix, weight, pre)
-    langs = probs.shape[1]
-    alpha, beta = np.zeros((length + 1, n, langs)), np.zeros((length + 1, n, langs))
-    alpha[0] = beta[length] = 1
-    edges = []
-    for j in range(1, length + 1):
-        alpha[j] = alpha[j - 1] * single[matrix[:, j - 1]] * LIFT
-        for size in range(1, min(j, vocab.longest) + 1):
-            rows, slot = vocab.probe(pre, j - size, j)
-            if len(rows):
-                alpha[j][rows] += alpha[j - size][rows] * (probs[slot] * LIFT**size)
-                edges.append((j - size, j, rows, slot))
-    for j in range(length, 0, -1):
-        beta[j - 1] += beta[j] * single[matrix[:, j - 1]] * LIFT
-        while edges and edges[-1][1] == j:
-            i, _, rows, slot = edges.pop()
-            beta[i][rows] += beta[j][rows] * (probs[slot] * LIFT ** (j - i))
-    out = np.zeros_like(probs)
-    share = weight / np.maximum(alpha[length], 1e-300)
-    for j in range(1, length + 1):
-        for size in range(1, min(j, vocab.longest) + 1):
-            rows, slot = vocab.probe(pre, j - size, j)
-            if len(rows):
-                use = alpha[j - size][rows] * beta[j][rows] * (probs[slot] * LIFT**size) * share[rows]
-                for k in range(langs):
-                    out[:, k] += np.bincount(slot, use[:, k], len(out))
-    return out
+def forward(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations, by row and language. probs: slot x language; single: byte x language."""
+    return sums(vocab, probs, single, matrix, True, False)
 
 
-def _expected_log(vocab, probs, single, matrix, weight, pre):
-    n, length = matrix.shape
-    langs = probs.shape[1]
-    logs, log_single = np.log(probs), np.log(single)
-    alpha = np.full((length + 1, n, langs), -np.inf)
-    beta = alpha.copy()
-    alpha[0] = beta[length] = 0
-    for j in range(1, length + 1):
-        alpha[j] = alpha[j - 1] + log_single[matrix[:, j - 1]]
-        for size in range(1, min(j, vocab.longest) + 1):
-            rows, slot = vocab.probe(pre, j - size, j)
-            if len(rows):
-                alpha[j][rows] = np.logaddexp(alpha[j][rows], alpha[j - size][rows] + logs[slot])
-    out = np.zeros_like(probs)
-    for j in range(length, 0, -1):
-        beta[j - 1] = np.logaddexp(beta[j - 1], beta[j] + log_single[matrix[:, j - 1]])
-        for size in range(1, min(j, vocab.longest) + 1):
-            rows, slot = vocab.probe(pre, j - size, j)
-            if len(rows):
-                rest = beta[j][rows] + logs[slot]
-                beta[j - size][rows] = np.logaddexp(beta[j - size][rows], rest)
-                use = np.exp(alpha[j - size][rows] + rest - alpha[length][rows]) * weight[rows]
-                for k in range(langs):
-                    out[:, k] += np.bincount(slot, use[:, k], len(out))
-    return out
+def expected(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected uses of each slot by language, over all segmentations of rows that count weight (row x language) times."""
+    alpha, beta = (sums(vocab, probs, single, matrix, ends, True) for ends in (True, False))
+    total = alpha[-1]
+    slots, uses = [], []
+    for j, edges in by_edges(vocab, matrix, True):
+        for size, rows, slot in edges:
+            slots.append(slot)
+            uses.append(np.exp(alpha[j - size][rows] + beta[j][rows] - total[rows]) * probs[slot] * weight[rows])
+    if not slots:
+        return np.zeros_like(probs)
+    slot, use = np.concatenate(slots), np.concatenate(uses)
+    return np.stack([np.bincount(slot, use[:, k], len(probs)) for k in range(probs.shape[1])], axis=1)
