@@ -192,6 +192,38 @@ def test_contamination_by_short_items(spark):
     assert {(d[0], i) for d in rows for i, t in items if brute_coverage(t, d[1], min(3, len((t or "").split()))) >= 0.5} == set(got)
 
 
+def test_contamination_of_repetitive_and_long_texts(spark):
+    """Few different words, so that seeds pair up in many ways; one very long text; columns of the operator's own names."""
+    from pyspark.sql import functions as F
+
+    few = lambda n: " ".join(rng.choice(("a", "b")) for _ in range(n))
+    items = [(1, few(14)), (2, "x " * 40), (3, few(9)), (4, PASSAGE)]
+    rows = [(i, few(rng.randint(5, 60)), "en", "s", 1) for i in range(25)] + [(100, "x " * 130, None, None, None), (101, prose(20_000) + " " + PASSAGE, "en", "s", 1), (102, "x " * 19, "en", "s", 1), (102, "x " * 20, "en", "s", 1)]
+    table = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("c").alias(c) for c in ("item_id", "tiles", "coverage")])
+    out = decontaminate.contaminated(table, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = sorted((r["doc_id"], r["item_id"], round(r["coverage"], 6)) for r in out)
+    want = [(d[0], i, round(c, 6)) for d in rows if d[0] != 101 for i, t in items if (c := brute_coverage(t, d[1])) >= 0.5]
+    assert got == sorted([*want, (101, 4, 1.0)])
+
+
+def test_one_word_repeated_takes_few_runs():
+    import numpy as np
+
+    seeds = decontaminate.Seeds([1], ["go " * 300], 3)
+    words = np.full(20_000, decontaminate.tokens(np.frombuffer(b"go", np.uint8), np.array([0, 2]))[0][0])
+    h, at = decontaminate.B.shingles(words, np.array([0, len(words)]), 3)
+    assert [(r, k, t) for r, k, t in decontaminate.matches(seeds, h, at, 0.5)] == [(0, 0, [(0, 0, 300)])]
+    slot = np.zeros(len(h), np.int64)
+    assert len(decontaminate.runs(slot, np.arange(len(h)), seeds.own_slot, seeds.own_place)) == len(h) + len(seeds.own_slot) - 1
+
+
+def test_rows_are_judged_one_by_one(spark):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    rows = [(None, PASSAGE, "en", "s", 1), (None, "fine", "en", "s", 2), (7, PASSAGE, "en", "s", 3), (7, "fine too", None, "s", 4), (8, None, "en", "s", 5)]
+    left = decontaminate.without_contaminated(spark.createDataFrame(rows, SCHEMA), items)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(r["n_chars"] for r in left.collect()) == [2, 4, 5]
+
+
 def plain_sums(strings, probs, single, text, k):
     """log of the sum over all segmentations of each prefix, byte by byte in logarithms."""
     import math

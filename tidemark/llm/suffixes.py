@@ -36,7 +36,9 @@ GRAM = 16
 #: Text bytes for each range of anchor hashes.
 PER_RANGE = 48 << 20
 #: Text bytes whose keys are sorted as one run.
-RUN = 16 << 20
+RUN = 8 << 20
+#: Places whose keys are cut out together.
+PLACES = 1 << 14
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,10 +219,12 @@ def contexts(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, pos: np.ndarra
     right = np.minimum(window, end - pos)
     left = np.minimum(back, pos - begin)
     out = np.zeros((len(pos), window + back + 2), np.uint8)
-    at = pos[:, None] + np.arange(window)
-    out[:, :window] = np.where(np.arange(window) < right[:, None], buf[np.minimum(at, len(buf) - 1)], 0)
-    at = pos[:, None] - 1 - np.arange(back)
-    out[:, window : window + back] = np.where(np.arange(back) < left[:, None], buf[np.maximum(at, 0)], 0)
+    for lo in range(0, len(pos), PLACES):
+        own = slice(lo, lo + PLACES)
+        at = pos[own, None] + np.arange(window)
+        out[own, :window] = np.where(np.arange(window) < right[own, None], buf[np.minimum(at, len(buf) - 1)], 0)
+        at = pos[own, None] - 1 - np.arange(back)
+        out[own, window : window + back] = np.where(np.arange(back) < left[own, None], buf[np.maximum(at, 0)], 0)
     out[:, -2], out[:, -1] = right, left
     return out
 
