@@ -11,8 +11,9 @@
    bucket's pairs are emitted.
 
 Nulls: a null text is empty; a null doc_id is kept as a row without links. Empty or blank texts have no shingles and
-link with nothing. Repeated doc_ids: rows with equal sets share a class as any others; rows with other sets stay
-separate rows of that id. Empty tables give empty results; other columns are ignored.
+link with nothing. Repeated doc_ids: every row has a result; rows with equal sets share a class as any others; links of
+any of an id's texts are links of that id. Empty tables give empty results; other columns are ignored. Very long texts
+are hashed whole, piece by piece of their batch.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bytesnp as B
 from tidemark.llm.components import components
-from tidemark.llm.store import Scratch, with_row_id
+from tidemark.llm.store import Scratch, id_and_text
 
 #: 32 bands of 5: a pair of similarity 0.8 shares no bucket with probability 3e-6.
 BANDS, ROWS = 32, 5
@@ -74,7 +75,7 @@ def _sign(k: int):
                 sig.append((B.mix(m) & B.U(255)).astype(np.uint8).tobytes())
                 keys = B.mix((m.reshape(BANDS, ROWS) * BAND_MUL).sum(axis=1, dtype=B.U) + np.arange(BANDS, dtype=B.U))
                 bands.append(keys.view(np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), B.binaries(sig), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "low", "high", "sig", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), B.binaries(sig), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "tk", "n_shingles", "low", "high", "sig", "bands"])
 
     return run
 
@@ -100,7 +101,7 @@ def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(B.column(batch, c)[0], np.uint8).reshape(-1, BANDS * ROWS) for c in ("sig_u", "sig_v"))
-            yield batch.filter(pa.array((x == y).mean(axis=1) >= least)).select(["u", "v"])
+            yield batch.filter(pa.array((x == y).mean(axis=1) >= least)).select(["u", "tk_u", "v", "tk_v"])
 
     return run
 
@@ -174,46 +175,54 @@ def _across(k: int, percent: int, least: float):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): component_id is the least doc_id that links reach, kept marks it."""
+    """(doc_id, n_shingles, component_id, kept, text_key) of each row: component_id is the least doc_id that links reach, kept
+    marks it, and text_key, a hash of the text, tells apart the rows of a repeated doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    texts = with_row_id(docs)
-    signed = scratch.cut(texts.mapInArrow(_sign(shingle), "doc_id bigint, n_shingles bigint, low bigint, high bigint, sig binary, bands array<bigint>"))
+    texts = docs.select(*id_and_text(docs))
+    signed = scratch.cut(texts.select("doc_id", "text", F.xxhash64("text").alias("tk")).mapInArrow(_sign(shingle), "doc_id bigint, tk bigint, n_shingles bigint, low bigint, high bigint, sig binary, bands array<bigint>"))
     sets = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = sets.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members, _ = scratch.write(sets.select("doc_id", "low", "high", "n_shingles").join(classes, ["low", "high", "n_shingles"]).select("doc_id", "n_shingles", "rep", "low", "high"))
-    reps = members.where("doc_id = rep").select("rep", "low", "high").distinct().hint("merge")
-    own, _ = scratch.write(signed.join(reps, (F.col("doc_id") == F.col("rep")) & (signed.low == reps.low) & (signed.high == reps.high), "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bands").dropDuplicates(["rep", "sig"]))
-    sigs = own.select("rep", "sig")
-    banded = own.select("rep", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets, _ = scratch.write(banded.join(hubs.hint("merge"), "key").select("key", "rep", "hub"))
+    classes = sets.groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
+    classes = classes.select("low", "high", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.tk").alias("rep_tk"))
+    members, _ = scratch.write(sets.select("doc_id", "tk", "low", "high", "n_shingles").join(classes, ["low", "high", "n_shingles"]).select("doc_id", "tk", "n_shingles", "rep", "rep_tk"))
+    # A class is named by its least row. Nodes of the graph are doc_ids, so classes of one doc_id are one node with several texts.
+    reps = members.where("doc_id = rep and tk = rep_tk").select("doc_id", "tk").distinct().hint("merge")
+    own, _ = scratch.write(signed.join(reps, ["doc_id", "tk"], "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "tk", "sig", "bands").dropDuplicates(["rep", "tk"]))
+    sigs = own.select("rep", "tk", "sig")
+    banded = own.select("rep", "tk", F.explode("bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "tk")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets, _ = scratch.write(banded.join(hubs.hint("merge"), "key").select("key", "rep", "tk", F.col("hub.rep").alias("hub"), F.col("hub.tk").alias("hub_tk")))
     low_share = percent / 100 - SLACK
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """pairs (u, v) with their texts, which travel once by u and once by v."""
-        ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        need = scratch.cut(texts.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi"))
-        u = need.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-        v = need.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-        return pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(shingle, percent), "u bigint, v bigint, linked boolean")
-
-    pairs = buckets.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    with_sig = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")).hint("merge"), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")).hint("merge"), "v")
-    pairs = scratch.cut(with_sig.select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(low_share), "u bigint, v bigint"))
-    links = scratch.cut(confirmed(pairs).where("linked").select("u", "v"))
+    def named(df: DataFrame, end: str, *columns: str) -> DataFrame:
+        """(rep, tk, columns) as one end of pairs."""
+        return df.select(F.col("rep").alias(end), F.col("tk").alias(f"tk_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """(rep, tk, text) of the classes named in rows (rep, tk)."""
+        wanted = rows.select("rep", "tk").distinct()
+        found = texts.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("tk"), "text")
+        return found.join(wanted.hint("merge"), ["rep", "tk"], "left_semi").dropDuplicates(["rep", "tk"])
+
+    u, v = ["u", "tk_u"], ["v", "tk_v"]
+    pairs = buckets.where("rep <> hub").select(F.col("rep").alias("u"), F.col("tk").alias("tk_u"), F.col("hub").alias("v"), F.col("hub_tk").alias("tk_v")).distinct()
+    with_sig = pairs.join(named(sigs, "u", "sig").hint("merge"), u).join(named(sigs, "v", "sig").hint("merge"), v)
+    pairs = scratch.cut(with_sig.select(*u, *v, "sig_u", "sig_v").mapInArrow(_alike(low_share), "u bigint, tk_u bigint, v bigint, tk_v bigint"))
+    need = scratch.cut(texts_of(pairs.select(F.col("u").alias("rep"), F.col("tk_u").alias("tk")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("tk_v").alias("tk")))))
+    both = pairs.join(named(need, "u", "text").hint("merge"), u).join(named(need, "v", "text").hint("merge"), v)
+    links = scratch.cut(both.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(shingle, percent), "u bigint, v bigint, linked boolean").where("linked").select("u", "v"))
     labels = components(links, scratch)
-    placed = buckets.select("key", "rep").join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("key", "rep", F.coalesce("to", "rep").alias("comp"))
+    placed = buckets.select("key", "rep", "tk").join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("key", "rep", "tk", F.coalesce("to", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a < b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own_block = F.pmod(F.xxhash64("rep", "tk"), F.col("blocks")).cast("int")
     rows = placed.join(mixed, "key").withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "comp")
-    fat = texts.where("doc_id is not null").join(rows.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
-    fat = scratch.cut(fat.join(sigs.dropDuplicates(["rep"]).hint("merge"), "rep"))
-    across = rows.join(fat.hint("merge"), "rep").select("key", "low", "high", "rep", "comp", "sig", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "tk", "comp")
+    fat = scratch.cut(texts_of(rows).join(sigs.hint("merge"), ["rep", "tk"]))
+    across = rows.join(fat.hint("merge"), ["rep", "tk"]).select("key", "low", "high", "rep", "comp", "sig", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     more = scratch.cut(across.mapInArrow(_across(shingle, percent, low_share), "u bigint, v bigint").distinct())
     if not more.isEmpty():
         labels = components(labels.unionByName(more), scratch)
-    grouped = members.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("doc_id", "low", "high", "n_shingles", F.coalesce("to", "rep").alias("component_id"))
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    grouped = members.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep", "left").select("doc_id", "n_shingles", F.coalesce("to", "rep").alias("component_id"), F.col("tk").alias("text_key"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("tk").alias("text_key"))
+    result = grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return result.select("doc_id", "n_shingles", "component_id", "kept", "text_key")

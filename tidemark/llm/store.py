@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,9 +71,9 @@ class Scratch:
         remove(self.spark, path or self.root)
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text, as bigint and string, whatever else the table has. Columns that are so already get no alias,
-    so that equal plans over them stay equal and share their exchanges."""
+def id_and_text(docs: DataFrame) -> list[Column]:
+    """doc_id and text, as bigint and string. Columns that are so already get no alias, so that equal plans over them stay
+    equal and share their exchanges."""
     kinds = dict(docs.dtypes)
     wanted = {"doc_id": "bigint", "text": "string"}
-    return docs.select(*[F.col(c) if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in wanted.items()])
+    return [F.col(c) if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in wanted.items()]

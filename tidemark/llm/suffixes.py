@@ -15,13 +15,14 @@ A byte goes if a `window`-byte string that covers it also starts in a document o
 
 Nulls: a null text is empty; rows with a null doc_id are compared with nothing and keep their bytes. Documents shorter
 than the window keep all. Equal texts: all but the least doc_id lose everything. Rows of one doc_id are one document,
-so they never remove each other's bytes. Empty tables give empty results; other columns are ignored.
+so they never remove each other's bytes. Empty tables give empty results; other columns are ignored. Very long texts are
+cut into places as any other: no step holds more than one of them with its batch.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bytesnp as B
 from tidemark.llm.losertree import merge
-from tidemark.llm.store import Scratch, with_row_id
+from tidemark.llm.store import Scratch, id_and_text
 
 GRAM = 16
 #: Text bytes for each range of anchor hashes.
@@ -434,16 +435,20 @@ def _cut(window: int):
                 size.append(n)
                 removed.append(int(out.sum()))
                 spans.append(int((out[1:] & ~out[:-1]).sum() + (out[0] if n else 0)))
-            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), B.binaries(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            found = [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), B.binaries(kept), *batch.columns[5:]]
+            yield pa.record_batch(found, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[5:]])
 
     return run
 
 
-def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
+def repeated_bytes(docs: DataFrame, window: int = 50, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row: kept holds the remaining bytes. The columns `keep` of docs
+    travel along with their row, as fields of a last column `rest`, if any are named."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    texts = with_row_id(docs).withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+    rest = ["rest"] if keep else []
+    base = docs.select(*id_and_text(docs), *([F.struct(*keep).alias("rest")] if keep else []))
+    texts = base.withColumn("tk", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
     known = texts.where("doc_id is not null and octet_length(text) >= %d" % window)
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_RANGE))
@@ -458,9 +463,10 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_RANGE))
     dealt = texts.where("doc_id is not null").repartition(parts, "doc_id")  # read by both joins below, dealt once
     with_places = dealt.join(joined_places, "doc_id").join(copies, "doc_id", "left").where("copies is null or not array_contains(copies, tk)")
-    runs = with_places.select("doc_id", "text", "tk", "places").mapInArrow(_runs(window, ranges), "r int, shared binary, rest binary, load binary")
+    runs = with_places.select("doc_id", "text", "tk", "places", *rest).mapInArrow(_runs(window, ranges), "r int, shared binary, rest binary, load binary")
     merged = runs.repartition(ranges, F.when(F.col("r") >= 0, F.col("r")).otherwise(F.crc32("load"))).sortWithinPartitions("r").select("r", "shared", "rest", "load").mapInArrow(_merge(window), "doc_id bigint, places binary")
     gone = merged.groupBy("doc_id").agg(F.collect_list("places").alias("gone"))
-    ready = dealt.join(gone, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "tk", "gone", F.coalesce(F.array_contains("copies", F.col("tk")), F.lit(False)).alias("copy"))
-    nameless = texts.where("doc_id is null").select("doc_id", "text", "tk", F.lit(None).cast("array<binary>").alias("gone"), F.lit(False).alias("copy"))
-    return ready.unionByName(nameless).mapInArrow(_cut(window), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    ready = dealt.join(gone, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "tk", "gone", F.coalesce(F.array_contains("copies", F.col("tk")), F.lit(False)).alias("copy"), *rest)
+    nameless = texts.where("doc_id is null").select("doc_id", "text", "tk", F.lit(None).cast("array<binary>").alias("gone"), F.lit(False).alias("copy"), *rest)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary" + (f", rest {base.schema['rest'].dataType.simpleString()}" if keep else "")
+    return ready.unionByName(nameless).mapInArrow(_cut(window), schema)
