@@ -455,22 +455,63 @@ def test_quality(spark):
     assert all(r["keep"] for r in kneser_ney.quality(docs, labels.limit(0)).collect() if r["n_bytes"])
 
 
-def test_kneser_ney_sums_to_one_and_matches_in_shards():
-    import numpy as np
+def plain_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney of order 5 over bytes in dictionaries; gives the log probability of a text."""
+    import math
+    from collections import Counter
+
+    padded = [bytes([2] * 4) + t.encode() for t in texts]
+    tables = {5: Counter(t[i - 4 : i + 1] for t in padded for i in range(4, len(t)))}
+    for n in (4, 3, 2):
+        tables[n] = Counter(k[1:] for k in tables[n + 1])
+    last = Counter(k[1:] for k in tables[2])
+    total = sum(last.values())
+    cuts = {}
+    for n, table in tables.items():
+        c = [sum(v == k for v in table.values()) for k in (1, 2, 3, 4)]
+        if min(c) == 0:
+            cuts[n] = (0, 0.5, 0.75, 0.9)
+        else:
+            y = c[0] / (c[0] + 2 * c[1])
+            cuts[n] = (0, *[min(max(k - (k + 1) * y * c[k] / c[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)])
+    contexts = {n: defaultdict(list) for n in tables}
+    for n, table in tables.items():
+        for k, v in table.items():
+            contexts[n][k[:-1]].append(v)
+
+    def p(n, gram):
+        if n == 1:
+            return (last.get(gram[-1:], 0) + 0.5) / (total + 128)
+        own = gram[-n:]
+        seen = contexts[n].get(own[:-1])
+        if not seen:
+            return p(n - 1, gram)
+        d = cuts[n]
+        c = tables[n].get(own, 0)
+        return (c - d[min(c, 3)]) / sum(seen) + sum(d[min(v, 3)] for v in seen) / sum(seen) * p(n - 1, gram)
+
+    def logp(text):
+        t = bytes([2] * 4) + text.encode()
+        return sum(math.log(p(5, t[i - 4 : i + 1])) for i in range(4, len(t)))
+
+    return logp, p
+
+
+def test_kneser_ney_against_dictionaries(spark, monkeypatch):
+    """Perplexities of whole texts, from several parts and salted shards; null ids, repeats, clashing columns, a long text."""
+    from pyspark.sql import functions as F
 
     from tidemark.llm import kneser_ney as K
 
-    text = (prose(400)).encode()
-    buf, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    key, n = np.unique(K.grams(buf, off)[0], return_counts=True)
-    batch = __import__("pyarrow").record_batch([[0], [key.tobytes()], [n.astype(np.int64).tobytes()]], names=["g", "keys", "counts"])
-    facts = next(iter(K._add(iter([batch]))))
-    spectrum, pairs = np.frombuffer(facts.column(4)[0].as_py(), np.int64), np.frombuffer(facts.column(5)[0].as_py(), np.int32).astype(np.int64)
-    whole = K.Model(list(range(K.GROUPS)), key, n, spectrum, pairs)
-    context = int(key[50]) >> 8
-    every = np.arange(256, dtype=np.uint32) + np.uint32(context << 8)
-    assert np.exp(whole.score(every)).sum() == pytest.approx(1.0, abs=1e-3)
-    g = K.group_of(key)
-    for k in np.unique(g)[:3]:
-        part = K.Model([int(k)], key[g == k], n[g == k], spectrum, pairs)
-        assert part.score(key[g == k]) == pytest.approx(whole.score(key[g == k]))
+    monkeypatch.setattr(K, "ASKERS", 30_000)
+    texts = [prose(rng.randint(1, 40)) for _ in range(30)] + ["é ñ 😀\x02\x00", prose(6000), "", None, "zzzz qqqq", "aaaa" * 50]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[1], "en", "s", 1), (4, texts[5], "en", "s", 1)]
+    trusted = [1, 2, 4, 5, 6, 7, 8, 9, 30, 31, 35, 77]
+    learnt = [r[1] for r in rows if r[0] in trusted]
+    logp, p = plain_kneser_ney(learnt)
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(3).alias(c) for c in ("part", "g", "keys", "n", "total")])
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n"], round(r["total"], 2)) for r in K.scored(df, spark.createDataFrame([(i,) for i in trusted], "doc_id bigint")).collect())
+    want = sorted((r[0] if r[0] is not None else -1, len((r[1] or "").encode()), round(logp(r[1] or ""), 2)) for r in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-5, abs=0.02)
+    assert sum(p(5, b"kara" + bytes([x])) for x in range(256)) == pytest.approx(1.0, abs=1e-3)

@@ -1,18 +1,23 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of bytes, with thresholds by language.
 
-The model has order 4 and is trained on trusted texts: all labelled documents of good quality. Each batch counts its
-four-grams abcd in numpy and sends them by the middle pair bc to GROUPS shards, where counts are added; all contexts
-(abc, bc), continuation counts (of bcd) and backed-off lower orders of a shard need its own rows only, but for the
-pair table cd, which has at most 65,536 entries. Shards are joined to the documents in passes: a pass broadcasts
-shards of at most MODEL four-grams together and adds up the log probabilities of every document's bytes whose middle
-pair is theirs, so what is broadcast stays bounded however much text the model has seen.
+The model has order 5 and is trained on trusted texts: all labelled documents of good quality. Documents are dealt once
+into parts of about PART bytes by a hash of doc_id; three steps read that dealing.
+
+1. Counts. Each part counts the five-grams abcde of its trusted documents and sends them by the middle pair cd to GROUPS
+   shards, where they are added. Orders 5, 4 and 3 (contexts abcd, bcd and cd, and the continuation counts) need a
+   shard's own rows only; order 2 needs the table of pairs de, which has at most 65,536 entries, and travels to each
+   shard with the discounts.
+2. Count join. Each part asks the shards for the log probability of its distinct five-grams, packed, once each however
+   often its documents have them. A shard that is asked by many parts is salted: its counts are small beside what asks.
+3. Scores. The answers come back to their part, whose documents add them up.
 
 A document is kept if its mean log perplexity lies between two quantiles of the trusted documents of its language,
 widened by SLACK. Languages with too few trusted documents, and null, use the quantiles of all trusted ones.
 
 Nulls: null and empty texts have no perplexity and are not kept. Without any trusted text nothing is known and every
-text is kept. A null doc_id is scored as any. A doc_id labelled twice is trusted if any label is good. Repeated rows
-are scored each; empty tables give empty results; other columns are ignored.
+text is kept. A null doc_id is scored as any, and trusted by none. A doc_id labelled twice is trusted if any label is
+good. Repeated rows are scored each, and counted each where they are trusted; very long texts are read whole, piece by
+piece; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,86 +26,131 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesnp as B
 from tidemark.llm.store import Scratch
 
-GROUPS, MODEL = 64, 4_000_000
+ORDER, GROUPS = 5, 64
+#: Text bytes of a part, and of all parts that ask one copy of a shard.
+PART, ASKERS = 24 << 20, 64 << 30
 LOW, HIGH, SLACK = 0.002, 0.995, 0.1
 #: Trusted documents that a language needs for thresholds of its own.
 ENOUGH = 50
 #: Resolution of quantiles, in nats.
 STEP = 1 / 512
 PAD = 2
+U = np.uint64
 
 
-def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four-grams that end at each byte of each row, which three pad bytes precede; and each row's first."""
+def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Five-grams that end at each byte, in 40 bits; pad bytes precede each row."""
     n = len(off) - 1
-    out = np.full(len(buf) + 3 * n, PAD, np.uint8)
-    out[np.arange(len(buf)) + 3 * (np.repeat(np.arange(n), np.diff(off)) + 1)] = buf
-    x = out.astype(np.uint32)
-    key = (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:] if len(x) > 3 else np.zeros(0, np.uint32)
-    at = np.arange(len(buf)) + 3 * np.repeat(np.arange(n), np.diff(off))
-    return key[at], off
+    before = (ORDER - 1) * (np.repeat(np.arange(n), np.diff(off)) + 1)
+    x = np.full(len(buf) + (ORDER - 1) * n, PAD, np.uint8)
+    at = np.arange(len(buf)) + before
+    x[at] = buf
+    key = np.zeros(len(buf), U)
+    for k in range(ORDER - 1, -1, -1):
+        key = (key << U(8)) | x[at - k]
+    return key
 
 
 def group_of(key: np.ndarray) -> np.ndarray:
-    pair = (key >> np.uint32(8)) & np.uint32(0xFFFF)
+    pair = ((key >> U(8)) & U(0xFFFF)).astype(np.uint32)
     return ((pair * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = B.column(batch, "text")
-        parts = [grams(b, o)[0] for _, _, b, o in B.pieces(buf, off, 16 << 20)]
-        if not parts or not sum(map(len, parts)):
-            continue
-        key, n = np.unique(np.concatenate(parts), return_counts=True)
-        g = group_of(key)
-        order = np.argsort(g, kind="stable")
-        cuts = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        rows = [(i, key[order[a:z]].tobytes(), n[order[a:z]].astype(np.int64).tobytes()) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), B.binaries([r[1] for r in rows]), B.binaries([r[2] for r in rows])], names=["g", "keys", "counts"])
+def by_group(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by group, then key (keys are in order); and where each group begins."""
+    g = group_of(key)
+    order = np.argsort(g, kind="stable")
+    return order, np.searchsorted(g[order], np.arange(GROUPS + 1))
+
+
+def coded(key: np.ndarray) -> bytes:
+    """Ascending keys as the planes of their differences, which compress well."""
+    return np.ascontiguousarray(np.diff(key, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ORDER].T).tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(ORDER, -1)
+    x = np.zeros((planes.shape[1], 8), np.uint8)
+    x[:, :ORDER] = planes.T
+    return np.cumsum(x.view("<u8")[:, 0], dtype=U)
+
+
+def chunks(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of the table's texts: first row, last row + 1, bytes, offsets."""
+    row = 0
+    for batch in table.to_batches():
+        for i, j, b, o in B.pieces(*B.column(batch, "text")):
+            yield row + i, row + j, b, o
+        row += batch.num_rows
 
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, U), np.zeros(0, np.int64)
     key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    out = np.zeros(len(key), np.int64)
-    np.add.at(out, back, np.concatenate(counts))
-    return key, out
+    return key, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+
+
+COUNTS = "g int, keys binary, counts binary"
+
+
+def count(docs: pa.Table, trusted: pa.Table) -> pa.Table:
+    """A part's documents and trusted ids: counts of the trusted documents' grams by group."""
+    docs = docs.filter(pc.is_in(docs["doc_id"], value_set=trusted["doc_id"].combine_chunks().drop_null()))
+    found = [np.unique(grams(b, o), return_counts=True) for _, _, b, o in chunks(docs)]
+    key, n = added([f[0] for f in found], [f[1] for f in found])
+    order, at = by_group(key)
+    rows = [(g, coded(key[order[a:z]]), n[order[a:z]].tobytes()) for g, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a]
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), B.binaries([r[1] for r in rows]), B.binaries([r[2] for r in rows])], names=["g", "keys", "counts"])
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Rows that come together by the columns names, as they stream."""
+    from itertools import groupby
 
+    rows = (x for batch in batches for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist())
+    yield from groupby(rows, lambda x: tuple(x[n] for n in names))
 
-def _spectrum(c: np.ndarray) -> np.ndarray:
+
+def spectrum(c: np.ndarray) -> np.ndarray:
     return np.array([(c == k).sum() for k in (1, 2, 3, 4)], np.int64)
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a group, which come together: its counts, and what the whole model needs to know of it."""
+def lower(key: np.ndarray, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct suffixes of n_bytes of distinct keys, and how many keys have each."""
+    return np.unique(key & U((1 << 8 * n_bytes) - 1), return_counts=True)
 
-    def close(g: int, keys: list, counts: list) -> pa.RecordBatch:
-        key, n = added(keys, counts)
-        three, _ = np.unique(key & np.uint32(0xFFFFFF), return_counts=True)
-        kinds = np.unique(key & np.uint32(0xFFFFFF), return_counts=True)[1]
-        pairs = np.bincount(three & np.uint32(0xFFFF), minlength=65536).astype(np.int32)
-        return pa.record_batch([pa.array([g], pa.int32()), B.binaries([key.tobytes()]), B.binaries([n.tobytes()]), pa.array([len(key)], pa.int64()), B.binaries([np.concatenate([_spectrum(n), _spectrum(kinds)]).tobytes()]), B.binaries([pairs.tobytes()])], names=["g", "keys", "counts", "size", "spectrum", "pairs"])
 
-    g, keys, counts = None, [], []
-    for batch in batches:
-        for x in batch.to_pylist():
-            if g is not None and x["g"] != g:
-                yield close(g, keys, counts)
-                keys, counts = [], []
-            g = x["g"]
-            keys.append(np.frombuffer(x["keys"], np.uint32))
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's counts, and what all shards need to know of it: spectra of orders 5, 4 and 3, and kinds of pairs."""
+    for (g,), rows in runs_of(batches, "g"):
+        keys, counts = [], []
+        for x in rows:
+            keys.append(decoded(x["keys"]))
             counts.append(np.frombuffer(x["counts"], np.int64))
             if len(keys) >= 64:
-                k, n = added(keys, counts)
-                keys, counts = [k], [n]
-    if g is not None:
-        yield close(g, keys, counts)
+                keys, counts = ([v] for v in added(keys, counts))
+        key, n = added(keys, counts)
+        four, n4 = lower(key, 4)
+        three, n3 = lower(four, 3)
+        pairs = np.bincount((three & U(0xFFFF)).astype(np.int64), minlength=65536)
+        facts = np.concatenate([spectrum(n), spectrum(n4), spectrum(n3), pairs])
+        yield pa.record_batch([pa.array([g], pa.int32()), B.binaries([coded(key)]), B.binaries([n.tobytes()]), B.binaries([facts.tobytes()])], names=["g", "keys", "counts", "facts"])
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(12 + 65536, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            total += np.frombuffer(x.as_py(), np.int64)
+    yield pa.record_batch([B.binaries([total.tobytes()])], names=["facts"])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -112,122 +162,146 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0] + [float(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.05, k - 0.05)) for k in (1, 2, 3)])
 
 
-def _order(key: np.ndarray, count: np.ndarray, shift: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Discounted probability of each entry; contexts and their backoff weights. Keys are in order."""
-    if not len(key):
-        return np.zeros(0), key, np.zeros(0)
-    context = key >> np.uint32(shift)
-    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    total = np.add.reduceat(count, begin)
-    off = d[np.minimum(count, 3)]
-    size = np.diff(np.append(begin, len(key)))
-    return (count - off) / np.repeat(total, size), context[begin], np.add.reduceat(off, begin) / total
-
-
-class Model:
-    """Some groups' four-grams with everything that scoring their middle pairs needs."""
-
-    def __init__(self, groups: list[int], key: np.ndarray, count: np.ndarray, spectrum: np.ndarray, pairs: np.ndarray):
-        order = np.argsort(key)
-        key, count = key[order], count[order]
-        self.mine = np.zeros(GROUPS, bool)
-        self.mine[groups] = True
-        one = pairs.reshape(256, 256)
-        by_last = (one > 0).sum(axis=0)
-        p1 = (by_last + 0.5) / (by_last.sum() + 128)
-        d2 = discounts(_spectrum(one[one > 0]))
-        total = one.sum(axis=1, keepdims=True)
-        off = d2[np.minimum(one, 3)]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p2 = np.where(total > 0, (one - off) / total + off.sum(axis=1, keepdims=True) / total * p1, p1)
-        self.p2 = p2.astype(np.float32).ravel()
-        three, kinds = np.unique(key & np.uint32(0xFFFFFF), return_counts=True)
-        p3, c2, self.back2 = _order(three, kinds, 8, discounts(spectrum[4:]))
-        self.c2, self.three = c2, three
-        self.p3 = p3 + self.weight(self.c2, self.back2, three >> np.uint32(8)) * self.p2[three & np.uint32(0xFFFF)]
-        p4, self.c3, self.back3 = _order(key, count, 8, discounts(spectrum[:4]))
-        self.key = key
-        self.logp = np.log(p4 + self.weight(self.c3, self.back3, key >> np.uint32(8)) * self.third(key & np.uint32(0xFFFFFF)))
-
-    @staticmethod
-    def find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.searchsorted(table, x)
-        at[at == len(table)] = 0
-        return at, table[at] == x
-
-    def weight(self, contexts: np.ndarray, back: np.ndarray, x: np.ndarray) -> np.ndarray:
-        at, ok = self.find(contexts, x)
-        return np.where(ok, back[at] if len(back) else 1.0, 1.0)
-
-    def third(self, x: np.ndarray) -> np.ndarray:
-        at, ok = self.find(self.three, x)
-        return np.where(ok, self.p3[at] if len(self.p3) else 0, self.weight(self.c2, self.back2, x >> np.uint32(8)) * self.p2[x & np.uint32(0xFFFF)])
-
-    def score(self, key: np.ndarray) -> np.ndarray:
-        at, ok = self.find(self.key, key)
-        out = np.zeros(len(key))
-        if ok.any():
-            out[ok] = self.logp[at[ok]]
+class Level:
+    """One order of a shard: discounted probabilities interpolated with the order below, and contexts' backoff weights."""
+
+    def __init__(self, order: int, key: np.ndarray, n: np.ndarray, d: np.ndarray, below):
+        self.mask, self.key, self.below = U((1 << 8 * order) - 1), key, below
+        context = key >> U(8)
+        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.context = context[begin]
+        off = d[np.minimum(n, 3)]
+        total = np.add.reduceat(n, begin) if len(key) else np.zeros(0)
+        self.back = np.add.reduceat(off, begin) / total if len(key) else np.zeros(0)
+        size = np.diff(np.append(begin, len(key)))
+        self.p = (n - off) / np.repeat(total, size) + np.repeat(self.back, size) * below(key)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        """Probability of the last byte of each key (of any length of at least this order) after those before it."""
+        key = key & self.mask
+        at, ok = find(self.key, key)
+        out = np.empty(len(key))
+        out[ok] = self.p[at[ok]]
         rest = key[~ok]
-        out[~ok] = np.log(self.weight(self.c3, self.back3, rest >> np.uint32(8)) * self.third(rest & np.uint32(0xFFFFFF)))
+        at, known = find(self.context, rest >> U(8))
+        weight = np.ones(len(rest))
+        weight[known] = self.back[at[known]]
+        out[~ok] = weight * self.below(rest)
         return out
 
 
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            buf, off = B.column(batch, "text")
-            total = np.zeros(batch.num_rows)
-            for i, j, b, o in B.pieces(buf, off):
-                key, at = grams(b, o)
-                if not len(key):
-                    continue
-                name, back = np.unique(key, return_inverse=True)
-                p = np.where(model.mine[group_of(name)], model.score(name), 0.0)[back]
-                sums = np.concatenate([[0], np.cumsum(p)])
-                total[i:j] = sums[at[1:]] - sums[at[:-1]]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(off), pa.int64()), pa.array(total)], names=["doc_id", "lang", "digest", "n", "total"])
-
-    return run
+def find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(table, x)
+    at[at == len(table)] = 0
+    return at, table[at] == x if len(table) else np.zeros(len(x), bool)
+
+
+def pair_level(facts: np.ndarray):
+    """Order 2 from the kinds of each pair, over order 1 from the kinds of pairs that end with each byte, smoothed to all bytes."""
+    one = facts[12:].reshape(256, 256)
+    by_last = (one > 0).sum(axis=0)
+    p1 = (by_last + 0.5) / (by_last.sum() + 128)
+    d = discounts(spectrum(one[one > 0]))
+    total, off = one.sum(axis=1, keepdims=True), d[np.minimum(one, 3)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        p2 = np.where(total > 0, (one - off) / total + off.sum(axis=1, keepdims=True) / total * p1, p1).ravel()
+    return lambda key: p2[(key & U(0xFFFF)).astype(np.int64)]
+
+
+def shard_model(key: np.ndarray, n: np.ndarray, facts: np.ndarray) -> Level:
+    four, n4 = lower(key, 4)
+    three, n3 = lower(four, 3)
+    below = pair_level(facts)
+    for order, (k, c) in ((3, (three, n3)), (4, (four, n4)), (5, (key, n))):
+        below = Level(order, k, c, discounts(facts[4 * (5 - order) : 4 * (6 - order)]), below)
+    return below
+
+
+ASKS = "g int, part int, keys binary"
+
+
+def ask(docs: pa.Table) -> pa.Table:
+    """A part's distinct grams by group."""
+    key = distinct(docs)
+    order, at = by_group(key)
+    rows = [(g, coded(key[order[a:z]])) for g, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a]
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([docs["part"][0].as_py()] * len(rows), pa.int32()), B.binaries([r[1] for r in rows])], names=["g", "part", "keys"])
+
+
+def distinct(docs: pa.Table) -> np.ndarray:
+    key = np.zeros(0, U)
+    held: list[np.ndarray] = []
+    for _, _, b, o in chunks(docs):
+        held.append(np.unique(grams(b, o)))
+        if len(held) >= 8:
+            key, held = np.unique(np.concatenate([key, *held])), []
+    return np.unique(np.concatenate([key, *held]))
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each copy of a shard: the facts of all shards, its counts (if it has any), then the parts that ask."""
+    for _, rows in runs_of(batches, "g", "salt"):
+        facts, key, n, model = np.zeros(12 + 65536, np.int64), np.zeros(0, U), np.zeros(0, np.int64), None
+        for x in rows:
+            if x["kind"] == 0:
+                facts = np.frombuffer(x["a"], np.int64)
+            elif x["kind"] == 1:
+                key, n = decoded(x["a"]), np.frombuffer(x["b"], np.int64)
+            else:
+                model = model or shard_model(key, n, facts)
+                logp = np.log(model(decoded(x["a"]))).astype(np.float32)
+                yield pa.record_batch([pa.array([x["part"]], pa.int32()), pa.array([x["g"]], pa.int32()), B.binaries([logp.tobytes()])], names=["part", "g", "logp"])
+
+
+def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Bytes and summed log probability of each of a part's documents."""
+    total, size = np.zeros(docs.num_rows), np.zeros(docs.num_rows, np.int64)
+    key = distinct(docs)
+    order, _ = by_group(key)
+    logp = np.zeros(len(key))
+    if len(key):
+        given = answers.sort_by("g")["logp"].to_pylist()
+        logp[order] = np.concatenate([np.frombuffer(x, np.float32) for x in given])
+    for i, j, b, o in chunks(docs):
+        size[i:j] = np.diff(o)
+        if len(b):
+            name, back = np.unique(grams(b, o), return_inverse=True)
+            sums = np.concatenate([[0], np.cumsum(logp[np.searchsorted(key, name)][back])])
+            total[i:j] = sums[o[1:]] - sums[o[:-1]]
+    return pa.table([docs["doc_id"], docs["lang"], pa.array(size), pa.array(total)], names=["doc_id", "lang", "n", "total"])
+
+
+def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, lang, n, total) of each row: its bytes and the log probability of all of them under the trusted documents' model."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    salts = -(-size // ASKERS) or 1
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    dealt = rows.withColumn("part", F.pmod(F.coalesce(own, F.xxhash64("text")), F.lit(parts)).cast("int")).repartition(parts, "part")  # read three times below, dealt once
+    known = trusted.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")).repartition(parts, "part")
+    counts = dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(count, COUNTS)
+    model = counts.repartition(GROUPS, "g").sortWithinPartitions("g").mapInArrow(_add, COUNTS + ", facts binary")
+    facts = model.select("facts").repartition(1).mapInArrow(_total, "facts binary")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    shards = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))
+    none = F.lit(None).cast("binary")
+    told = facts.select(shards.alias("g"), F.col("facts").alias("a")).select("g", copies.alias("salt"), F.lit(0).alias("kind"), F.lit(-1).alias("part"), "a", none.alias("b"))
+    held = model.select("g", copies.alias("salt"), F.lit(1).alias("kind"), F.lit(-1).alias("part"), F.col("keys").alias("a"), F.col("counts").alias("b"))
+    asks = dealt.groupBy("part").applyInArrow(ask, ASKS)
+    asked = asks.select("g", F.pmod("part", F.lit(salts)).alias("salt"), F.lit(2).alias("kind"), "part", F.col("keys").alias("a"), none.alias("b"))
+    meet = told.unionByName(held).unionByName(asked).repartition(GROUPS * salts, "g", "salt").sortWithinPartitions("g", "salt", "kind", "part")
+    answers = meet.mapInArrow(_answer, "part int, g int, logp binary").repartition(parts, "part")
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, n bigint, total double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, low, high, keep)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "kneser-ney")
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    trusted = labels.where("doc_id is not null and quality > 0").select("doc_id").distinct()
-    counted = rows.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_count, "g int, keys binary, counts binary")
-    model = scratch.cut(counted.repartition(GROUPS, "g").sortWithinPartitions("g").mapInArrow(_add, "g int, keys binary, counts binary, size bigint, spectrum binary, pairs binary"))
-    facts = model.select("g", "size", "spectrum", "pairs").collect()
-    spectrum = sum((np.frombuffer(r["spectrum"], np.int64) for r in facts), np.zeros(8, np.int64))
-    pairs = sum((np.frombuffer(r["pairs"], np.int32) for r in facts), np.zeros(65536, np.int64))
-    passes: list[list[int]] = [[]]
-    held = 0
-    sizes = {r["g"]: r["size"] for r in facts}
-    for g in range(GROUPS):
-        if held and held + sizes.get(g, 0) > MODEL:
-            passes.append([])
-            held = 0
-        passes[-1].append(g)
-        held += sizes.get(g, 0)
-    scored = None
-    for groups in passes:
-        own = model.where(F.col("g").isin(groups)).select("keys", "counts").collect()
-        key = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in own] or [np.zeros(0, np.uint32)])
-        count = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in own] or [np.zeros(0, np.int64)])
-        shared = spark.sparkContext.broadcast(Model(groups, key, count, spectrum, pairs))
-        out = rows.select("doc_id", "lang", F.xxhash64("text").alias("digest"), "text").mapInArrow(_score(shared), f"doc_id {kind}, lang string, digest bigint, n bigint, total double")
-        scored = out if scored is None else scored.unionByName(out)
-    if len(passes) > 1:
-        keys = ["doc_id", "lang", "digest", "n"]
-        scored = scored.groupBy(*keys).agg((F.sum("total")).alias("total"), (F.count("*") / len(passes)).cast("int").alias("times")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumn("total", F.col("total") / F.col("times"))
-    scored = scratch.cut(scored.select("doc_id", "lang", "n", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("nats")))
-    known = scored.where("nats is not null").join(trusted, "doc_id", "left_semi").withColumn("slot", F.floor(F.col("nats") / STEP))
+    scratch = Scratch(docs.sparkSession, "kneser-ney")
+    trusted = labels.where("doc_id is not null and quality > 0").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    judged = scratch.cut(scored(docs, trusted).select("doc_id", "lang", "n", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("nats")))
+    known = judged.where("nats is not null").join(trusted, "doc_id", "left_semi").withColumn("slot", F.floor(F.col("nats") / STEP))
     histogram = known.groupBy("lang", "slot").agg(F.count("*").alias("k"))
     histogram = histogram.unionByName(histogram.groupBy("slot").agg(F.sum("k").alias("k")).select(F.lit(None).cast("string").alias("lang"), "slot", "k").where("k > 0")).groupBy("lang", "slot").agg(F.sum("k").alias("k"))
     run = Window.partitionBy("lang").orderBy("slot")
@@ -236,7 +310,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     limits = limits.select("lang", "n_trusted", (F.col("a") * STEP - SLACK).alias("low"), ((F.col("b") + 1) * STEP + SLACK).alias("high"))
     own = limits.where(f"lang is not null and n_trusted >= {ENOUGH}").select("lang", "low", "high")
     general = limits.where("lang is null").select(F.col("low").alias("low_all"), F.col("high").alias("high_all")).limit(1)
-    judged = scored.join(own, "lang", "left").join(F.broadcast(general), F.lit(True), "left")
+    ranged = judged.join(own, "lang", "left").join(F.broadcast(general), F.lit(True), "left")
     low, high = F.coalesce("low", "low_all"), F.coalesce("high", "high_all")
     keep = F.col("nats").isNotNull() & F.coalesce(F.col("nats").between(low, high), F.lit(True))
-    return judged.select("doc_id", "lang", F.col("n").alias("n_bytes"), F.exp("nats").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"), keep.alias("keep"))
+    return ranged.select("doc_id", "lang", F.col("n").alias("n_bytes"), F.exp("nats").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"), keep.alias("keep"))
