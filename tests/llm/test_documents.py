@@ -439,6 +439,76 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def commented(text, mark="# "):
+    return "\n".join((mark + line).rstrip() for line in text.split("\n"))
+
+
+GPL_END = "\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.\n\nYou should have received a copy of the license along with this program.\n"
+HEADERS = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n" + GPL_END,
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n" + GPL_END,
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n" + GPL_END,
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under\nthe terms of the GNU Affero General Public License as published by the Free\nSoftware Foundation, either version 3 of the License, or any later version.\n",
+    "Apache-2.0": "Copyright 2020 Some Author\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+}
+
+
+def test_whole_licences_and_headers_of_several_lines(spark):
+    """Whole public texts with a copyright line, and commented headers over code, each by its own name."""
+    from pyspark.sql import functions as F
+
+    texts = licenses.licence_templates()
+    whole = [(f"{name}/LICENSE", "Copyright (c) 2021 Jane Q. Example\n\n" + texts[name][-1], name) for name in texts if len(texts[name][-1]) > 600]
+    assert {n for _, _, n in whole} == {"Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"}
+    heads = [(f"src/{name}.py", commented(text) + "\n\n" + "\n".join(f"x{k} = {prose(6)}" for k in range(40)), name) for name, text in HEADERS.items()]
+    plain = [(f"{name}/sub/{k}.py", prose(80), name) for name in ("MIT", "LGPL-2.1") for k in range(2)] + [("src/none.py", prose(20_000), None)]
+    rows = [(k, p, t) for k, (p, t, _) in enumerate(whole + heads + plain)]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string").select("*", *[F.lit("x").alias(c) for c in ("own", "whole", "from", "dir", "n", "cosine")])
+    got = {r["path"]: r for r in licenses.scan(df).collect()}
+    assert {p: got[p]["license"] for p, _, _ in whole + heads + plain} == {p: n for p, _, n in whole + heads + plain}
+    assert all(got[p]["found"] == "file" and got[p]["cosine"] > 0.9 for p, *_ in whole) and all(got[p]["found"] == "header" for p, *_ in heads)
+
+
+def test_cosines_against_plain_vectors():
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    templates = {"A": ["some words of a licence", "other words here"], "B": ["words of another licence some words"]}
+    split = lambda t: re.findall(r"[A-Za-z0-9\x80-￿]+", t.translate(FOLD))
+    bag = lambda t: Counter([*split(t), *zip(split(t), split(t)[1:])])
+    flat = [(n, bag(t)) for n, ts in sorted(templates.items()) for t in sorted(ts)]
+    index = licenses.Index(templates)
+    terms = sorted({t for _, c in flat for t in c}, key=str)
+    weight = {t: 1.0 + k / 7 for k, t in enumerate(terms)}
+    probe = licenses.Words
+    idf = np.zeros(len(index.keys))
+    for t in terms:
+        text = (t if isinstance(t, str) else " ".join(t)).encode()
+        idf[index.slots(probe(np.frombuffer(text, np.uint8), np.array([0, len(text)])).hash[-1:])[0]] = weight[t]
+    index.weigh(idf, 2.5)
+    texts = ["Some words of the licence, of another licence", "nothing known", "words words words of", "other words here"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    w = probe(np.frombuffer(b"".join(raw), np.uint8), off)
+    unit, top, value = index.best(index.slots(w.hash), w.units(w.rows), len(texts), 0.0)
+    got = {int(u): (index.names[t], c) for u, t, c in zip(unit, top, value)}
+
+    def cosine(text, template):
+        x = {t: (1 + math.log(n)) * weight[t] for t, n in bag(text).items() if t in weight}
+        apart = sum(n for t, n in bag(text).items() if t not in weight)
+        y = {t: (1 + math.log(n)) * weight[t] for t, n in template.items()}
+        return sum(x[t] * y.get(t, 0) for t in x) / math.sqrt(sum(v * v for v in x.values()) + apart * 2.5**2) / math.sqrt(sum(v * v for v in y.values()))
+
+    for k, text in enumerate(texts):
+        if sum(n for t, n in bag(text).items() if t in weight) < 2:
+            assert k not in got
+            continue
+        best = max(cosine(text, c) for _, c in flat)
+        assert got[k][1] == pytest.approx(best) and got[k][0] == next(n for n, c in flat if cosine(text, c) >= best - 1e-12)
+
+
 def test_quality(spark):
     from tidemark.llm import kneser_ney
 

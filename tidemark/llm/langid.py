@@ -107,9 +107,21 @@ def _uses(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
         total = np.zeros_like(model.probs)
+        held: list[pa.RecordBatch] = []
+
+        def add() -> None:
+            # Many words together, so that those of equal length fill their lattices.
+            if held:
+                both = pa.concat_batches(held)
+                counts = np.array(both.column(1).flatten()).reshape(both.num_rows, -1)
+                total[:] += word_uses(vocab, model, *B.column(both, "word"), counts)
+                held.clear()
+
         for batch in batches:
-            counts = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            total += word_uses(vocab, model, *B.column(batch, "word"), counts)
+            held.append(batch)
+            if sum(x.nbytes for x in held) > B.CHUNK:
+                add()
+        add()
         whole = np.rint(total * UNIT).astype(np.int64)
         slot, k = np.nonzero(whole)
         yield pa.record_batch([pa.array(slot), pa.array(k), pa.array(whole[slot, k])], names=["slot", "k", "n"])
@@ -170,35 +182,36 @@ def _predict(shared, out: list[str]):
         vocab, model = shared.value
         known, known_scores = np.zeros(0, B.U), np.zeros((0, len(model.langs)))
         for batch in batches:
-            buf, off = B.column(batch, "text")
-            start, end, h, back, first = distinct_words(buf, off)
-            at = np.searchsorted(known, h)
-            at[at == len(known)] = 0
-            seen = known[at] == h if len(known) else np.zeros(len(h), bool)
-            scores = np.zeros((len(h), len(model.langs)))
-            scores[seen] = known_scores[at[seen]]
-            scores[~seen] = score_words(vocab, model, buf, start[~seen], end[~seen])
-            if (len(known) + (~seen).sum()) * len(model.langs) > REMEMBERED:
-                known, known_scores = h, scores
-            else:
-                order = np.argsort(np.concatenate([known, h[~seen]]))
-                known, known_scores = np.concatenate([known, h[~seen]])[order], np.concatenate([known_scores, scores[~seen]])[order]
-            names, values = [], []
             texts = batch.column(batch.schema.get_field_index("text"))
-            total = np.zeros((batch.num_rows, len(model.langs)))
-            filled = np.flatnonzero(np.diff(first))
-            for k in range(len(model.langs)):
+            names: list[str] = []
+            values: list[float] = []
+            for i, j, buf, off in B.pieces(*B.column(batch, "text")):
+                start, end, h, back, first = distinct_words(buf, off)
+                at = np.searchsorted(known, h)
+                at[at == len(known)] = 0
+                seen = known[at] == h if len(known) else np.zeros(len(h), bool)
+                scores = np.zeros((len(h), len(model.langs)))
+                scores[seen] = known_scores[at[seen]]
+                scores[~seen] = score_words(vocab, model, buf, start[~seen], end[~seen])
+                if (len(known) + (~seen).sum()) * len(model.langs) > REMEMBERED:
+                    known, known_scores = h, scores
+                else:
+                    order = np.argsort(np.concatenate([known, h[~seen]]))
+                    known, known_scores = np.concatenate([known, h[~seen]])[order], np.concatenate([known_scores, scores[~seen]])[order]
+                total = np.zeros((j - i, len(model.langs)))
+                filled = np.flatnonzero(np.diff(first))
                 if len(filled):
-                    total[filled, k] = np.add.reduceat(scores[back, k], first[filled])
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() if model.langs else None
-                if not text or not LETTER.search(text):
-                    names.append(NONE)
-                    values.append(0.0)
-                    continue
-                k = int(np.argmax(total[i]))
-                names.append(model.langs[k])
-                values.append(float(1 / np.exp(total[i] - total[i, k]).sum()))
+                    for k in range(len(model.langs)):
+                        total[filled, k] = np.add.reduceat(scores[back, k], first[filled])
+                for own, text in zip(total, texts.slice(i, j - i), strict=True):
+                    text = text.as_py() if model.langs else None
+                    if not text or not LETTER.search(text):
+                        names.append(NONE)
+                        values.append(0.0)
+                        continue
+                    k = int(np.argmax(own))
+                    names.append(model.langs[k])
+                    values.append(float(1 / np.exp(own - own[k]).sum()))
             yield pa.record_batch([*batch.select(out).columns, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=[*out, "lang_pred", "score"])
 
     return run

@@ -129,28 +129,38 @@ def viterbi(vocab: Pieces, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 RESCALE = 8
 
 
-def by_edges(vocab: Pieces, matrix: np.ndarray, ends: bool):
-    """Per position j in order (ends) or backwards: the edges (size, rows, slot) of pieces that end at j, or begin there."""
+def edges_of(vocab: Pieces, matrix: np.ndarray) -> list[list[tuple]]:
+    """(size, rows, slot) of the pieces that end at each position."""
     pre = column_sums(matrix)
-    length = matrix.shape[1]
-    for j in range(1, length + 1) if ends else range(length - 1, -1, -1):
-        room = min(j if ends else length - j, vocab.longest)
-        yield j, [(size, *edge) for size in range(1, room + 1) if len((edge := vocab.probe(pre, j - size, j) if ends else vocab.probe(pre, j, j + size))[0])]
+    out: list[list[tuple]] = [[]]
+    for j in range(1, matrix.shape[1] + 1):
+        out.append([(size, *edge) for size in range(1, min(j, vocab.longest) + 1) if len((edge := vocab.probe(pre, j - size, j))[0])])
+    return out
+
+
+def begun(edges: list[list[tuple]]) -> list[list[tuple]]:
+    """The same edges by the position where they begin."""
+    out: list[list[tuple]] = [[] for _ in edges]
+    for j, own in enumerate(edges):
+        for size, rows, slot in own:
+            out[j - size].append((size, rows, slot))
+    return out
 
 
-def sums(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray, ends: bool, keep: bool) -> np.ndarray:
-    """Logarithms of the sums over all segmentations of each prefix (ends) or suffix, by position, row and language;
-    keep: of all positions, else of the whole string only. A string's values are stored relative to a scale of their own,
-    which is drawn to the newest position every RESCALE bytes for the positions that later ones still read."""
+def sums(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray, edges: list[list[tuple]], ends: bool, keep: bool) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of each prefix (ends; edges by their end) or suffix (edges by their
+    begin), by position, row and language; keep: of all positions, else of the whole string only. A string's values are
+    stored relative to a scale of their own, which is drawn to the newest position every RESCALE bytes for the positions
+    that later ones still read."""
     n, length = matrix.shape
     value = np.zeros((length + 1, n, probs.shape[1]))
     scale = np.zeros_like(value) if keep else None
     now = np.zeros((n, probs.shape[1]))
     step = -1 if ends else 1
     value[0 if ends else length] = 1
-    for j, edges in by_edges(vocab, matrix, ends):
+    for j in range(1, length + 1) if ends else range(length - 1, -1, -1):
         value[j] = value[j + step] * single[matrix[:, j - 1 if ends else j]]
-        for size, rows, slot in edges:
+        for size, rows, slot in edges[j]:
             value[j][rows] += value[j + step * size][rows] * probs[slot]
         done = j if ends else length - j
         if keep:
@@ -163,23 +173,24 @@ def sums(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarra
             if keep:
                 scale[near] = now
     if keep:
-        with np.errstate(divide="ignore"):
-            return np.log(value) + scale
+        return np.log(value) + scale
     return np.log(value[length if ends else 0]) + now
 
 
 def forward(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations, by row and language. probs: slot x language; single: byte x language."""
-    return sums(vocab, probs, single, matrix, True, False)
+    return sums(vocab, probs, single, matrix, edges_of(vocab, matrix), True, False)
 
 
 def expected(vocab: Pieces, probs: np.ndarray, single: np.ndarray, matrix: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses of each slot by language, over all segmentations of rows that count weight (row x language) times."""
-    alpha, beta = (sums(vocab, probs, single, matrix, ends, True) for ends in (True, False))
+    edges = edges_of(vocab, matrix)
+    alpha = sums(vocab, probs, single, matrix, edges, True, True)
+    beta = sums(vocab, probs, single, matrix, begun(edges), False, True)
     total = alpha[-1]
     slots, uses = [], []
-    for j, edges in by_edges(vocab, matrix, True):
-        for size, rows, slot in edges:
+    for j, own in enumerate(edges):
+        for size, rows, slot in own:
             slots.append(slot)
             uses.append(np.exp(alpha[j - size][rows] + beta[j][rows] - total[rows]) * probs[slot] * weight[rows])
     if not slots:
