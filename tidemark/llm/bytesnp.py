@@ -26,10 +26,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 GAP = SPACE.copy()
 GAP[[b for b in range(128) if not chr(b).isalnum()]] = True
 #: Bytes of text handled at a time, so that eight-byte work arrays stay small.
-CHUNK = 2 << 20
+CHUNK = (1 << 20) - 64
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << log2
     out = []
@@ -41,7 +41,7 @@ def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(22, int(n).bit_length()))
+    return _powers(max(20, int(n).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

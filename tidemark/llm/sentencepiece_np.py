@@ -23,7 +23,7 @@ from tidemark.llm.langid import VOCABULARY
 from tidemark.llm.pieces import Pieces, by_length, viterbi
 
 #: Bytes of text encoded together: work arrays hold several numbers for each.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
