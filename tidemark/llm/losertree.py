@@ -24,7 +24,8 @@ def common(a: bytes, b: bytes, start: int) -> int:
 
 
 def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
-    """runs: (strings in order, each one's prefix shared with the one before). Yields (run, index, prefix shared with the one put out before)."""
+    """runs: (strings in order, each one's prefix shared with the one before); a run's strings are asked for one after the
+    other, so they may be decoded on the way. Yields (run, index, prefix shared with the one put out before)."""
     k = 1
     while k < len(runs):
         k *= 2

@@ -22,6 +22,7 @@ cut into places as any other: no step holds more than one of them with its batch
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,7 +36,7 @@ from tidemark.llm.store import Scratch, id_and_text
 
 GRAM = 16
 #: Text bytes for each range of anchor hashes.
-PER_RANGE = 48 << 20
+PER_RANGE = 16 << 20
 #: Text bytes whose keys are sorted as one run.
 RUN = 8 << 20
 #: Places whose keys are cut out together.
@@ -310,17 +311,28 @@ def intervals(doc: np.ndarray, tk: np.ndarray, begin: np.ndarray, end: np.ndarra
     return np.array([len(doc)], np.int64).tobytes() + planes(zigzag(doc), 8) + planes(tk, 4) + planes(begin, 5) + planes(end, 5)
 
 
-def _read_run(x: dict, width: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    shared = list(x["shared"])
-    rest, keys, before, at = x["rest"], [], b"", 0
-    for s in shared:
-        n = width - s
-        before = before[:s] + rest[at : at + n]
-        keys.append(before)
-        at += n
-    m = len(x["load"]) // 21
-    load = x["load"]
-    return keys, shared, unplanes(load[: 4 * m], 4).astype(np.int64), unzigzag(unplanes(load[4 * m : 12 * m], 8)), unplanes(load[12 * m : 16 * m], 4).astype(np.int64), unplanes(load[16 * m :], 5).astype(np.int64)
+class Run:
+    """A front-coded run, decoded key by key as the merge asks for the next one: only the current key is held."""
+
+    def __init__(self, shared: bytes, rest: bytes, width: int):
+        self.shared, self.rest, self.width = shared, rest, width
+        self.i, self.at, self.key = -1, 0, b""
+
+    def __len__(self) -> int:
+        return len(self.shared)
+
+    def __getitem__(self, i: int) -> bytes:
+        while self.i < i:
+            self.i += 1
+            same = self.shared[self.i]
+            end = self.at + self.width - same
+            self.key, self.at = self.key[:same] + self.rest[self.at : end], end
+        return self.key
+
+
+def _read_load(load: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    m = len(load) // 21
+    return unplanes(load[: 4 * m], 4).astype(np.int64), unzigzag(unplanes(load[4 * m : 12 * m], 8)), unplanes(load[12 * m : 16 * m], 4).astype(np.int64), unplanes(load[16 * m :], 5).astype(np.int64)
 
 
 def _merge(window: int):
@@ -332,31 +344,36 @@ def _merge(window: int):
                 for x in rows:
                     yield _rows(*_read_intervals(x["load"]))
                 continue
-            runs = [_read_run(x, width) for x in rows]
-            distinct, kin, place_of, prev_gram = [], [], [np.zeros(len(r[0]), np.int64) for r in runs], -1
-            for which, i, shared in merge([(r[0], r[1]) for r in runs]):
-                if shared < width or not distinct:
-                    prev_gram += shared < GRAM or not distinct
-                    distinct.append(runs[which][0][i])
+            runs = [Run(x["shared"], x["rest"], width) for x in rows]
+            distinct, kin, place_of, prev_gram = bytearray(), array("i"), [np.zeros(len(r), np.int32) for r in runs], -1
+            for which, i, shared in merge([(r, r.shared) for r in runs]):
+                if shared < width or not kin:
+                    prev_gram += shared < GRAM or not kin
+                    distinct += runs[which][i]
                     kin.append(prev_gram)
-                place_of[which][i] = len(distinct) - 1
-            group = np.concatenate([p[r[2]] for p, r in zip(place_of, runs, strict=True)])
-            doc, tk, place = (np.concatenate([r[k] for r in runs]) for k in (3, 4, 5))
-            keys = np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, width)
+                place_of[which][i] = len(kin) - 1
+            loads = [_read_load(x["load"]) for x in rows]
+            group = np.concatenate([p[r[0]] for p, r in zip(place_of, loads, strict=True)])
+            doc, tk, place = (np.concatenate([r[k] for r in loads]) for k in (1, 2, 3))
+            del runs, rows, loads, place_of
+            keys = np.frombuffer(distinct, np.uint8).reshape(-1, width)
             least = np.full(len(keys), np.iinfo(np.int64).max)
             np.minimum.at(least, group, doc)
             low, high = offsets(keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64), window)
             g = group
             gone = (doc > least[g]) & (low[g] <= high[g])
-            found = [(doc[gone], tk[gone], place[gone] - high[g][gone], place[gone] - low[g][gone] + window)]
-            # Keys that share the anchor and differ around it: window by window.
-            kin = np.array(kin)
-            crowd = np.bincount(kin)[kin] > 1
-            if crowd.any():
-                for o, hit in _by_window(keys[crowd], kin[crowd], least[crowd], low[crowd], high[crowd], window):
-                    own = np.flatnonzero(crowd)[hit]
-                    found.append(_spread(own, o, group, doc, least, tk, place, window))
-            yield _rows(*[np.concatenate([f[k] for f in found]) for k in range(4)])
+            yield _rows(doc[gone], tk[gone], place[gone] - high[g][gone], place[gone] - low[g][gone] + window)
+            # Keys that share the anchor and differ around it: window by window, in blocks of whole anchors.
+            kin = np.frombuffer(kin, np.int32)
+            crowd = np.flatnonzero(np.bincount(kin)[kin] > 1)
+            begin = np.append(np.flatnonzero(np.diff(kin[crowd], prepend=-1)), len(crowd))
+            lo = 0
+            while lo < len(begin) - 1:
+                hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + PLACES, "right")) - 1)
+                own, lo = crowd[begin[lo] : begin[hi]], hi
+                found = [_spread(own[hit], o, group, doc, least, tk, place, window) for o, hit in _by_window(keys[own], kin[own], least[own], low[own], high[own], window)]
+                if found:
+                    yield _rows(*[np.concatenate([f[k] for f in found]) for k in range(4)])
 
     return run
 
