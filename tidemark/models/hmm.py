@@ -116,39 +116,138 @@ def emissions(x: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return means, np.array([shrunk_covariance(x - means[k], np.maximum(gamma[:, k], 1e-12)) + eye for k in range(STATES)])
 
 
-def fit_once(x: np.ndarray, h: np.ndarray, seed: int, iterations: int = 200, tol: float = 1e-6, warm: Hmm | None = None) -> Hmm:
-    rng = np.random.Generator(np.random.PCG64(seed))
+def many_covariances(centred: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """shrunk_covariance of each start and state. centred: start x state x week x feature; weight: start x state x week."""
+    total = weight.sum(axis=2)[..., None, None]
+    cov = np.einsum("rktd,rkt,rkte->rkde", centred, weight, centred, optimize=True) / total
+    target = cov * np.eye(cov.shape[-1])
+    size = ((cov - target) ** 2).sum(axis=(2, 3))
+    apart = (centred**2).sum(axis=3) ** 2 - 2 * np.einsum("rktd,rkde,rkte->rkt", centred, cov, centred, optimize=True) + (cov**2).sum(axis=(2, 3))[..., None]
+    noise = (weight**2 * apart).sum(axis=2) / total[..., 0, 0] ** 2
+    share = np.where(size > 0, np.clip(noise / np.where(size > 0, size, 1), 0, 1), 1)[..., None, None]
+    return (1 - share) * cov + share * target
+
+
+def many_emissions(x: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """gamma: start x week x state."""
+    w = np.maximum(gamma, 1e-12).transpose(0, 2, 1)
+    means = gamma.transpose(0, 2, 1) @ x / np.maximum(gamma.sum(axis=1), 1e-12)[..., None]
+    return means, many_covariances(x - means[:, :, None, :], w) + 1e-6 * np.eye(x.shape[1])
+
+
+def many_log_emissions(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """start x week x state."""
+    low = np.linalg.cholesky(covs)
+    z = np.linalg.solve(low, (x - means[:, :, None, :]).transpose(0, 1, 3, 2))
+    half = np.log(np.diagonal(low, axis1=2, axis2=3)).sum(axis=2)
+    return (-0.5 * (z**2).sum(axis=2) - half[..., None] - 0.5 * x.shape[1] * np.log(2 * np.pi)).transpose(0, 2, 1)
+
+
+def many_posteriors(initial: np.ndarray, stay: np.ndarray, log_emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood, posteriors of states, and of leaving and staying, by scaled sums. stay: start x week x state (week t leads to t + 1)."""
+    n, weeks, k = log_emit.shape
+    top = log_emit.max(axis=2, keepdims=True)
+    emit = np.exp(log_emit - top)
+    away = (1 - stay) / (k - 1)
+    alpha, scale = np.empty_like(emit), np.empty((n, weeks))
+    now = (initial + 1e-12) * emit[:, 0]
+    for t in range(weeks):
+        if t:
+            out = now * away[:, t - 1]
+            now = (now * stay[:, t - 1] + out.sum(axis=1, keepdims=True) - out) * emit[:, t]
+        scale[:, t] = now.sum(axis=1)
+        now = now / scale[:, t, None]
+        alpha[:, t] = now
+    beta = np.ones_like(emit)
+    pairs = np.empty((n, weeks - 1, 2, k))
+    for t in range(weeks - 2, -1, -1):
+        ahead = emit[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
+        others = ahead.sum(axis=1, keepdims=True) - ahead
+        go, keep = away[:, t] * others, stay[:, t] * ahead
+        beta[:, t] = go + keep
+        pairs[:, t, 0], pairs[:, t, 1] = alpha[:, t] * go, alpha[:, t] * keep
+    return np.log(scale).sum(axis=1) + top.sum(axis=(1, 2)), alpha * beta, pairs
+
+
+def many_hazards(go: np.ndarray, stay: np.ndarray, x: np.ndarray, b: np.ndarray, l2: float = 1e-3, iterations: int = 50, tol: float = 1e-10) -> np.ndarray:
+    """Penalised logistic fits, one for each leading row, from b on: damped Newton steps. go, stay: fit x week; x: fit x week x 3."""
+    def at(b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        eta = np.clip(np.einsum("ftj,fj->ft", x[own], b), -50, 50)
+        value = (stay[own] * np.logaddexp(0, eta) + go[own] * np.logaddexp(0, -eta)).sum(axis=1) + l2 * (b**2).sum(axis=1)
+        return value, eta, 1 / (1 + np.exp(-eta))
+
+    b, live = b.copy(), np.arange(len(b))
+    value, _, p = at(b, live)
+    for _ in range(iterations):
+        both = go[live] + stay[live]
+        g = np.einsum("ftj,ft->fj", x[live], both * p - go[live]) + 2 * l2 * b[live]
+        h = np.einsum("fti,ft,ftj->fij", x[live], both * p * (1 - p), x[live], optimize=True) + (2 * l2 + 1e-10) * np.eye(3)
+        step = np.linalg.solve(h, g[..., None])[..., 0]
+        drop = (g * step).sum(axis=1)
+        more = drop >= tol
+        live, step, drop, value, p = live[more], step[more], drop[more], value[more], p[more]
+        if not len(live):
+            break
+        size = np.ones(len(live))
+        while True:
+            new, _, q = at(b[live] - size[:, None] * step, live)
+            short = (new > value - 1e-4 * size * drop) & (size >= 1e-8)
+            if not short.any():
+                break
+            size[short] /= 2
+        b[live] -= size[:, None] * step
+        value, p = new, q
+    return b
+
+
+def fit_many(x: np.ndarray, h: np.ndarray, starts: list[int], iterations: int = 200, tol: float = 1e-6, warm: Hmm | None = None) -> list[Hmm | None]:
+    """A fit from each start (its own random stream, or `warm`), all advanced together; None where one breaks down."""
+    n, weeks = len(starts), len(x)
     if warm is None:
-        gamma = soft_assignment(x, seeds(x, rng))
-        means, covs = emissions(x, gamma)
-        model = Hmm(np.full(STATES, 1 / STATES), np.tile([-2.0, 0.0, 0.0], (STATES, 1)), means, covs)
+        gamma = np.array([soft_assignment(x, seeds(x, np.random.Generator(np.random.PCG64(s)))) for s in starts])
+        means, covs = many_emissions(x, gamma)
+        initial, hazard = np.full((n, STATES), 1 / STATES), np.tile([-2.0, 0.0, 0.0], (n, STATES, 1))
     else:
-        model = Hmm(warm.initial, warm.hazard, warm.means, warm.covs)
-    dwell = np.ones((len(x), STATES))
+        initial, hazard, means, covs = (np.repeat(v[None], n, axis=0) for v in (warm.initial, warm.hazard, warm.means, warm.covs))
+    loglik = np.full(n, -np.inf if warm is None else warm.loglik)
+    dwell = np.ones((n, weeks, STATES))
+    live, broken = np.arange(n), np.zeros(n, bool)
     for _ in range(iterations):
-        emit = log_emissions(x, model.means, model.covs)
-        trans = log_transitions(model.hazard, dwell, h)
-        alpha = filtered(np.log(model.initial + 1e-12), trans, emit)
-        loglik = float(logsumexp(alpha[-1], 0))
-        gamma, pairs = smoothed(alpha, trans, emit)
-        done = abs(loglik - model.loglik) < tol * (1 + abs(loglik))
-        means, covs = emissions(x, gamma)
-        dwell = dwell_path(gamma.argmax(axis=1))
-        model = Hmm(gamma[0] / gamma[0].sum(), fit_hazard(pairs, dwell[:-1], h[:-1]), means, covs, loglik)
-        if done:
+        sound = np.array([np.isfinite(c).all() and (np.linalg.eigvalsh(c)[..., 0] > 0).all() for c in covs[live]])
+        broken[live[~sound]] = True
+        live = live[sound]
+        if not len(live):
+            break
+        eta = np.clip(hazard[live, None, :, 0] + hazard[live, None, :, 1] * dwell[live] + hazard[live, None, :, 2] * h[None, :, None], -50, 50)
+        leave = np.clip(1 / (1 + np.exp(-eta)), 1e-12, 1 - 1e-12)
+        ll, gamma, pairs = many_posteriors(initial[live], 1 - leave, many_log_emissions(x, means[live], covs[live]))
+        done = np.abs(ll - loglik[live]) < tol * (1 + np.abs(ll))
+        loglik[live] = ll
+        means[live], covs[live] = many_emissions(x, gamma)
+        initial[live] = gamma[:, 0] / gamma[:, 0].sum(axis=1, keepdims=True)
+        dwell[live] = [dwell_path(s) for s in gamma.argmax(axis=2)]
+        before = dwell[live][:, :-1].transpose(0, 2, 1).reshape(-1, weeks - 1)
+        design = np.stack([np.ones_like(before), before, np.broadcast_to(h[:-1], before.shape)], axis=2)
+        go, stay = (pairs[:, :, j].transpose(0, 2, 1).reshape(-1, weeks - 1) for j in (0, 1))
+        hazard[live] = many_hazards(go, stay, design, hazard[live].reshape(-1, 3)).reshape(-1, STATES, 3)
+        live = live[~done]
+        if not len(live):
             break
+    return [None if broken[k] else Hmm(initial[k], hazard[k], means[k], covs[k], float(loglik[k])) for k in range(n)]
+
+
+def fit_once(x: np.ndarray, h: np.ndarray, seed: int, iterations: int = 200, tol: float = 1e-6, warm: Hmm | None = None) -> Hmm:
+    model = fit_many(x, h, [seed], iterations, tol, warm)[0]
+    if model is None:
+        raise np.linalg.LinAlgError("a state's covariance is not positive definite")
     return model
 
 
 def fit(x: np.ndarray, h: np.ndarray, restarts: int = 50, iterations: int = 200, seed: int = 0) -> Hmm:
     """The best of several starts, the first of equals. Starts are independent: each has its own stream."""
     best: Hmm | None = None
-    for r in range(restarts):
-        try:
-            m = fit_once(x, h, seed * 1000 + r, iterations)
-        except np.linalg.LinAlgError:
-            continue
-        if best is None or m.loglik > best.loglik:
+    for m in fit_many(x, h, [seed * 1000 + r for r in range(restarts)], iterations):
+        if m is not None and (best is None or m.loglik > best.loglik):
             best = m
     if best is None:
         raise ValueError("no start converged")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of training rows that walk-forward tasks may share by broadcast; beyond it each series is one grouped task.
 SHARED = 64 << 20
+#: Starts of a state model that one task advances together.
+TOGETHER = 10
 
 
 def no_states(n: int) -> np.ndarray:
@@ -24,16 +26,14 @@ def best_hmm(returns: DataFrame, restarts: int, iterations: int) -> DataFrame:
         from tidemark.models import hmm
 
         pdf = pdf.sort_values("week")
-        r = pdf["r"].to_numpy(float)
+        r, first = pdf["r"].to_numpy(float), int(pdf["first"].iloc[0])
         x = np.column_stack([r, np.abs(r)])
-        try:
-            m = hmm.fit_once(x, np.zeros(len(r)), int(pdf["start"].iloc[0]), iterations)
-        except np.linalg.LinAlgError:
-            return pd.DataFrame()
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "start": [int(pdf["start"].iloc[0])], "loglik": [m.loglik], "means": [m.means[:, 0].tolist()]})
-
-    rows = returns.where("r is not null").select("series_id", "week", "r").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    fits = rows.groupBy("series_id", "start").applyInPandas(fit, "series_id string, start int, loglik double, means array<double>")
+        starts = list(range(first, min(first + TOGETHER, restarts)))
+        found = [(s, m) for s, m in zip(starts, hmm.fit_many(x, np.zeros(len(r)), starts, iterations), strict=True) if m is not None]
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "start": [s for s, _ in found], "loglik": [m.loglik for _, m in found], "means": [m.means[:, 0].tolist() for _, m in found]})
+
+    rows = returns.where("r is not null").select("series_id", "week", "r").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1), F.lit(TOGETHER))))
+    fits = rows.groupBy("series_id", "first").applyInPandas(fit, "series_id string, start int, loglik double, means array<double>")
     best = fits.groupBy("series_id").agg(F.max_by(F.struct("start", "loglik", "means"), F.struct(F.round("loglik", 6), -F.col("start"))).alias("b"))
     order = F.array_sort(F.transform(F.col("b.means"), lambda m, i: F.struct(m.alias("m"), i.alias("i"))))
     return best.select("series_id", "b.start", F.round("b.loglik", 3).alias("loglik"), F.transform(order, lambda s: s["i"].cast("int")).alias("states_by_return"))
