@@ -249,7 +249,8 @@ def test_production_bootstraps(spark, monkeypatch):
     rng, reps = np.random.default_rng(4), 2000
     p, b, y = (rng.uniform(0.5, 1.5, 30) for _ in range(3))
     rows = spark.createDataFrame([(k, float(p[k]), float(b[k]), float(y[k])) for k in range(30)], "idx bigint, p double, b double, y double")
-    monkeypatch.setattr(backtest, "metric_rows", lambda spark, d: rows)
+    two = rows.selectExpr("'A' AS series_id", "*").unionByName(rows.where("idx < 17").selectExpr("'B' AS series_id", "*"))
+    monkeypatch.setattr(backtest, "all_metric_rows", lambda spark, d: two)
     monkeypatch.setattr(backtest, "week_rows", lambda spark, d: rows)
     draws = {}
     for length in (52, 78):
@@ -261,9 +262,10 @@ def test_production_bootstraps(spark, monkeypatch):
                 i = s * 30 // P.LCG_M if i < 0 or s1 * length < P.LCG_M else (i + 1) % 30
                 path.append(i)
             draws[length, r] = path
-    stream = {(r["block_length"], r["rep"]): (r["n"], r["checksum"]) for r in backtest.bootstrap_stream_production(spark, "").collect()}
-    assert stream == {k: (30, sum(v)) for k, v in draws.items()}
-    single = {r["block_length"]: r for r in backtest.bootstrap_p05_production(spark, "").collect()}
+    streams = backtest.bootstrap_stream_production(spark, "").collect()
+    assert {(r["block_length"], r["rep"]): (r["n"], r["checksum"]) for r in streams if r["series_id"] == "A"} == {k: (30, sum(v)) for k, v in draws.items()}
+    assert [r["n"] for r in streams if r["series_id"] == "B"] == [17] * 2 * reps
+    single = {r["block_length"]: r for r in backtest.bootstrap_p05_production(spark, "").collect() if r["series_id"] == "A"}
     cluster = {r["block_length"]: r for r in backtest.cluster_bootstrap_p05_production(spark, "").collect()}
     for length in (52, 78):
         at = [draws[length, r] for r in range(reps)]

@@ -26,22 +26,36 @@ def gates(metrics: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFr
     return metrics.select(F.explode(F.array(*rows)).alias("g")).select("g.gate", "g.observed", "g.passed")
 
 
+def jumps(spark: SparkSession, n: int) -> DataFrame:
+    """(pos, a1, c1, a2, c2) of n positions: the generator's states 2 * pos + 1 and 2 * pos + 2 are a * start + c."""
+    rows, a, c = [], 1, 0
+    for pos in range(n):
+        row = [pos]
+        for _ in range(2):
+            a, c = a * LCG_A % LCG_M, (c * LCG_A + LCG_C) % LCG_M
+            row += [a, c]
+        rows.append(tuple(row))
+    return spark.createDataFrame(rows, "pos bigint, a1 bigint, c1 bigint, a2 bigint, c2 bigint")
+
+
+def index_streams(sizes: DataFrame, keys: list[str], reps: int, lengths: list[int], seed: int) -> DataFrame:
+    """(keys, block_length, rep, pos, idx): stationary blocks of each mean length over the n circular positions of each row
+    of sizes (keys, n). Two draws belong to each position, computed from the replication's start without those before; an
+    index counts on from the last position where a block began. sizes has a row per series, n is its weeks."""
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    rows = sizes.select(*keys, "n", F.explode(F.array(*map(F.lit, lengths))).alias("block_length")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
+    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).join(F.broadcast(jumps(sizes.sparkSession, longest)), "pos")
+    start = F.pmod(F.lit(seed) + F.col("rep") * 7919, F.lit(LCG_M))
+    draw = lambda k: F.pmod(F.pmod(F.col(f"a{k}") * start, F.lit(LCG_M)) + F.col(f"c{k}"), F.lit(LCG_M))
+    fresh = F.when((F.col("pos") == 0) | (draw(1) * F.col("block_length") < LCG_M), F.struct("pos", F.floor(draw(2) * F.col("n") / LCG_M).alias("i")))
+    w = Window.partitionBy(*keys, "block_length", "rep").orderBy("pos")
+    begun = rows.withColumn("b", F.last(fresh, ignorenulls=True).over(w))
+    return begun.select(*keys, "block_length", "rep", "pos", F.pmod(F.col("b.i") + F.col("pos") - F.col("b.pos"), F.col("n")).cast("bigint").alias("idx"))
+
+
 def index_stream(spark: SparkSession, reps: int, n: int, length: int, seed: int) -> DataFrame:
-    """(rep, pos, idx): stationary blocks of mean length over n circular positions. Each replication folds its own
-    generator state, so replications are independent of each other and of how they are dealt out."""
-    start = F.struct(F.pmod(F.lit(seed) + F.col("rep") * 7919, F.lit(LCG_M)).alias("s"), F.lit(-1).cast("bigint").alias("i"))
-    path0 = F.array().cast("array<bigint>")
-
-    def step(acc: Column, pos: Column) -> Column:
-        s1 = F.pmod(acc["state"]["s"] * LCG_A + LCG_C, F.lit(LCG_M))
-        s2 = F.pmod(s1 * LCG_A + LCG_C, F.lit(LCG_M))
-        fresh = (acc["state"]["i"] < 0) | (s1 * length < LCG_M)
-        i = F.when(fresh, F.floor(s2 * n / LCG_M)).otherwise(F.pmod(acc["state"]["i"] + 1, F.lit(n)))
-        return F.struct(F.struct(s2.alias("s"), i.cast("bigint").alias("i")).alias("state"), F.concat(acc["path"], F.array(i.cast("bigint"))).alias("path"))
-
-    zero = F.struct(start.alias("state"), path0.alias("path"))
-    folded = spark.range(reps).select(F.col("id").alias("rep")).select("rep", F.aggregate(F.sequence(F.lit(1), F.lit(n)), zero, step)["path"].alias("path"))
-    return folded.select("rep", F.posexplode("path").alias("pos", "idx"))
+    """(rep, pos, idx) of one series of n positions."""
+    return index_streams(spark.range(1).select(F.lit(n).cast("bigint").alias("n")), [], reps, [length], seed).select("rep", "pos", "idx")
 
 
 def resampled(metrics: DataFrame, stream: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,31 +176,54 @@ def cluster_p05(spark, rows: DataFrame, reps: int, length: int) -> DataFrame:
     return v.agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.avg("gain"), "gain_mean"))
 
 
-#: Production values of the bootstraps. The queries above are the same plans at a size that SQL can check.
-PRODUCTION_REPS, PRODUCTION_LENGTHS = 2000, (52, 78)
+#: Production values of the bootstraps, for every series. The queries above are smaller ones of the same kind.
+PRODUCTION_REPS, PRODUCTION_LENGTHS = 2000, [52, 78]
+
+
+def streams_sql(keys: str) -> str:
+    """st (keys, block_length, rep, pos, idx) over mx (keys, idx, ...), by recursion from position to position."""
+    k = "".join(f"{x}, " for x in keys.split())
+    each = f" GROUP BY {', '.join(keys.split())}" if keys else ""
+    return f"""nn AS (SELECT {k}CAST(count(*) AS BIGINT) AS n FROM mx{each}), st AS (SELECT {k}n, len AS block_length, r AS rep, 0 AS k, CAST(({SEED} + r * 7919) % {P.LCG_M} AS HUGEINT) AS s, CAST(-1 AS BIGINT) AS i FROM nn, range({PRODUCTION_REPS}) t(r), (VALUES {', '.join(f'({x})' for x in PRODUCTION_LENGTHS)}) l(len) UNION ALL
+SELECT {k}n, block_length, rep, k + 1, s2, CASE WHEN i < 0 OR s1 * block_length < {P.LCG_M} THEN CAST(s2 * n // {P.LCG_M} AS BIGINT) ELSE (i + 1) % n END FROM (SELECT *, (s1 {LCG} AS s2 FROM (SELECT *, (s {LCG} AS s1 FROM st) x WHERE k < n) y),
+bs AS (SELECT {k}block_length, rep, k - 1 AS pos, i AS idx FROM st WHERE k > 0)"""
+
+
+EACH = f"{FORECAST.replace('WITH prices', 'WITH RECURSIVE prices', 1)}, mx AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY week) - 1 AS idx, {PINBALL} AS p, abs(y) AS b, y FROM fc)"
+
 
+def all_metric_rows(spark, d) -> DataFrame:
+    """(series_id, idx, p, b, y) of every series."""
+    return forecast(spark, d).select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("week")) - 1).cast("bigint").alias("idx"), Q.pinball("y", QS).alias("p"), F.abs("y").alias("b"), "y")
 
-def each_length(f) -> DataFrame:
-    """f(length) of each production block length, with the length as first column."""
-    return reduce(DataFrame.unionByName, [f(n).select(F.lit(n).alias("block_length"), "*") for n in PRODUCTION_LENGTHS])
 
+def each_series(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The metric rows of every series, and the streams of their replications."""
+    rows = all_metric_rows(spark, d)
+    return rows, P.index_streams(rows.groupBy("series_id").agg(F.count("*").alias("n")), ["series_id"], PRODUCTION_REPS, PRODUCTION_LENGTHS, SEED)
 
-@query()
+
+@query(f"{EACH}, {streams_sql('series_id')} SELECT series_id, block_length, CAST(rep AS BIGINT) AS rep, count(*) AS n, CAST(sum(idx) AS BIGINT) AS checksum FROM bs GROUP BY 1, 2, 3")
 def bootstrap_stream_production(spark, d):
-    n = metric_rows(spark, d).count()
-    return each_length(lambda length: P.index_stream(spark, PRODUCTION_REPS, n, length, SEED).groupBy("rep").agg(F.count("*").alias("n"), F.sum("idx").alias("checksum")))
+    return each_series(spark, d)[1].groupBy("series_id", "block_length", "rep").agg(F.count("*").alias("n"), F.sum("idx").alias("checksum"))
+
 
+P05 = "v AS (SELECT series_id, block_length, rep, 1 - avg(p) / avg(b) AS gain, 52 * (avg(y) - 0.5::DOUBLE * var_samp(y)) AS ceq FROM bs JOIN mx USING (series_id, idx) GROUP BY 1, 2, 3)"
 
-@query()
+
+@query(f"{EACH}, {streams_sql('series_id')}, {P05} SELECT series_id, block_length, round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(quantile_cont(ceq, 0.05::DOUBLE), 6) AS ceq_p05 FROM v GROUP BY 1, 2")
 def bootstrap_p05_production(spark, d):
-    rows = metric_rows(spark, d)
-    return each_length(lambda length: p05(spark, rows, PRODUCTION_REPS, length))
+    rows, streams = each_series(spark, d)
+    stats = streams.join(F.broadcast(rows), ["series_id", "idx"]).groupBy("series_id", "block_length", "rep").agg((1 - F.try_divide(F.avg("p"), F.avg("b"))).alias("gain"), P.certainty_equivalent("y").alias("ceq"))
+    return stats.groupBy("series_id", "block_length").agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.percentile("ceq", F.lit(0.05)), "ceq_p05"))
 
 
-@query()
+@query(f"{CLUSTER}, {streams_sql('')}, v AS (SELECT block_length, rep, 1 - sum(p) / sum(b) AS gain FROM bs JOIN mx USING (idx) GROUP BY 1, 2) SELECT block_length, round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(avg(gain), 6) AS gain_mean FROM v GROUP BY 1")
 def cluster_bootstrap_p05_production(spark, d):
     rows = week_rows(spark, d)
-    return each_length(lambda length: cluster_p05(spark, rows, PRODUCTION_REPS, length))
+    streams = P.index_streams(rows.agg(F.count("*").alias("n")), [], PRODUCTION_REPS, PRODUCTION_LENGTHS, SEED)
+    v = streams.join(F.broadcast(rows), "idx").groupBy("block_length", "rep").agg((1 - F.sum("p") / F.sum("b")).alias("gain"))
+    return v.groupBy("block_length").agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.avg("gain"), "gain_mean"))
 
 
 @query(
