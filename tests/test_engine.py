@@ -331,3 +331,87 @@ def test_garch_and_tail():
         assert 0.01 < sigma < 0.04 and np.isfinite(nll)
     k, nu = scale.fit_tail(g.standard_t(5, 4000) * math.sqrt(3 / 5) * 2)
     assert k == pytest.approx(2, rel=0.1) and 3.5 < nu < 8
+
+
+def test_state_inputs_and_decision_stats():
+    from tidemark.models.pca import two_components
+    from tidemark.plans import training
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 5))
+    obs, h = training.state_inputs(x)
+    pc = two_components(x)
+    assert np.allclose(obs, np.column_stack([pc[1:], np.diff(pc, axis=0), x[1:, 3], x[1:, 4]])) and np.allclose(h, x[1:, 1] + 0.5 * x[1:, 4])
+    with pytest.raises(ValueError):
+        training.state_inputs(x[:2])
+    q = np.sort(rng.normal(size=(40, 5)), axis=1)
+    full = training.full_curve(q)
+    mean, es, loss = training.moments(full)
+    grid = np.linspace(0.05, 0.95, 200_001)
+    line = np.interp(grid, training.TAUS, full[3])
+    assert mean[3] == pytest.approx(line.mean(), abs=1e-4) and es[3] == pytest.approx(-line[grid <= 0.2].mean(), abs=1e-4)
+    assert loss[3] == pytest.approx(np.interp(0, full[3], training.TAUS, left=0, right=1))
+    stats, cuts = training.decision_stats(full)
+    assert set(stats) == {f"{a}_{b}" for a in ("er", "es20", "ploss") for b in ("med", "mad")} and list(cuts.values()) == sorted(cuts.values())
+    golden = training.moments(np.array([[-0.30, -0.20, -0.10, 0, 0.10, 0.20, 0.30]]))
+    assert [float(v[0]) for v in golden] == pytest.approx([0, 0.19444444444444445, 0.5])
+
+
+def test_training_job_writes_and_reads_six_files(spark, monkeypatch):
+    import json
+
+    from tidemark.plans import training
+    from tidemark.queries import panel
+
+    rng = np.random.default_rng(5)
+    start = dt.date(2000, 1, 7)
+    rows = []
+    for s, n in (("A", 120), ("B", 100), ("C", 40)):
+        for k in range(n):
+            x = rng.normal(size=5)
+            rows.append((s, start + dt.timedelta(weeks=k), *map(float, x), *map(float, 10 * x), float(0.1 * x[0] + rng.normal() / 10)))
+    df = spark.createDataFrame(rows, "series_id string, week date, " + ", ".join(f"{n} double" for n in [*panel.ZS, *panel.XS, "y"]))
+    made = {(r["series_id"], r["file"]): r["text"] for r in training.trained(df, panel.ZS, panel.XS, restarts=4, iterations=8, together=2).collect()}
+    files = {"utility_zstats.json", "offense_thresholds.json", "state_label_map.json", "train_distributions.json", "qr_coefs.json", "hmm_model.json"}
+    assert set(made) == {(s, f) for s in "AB" for f in files}, "a series with too few rows has no artifact"
+    for text in made.values():
+        assert text == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+    assert len(json.loads(made["A", "train_distributions.json"])["x1"]) == 120 - training.EMBARGO - 1
+    assert json.loads(made["A", "state_label_map.json"]) == json.loads(made["A", "hmm_model.json"])["label_map"]
+    again = {(r["series_id"], r["file"]): r["text"] for r in training.trained(df, panel.ZS, panel.XS, restarts=4, iterations=8, together=1).collect()}
+    assert again == made
+    assert "hmm_model.json" not in training.artifact(rng.normal(size=(80, 5)), rng.normal(size=(80, 5)), rng.normal(size=80), None, 5)
+    monkeypatch.setattr(panel, "training_files", lambda spark, d: spark.createDataFrame([(s, f, t) for (s, f), t in made.items()], "series_id string, file string, text string"))
+    job = panel.training_job(spark, "").collect()
+    assert len(job) == len(made) and all(r["round_trip"] and r["n_bytes"] == len(made[r["series_id"], r["file"]]) for r in job)
+
+
+def test_panel_run_predicts_each_week_from_older_rows(spark):
+    from tidemark.models import quantreg
+    from tidemark.plans import training
+
+    rng = np.random.default_rng(6)
+    start = dt.date(2000, 1, 7)
+    rows = [("p", s, start + dt.timedelta(weeks=k), x := float(rng.normal()), x / 2 + float(rng.normal())) for s in "AB" for k in range(60) if (s, k) != ("B", 50)]
+    out = {(r["series_id"], r["week"]): r for r in training.panel_quantiles(spark.createDataFrame(rows, "panel string, series_id string, week date, x double, y double")).collect()}
+    older = lambda w: [r for r in sorted(rows, key=lambda r: (r[1], r[2])) if r[2] <= w - dt.timedelta(weeks=training.EMBARGO)]
+    assert set(out) == {(r[1], r[2]) for r in rows if len(older(r[2])) >= training.LEAST}
+    key = max(out, key=lambda k: (k[1], k[0]))
+    train = older(key[1])
+    theta, _ = quantreg.fit_panel_or_each(np.array([r[1] == "B" for r in train]).astype(int), np.array([[r[3]] for r in train]), np.array([r[4] for r in train]), 2)
+    x = next(r[3] for r in rows if r[1:3] == key)
+    q = np.maximum.accumulate(quantreg.panel_design(np.array([int(key[0] == "B")]), np.array([[x]]), 2) @ theta.T, axis=1)[0]
+    assert [out[key][n] for n in ("q10", "q25", "q50", "q75", "q90")] == pytest.approx(q, abs=2e-6) and out[key]["n_train"] == len(train)
+
+
+def test_masked_fill_rejects_available_values_that_are_not_finite(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.queries.panel import filled
+
+    df = spark.createDataFrame([(1.5, True), (None, False), (float("nan"), False)], "x double, ok boolean")
+    assert [r[0] for r in df.select(filled("x", "ok")).collect()] == [1.5, 0.0, 0.0]
+    for bad in (float("inf"), float("nan"), None):
+        with pytest.raises(Exception, match="not finite"):
+            spark.createDataFrame([(bad, True)], "x double, ok boolean").select(filled("x", "ok")).collect()
+    assert df.select(F.lit(1)).count() == 3

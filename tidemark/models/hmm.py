@@ -243,6 +243,16 @@ def fit_once(x: np.ndarray, h: np.ndarray, seed: int, iterations: int = 200, tol
     return model
 
 
+def posterior_path(model: Hmm, x: np.ndarray, h: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """Posterior of the states by week; dwell times come from the most likely states of the round before."""
+    dwell = np.ones((len(x), STATES))
+    emit = many_log_emissions(x, model.means[None], model.covs[None])
+    for _ in range(rounds):
+        _, gamma, _ = many_posteriors(model.initial[None], 1 - leaving(model.hazard, dwell, h)[None], emit)
+        dwell = dwell_path(gamma[0].argmax(axis=1))
+    return gamma[0]
+
+
 def fit(x: np.ndarray, h: np.ndarray, restarts: int = 50, iterations: int = 200, seed: int = 0) -> Hmm:
     """The best of several starts, the first of equals. Starts are independent: each has its own stream."""
     best: Hmm | None = None

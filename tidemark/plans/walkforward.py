@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bytes of training rows that walk-forward tasks may share by broadcast; beyond it each series is one grouped task.
 SHARED = 64 << 20
 #: Starts of a state model that one task advances together.
-TOGETHER = 10
+TOGETHER = 25
 
 
 def no_states(n: int) -> np.ndarray:
