@@ -265,7 +265,7 @@ ot AS (SELECT oz.*, {state_sql('score')} AS state FROM oz JOIN oq USING (series_
 om AS (SELECT *, {rank_sql('round(score, 9)')} AS rs, {rank_sql('y')} AS ry, {rank_sql('risk')} AS rr, lag(state) OVER (PARTITION BY series_id, object ORDER BY week) AS before, state = 'CONTRACTION' OR score < 0 AS alarm FROM ot),
 di AS (SELECT series_id, object, count(*) AS n_obs, {corr_sql('score', 'y')} AS corr_return, {corr_sql('score', 'risk')} AS corr_risk, {corr_sql('score', 'fall')} AS corr_drawdown, {corr_sql('score', 'comp')} AS corr_composite, {corr_sql('rs', 'ry')} AS rank_return, {corr_sql('rs', 'rr')} AS rank_risk, avg(CASE WHEN before IS NOT NULL THEN CASE WHEN state <> before THEN 1.0::DOUBLE ELSE 0 END END) AS churn FROM om GROUP BY 1, 2),
 cs AS (SELECT series_id, object, s.state, count(*) FILTER (om.state = s.state AND truth = s.state) AS tp, count(*) FILTER (truth = s.state) AS actual, count(*) FILTER (om.state = s.state) AS guessed FROM om CROSS JOIN (SELECT unnest([{', '.join(repr(s) for s in STATES)}]) AS state) s GROUP BY 1, 2, 3),
-cl AS (SELECT series_id, object, avg(CASE WHEN actual > 0 THEN tp / actual::DOUBLE END) AS balanced_accuracy, avg(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (actual + guessed) ELSE 0 END) AS macro_f1 FROM cs GROUP BY 1, 2),
+cl AS (SELECT series_id, object, avg(CASE WHEN actual > 0 THEN tp / actual::DOUBLE END) AS balanced_accuracy, 100 * avg(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (actual + guessed) ELSE 0 END) AS macro_f1_percent FROM cs GROUP BY 1, 2),
 fa AS (SELECT series_id, object, avg(CASE WHEN alarm THEN 1.0::DOUBLE ELSE 0 END) AS false_alarms FROM om WHERE NOT EXISTS (SELECT 1 FROM crises WHERE week BETWEEN a - {7 * LEAD} AND z) GROUP BY 1, 2),
 ld AS (SELECT series_id, object, count(*) AS n_leads, avg(lead) AS mean_lead FROM (SELECT series_id, object, period, max((a - week) // 7) AS lead FROM om JOIN crises ON week <= a AND (a - week) // 7 <= {LEAD} WHERE alarm GROUP BY 1, 2, 3) x GROUP BY 1, 2),
 cw AS (SELECT series_id, object, period, {corr_sql('score', 'comp')} AS c FROM om JOIN windows ON week BETWEEN a AND z GROUP BY 1, 2, 3),
@@ -317,7 +317,7 @@ def cycle_metrics(rows: DataFrame) -> DataFrame:
     di = om.groupBy(*keys).agg(F.count("*").alias("n_obs"), *[guarded_corr("score", x).alias(n) for n, x in named.items()], guarded_corr("rank_tied", "rank_y").alias("rank_return"), guarded_corr("rank_tied", "rank_risk").alias("rank_risk_"), F.avg((c("state") != c("before")).cast("double")).alias("churn")).withColumnRenamed("rank_risk_", "rank_risk")
     counts = [(F.count_if((c("state") == s) & (c("truth") == s)), F.count_if(c("truth") == s), F.count_if(c("state") == s)) for s in STATES]
     each = om.groupBy(*keys).agg(F.array(*[F.struct(tp.alias("tp"), a.alias("actual"), g.alias("guessed")) for tp, a, g in counts]).alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.*")
-    cl = each.groupBy(*keys).agg(F.avg(F.when(c("actual") > 0, c("tp") / c("actual"))).alias("balanced_accuracy"), F.avg(F.when(c("tp") > 0, 2.0 * c("tp") / (c("actual") + c("guessed"))).otherwise(0.0)).alias("macro_f1"))
+    cl = each.groupBy(*keys).agg(F.avg(F.when(c("actual") > 0, c("tp") / c("actual"))).alias("balanced_accuracy"), (100 * F.avg(F.when(c("tp") > 0, 2.0 * c("tp") / (c("actual") + c("guessed"))).otherwise(0.0))).alias("macro_f1_percent"))
     crises = periods["crises"]
     fa = om.join(crises, c("week").between(F.date_sub("a", 7 * LEAD), c("z")), "left_anti").groupBy(*keys).agg(F.avg(c("alarm").cast("double")).alias("false_alarms"))
     weeks = F.floor(F.datediff("a", "week") / 7)
@@ -330,7 +330,7 @@ def cycle_metrics(rows: DataFrame) -> DataFrame:
     return al.withColumn("ok3", c("ok1") & (no("worst") > 0) & (no("dispersion") <= DISPERSION))
 
 
-SHOWN = ["corr_return", "corr_risk", "corr_drawdown", "corr_composite", "rank_return", "rank_risk", "churn", "balanced_accuracy", "macro_f1", "false_alarms", "mean_lead", "dispersion", "worst"]
+SHOWN = ["corr_return", "corr_risk", "corr_drawdown", "corr_composite", "rank_return", "rank_risk", "churn", "balanced_accuracy", "macro_f1_percent", "false_alarms", "mean_lead", "dispersion", "worst"]
 
 
 @query(f"{CYCLE_SQL} SELECT series_id, object, n_obs, leads, {', '.join(f'round({x}, 6) AS {x}' for x in SHOWN)}, ok1 AS layer_1, coalesce(ok2, FALSE) AS layer_2, coalesce(ok3, FALSE) AS layer_3, CASE WHEN ok1 AND ok2 AND ok3 THEN 'PASS' WHEN ok1 THEN 'PARTIAL' ELSE 'FAIL' END AS overall FROM l2")

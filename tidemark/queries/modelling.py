@@ -52,6 +52,36 @@ def weighted_covariance(spark, d):
     return wide.select("label", F.explode(cells).alias("c")).select("label", "c.i", "c.j", "c.cov")
 
 
+def moment_sums(rows: DataFrame) -> DataFrame:
+    """rows (label, w, x: array) -> (label, i, j, s): sums of w * x_i * x_j, with x_0 = 1. Batches are summed as matrices, so a
+    label that holds most rows is no task of its own."""
+    def add(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            label = np.asarray(batch.column(0))
+            w = np.asarray(batch.column(1), float)
+            x = np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.zeros((0, 0))
+            for k in np.unique(label):
+                one = np.column_stack([np.ones((label == k).sum()), x[label == k]])
+                s = (one * w[label == k, None]).T @ one
+                i, j = np.indices(s.shape)
+                yield pa.record_batch([pa.array(np.full(s.size, k), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(s.ravel())], names=["label", "i", "j", "s"])
+
+    return rows.mapInArrow(add, "label int, i int, j int, s double").groupBy("label", "i", "j").agg(F.sum("s").alias("s"))
+
+
+@query("WITH e AS (SELECT label, vec_id, unnest(generate_series(1, len(embedding))) AS i, embedding FROM embeddings), v AS (SELECT label, vec_id, i, embedding[i]::DOUBLE AS x, 1.0::DOUBLE + vec_id % 3 AS w FROM e), m AS (SELECT label, i, sum(w * x) / sum(w) AS m FROM v GROUP BY 1, 2), c AS (SELECT a.label, a.i, b.i AS j, sum(a.w * (a.x - ma.m) * (b.x - mb.m)) / sum(a.w) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id JOIN m ma ON ma.label = a.label AND ma.i = a.i JOIN m mb ON mb.label = b.label AND mb.i = b.i GROUP BY 1, 2, 3) SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(c, 5) AS cov FROM c")
+def weighted_covariance_all(spark, d):
+    """As weighted_covariance, of all dimensions."""
+    e = T.table(spark, d, "embeddings").select("label", (F.lit(1.0) + F.col("vec_id") % 3).alias("w"), "embedding")
+    s = moment_sums(e)
+    total = s.where("i = 0 and j = 0").select("label", F.col("s").alias("n"))
+    mean = lambda end: s.where("i > 0 and j = 0").join(total, "label").select("label", F.col("i").alias(end), (F.col("s") / F.col("n")).alias(f"m{end}"))
+    cells = s.where("i > 0 and j > 0").join(total, "label").join(mean("i"), ["label", "i"]).join(mean("j"), ["label", "j"])
+    return cells.select("label", "i", "j", F.round(F.col("s") / F.col("n") - F.col("mi") * F.col("mj"), 5).alias("cov"))
+
+
 MU, SD, STAY = [-0.25, 0.0, 0.25], [0.3, 0.15, 0.3], 0.9
 EMIT = [f"exp(-0.5::DOUBLE * ((r - ({m}::DOUBLE)) / {s}::DOUBLE) * ((r - ({m}::DOUBLE)) / {s}::DOUBLE)) / {s}::DOUBLE" for m, s in zip(MU, SD, strict=True)]
 MOVE = [f"{EMIT[k].replace('r -', 'n.r -')} * (0.9::DOUBLE * a{k + 1} + 0.05::DOUBLE * (1 - a{k + 1}))" for k in range(3)]
@@ -95,7 +125,7 @@ def pca_2d(spark, d):
         from tidemark.models.pca import two_components
 
         pdf = pdf.sort_values("vec_id")
-        s = two_components(np.stack(pdf["embedding"].to_numpy()).astype(float)[:, :10])
+        s = two_components(np.stack(pdf["embedding"].to_numpy()).astype(float))
         return pd.DataFrame({"label": pdf["label"], "vec_id": pdf["vec_id"], "pc1": s[:, 0].round(6), "pc2": s[:, 1].round(6)})
 
     return T.table(spark, d, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(fit, "label int, vec_id long, pc1 double, pc2 double")
@@ -144,7 +174,11 @@ def mle_tail(spark, d):
     return WF.tail_fits(weekly_returns_df(spark, d).where("r is not null"))
 
 
-@query()
+@query(
+    f"""{XY}, n AS (SELECT series_id, week, y, row_number() OVER (PARTITION BY series_id ORDER BY x, week) AS i FROM p), c AS (SELECT *, sum(y) OVER (PARTITION BY series_id ORDER BY i) AS s FROM n),
+m AS (SELECT a.series_id, b.i, min((b.s - a.s + a.y) / (b.i - a.i + 1)) OVER (PARTITION BY a.series_id, a.i ORDER BY b.i DESC) AS m FROM c a JOIN c b ON a.series_id = b.series_id AND b.i >= a.i)
+SELECT series_id, week, round(max(m), 6) AS fitted FROM m JOIN n USING (series_id, i) GROUP BY 1, 2"""
+)
 def isotonic_recalibration(spark, d):
     return WF.isotonic_fits(pairs(spark, d))
 
@@ -166,7 +200,10 @@ def hypotheses(spark, d):
     return WF.hypotheses(pairs(spark, d))
 
 
-@query()
+@query(
+    f"""{WEEKLY_RETURNS}, bad AS (SELECT series_id, 1 AS stage, week FROM r WHERE value IS NULL UNION ALL SELECT series_id, 2, week FROM r WHERE r IS NULL UNION ALL SELECT series_id, 3, week FROM r WHERE r IS NULL OR r = 0)
+SELECT series_id, CAST(stage AS INT) AS stage, week FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY stage, week) AS i FROM bad) x WHERE i = 1"""
+)
 def nonfinite_audit(spark, d):
     """First stage and week at which a value of the volatility pipeline isn't finite, by series."""
     r = weekly_returns_df(spark, d)
