@@ -241,7 +241,7 @@ def z_sql(x: str, by: str) -> str:
 
 
 def state_sql(x: str) -> str:
-    return f"CASE WHEN hi - lo <= {FLAT}::DOUBLE THEN 'SLOWDOWN' WHEN {x} <= lo THEN 'CONTRACTION' WHEN {x} >= hi THEN 'EXPANSION' ELSE 'SLOWDOWN' END"
+    return f"CASE WHEN hi - lo <= {FLAT}::DOUBLE THEN 'SLOWDOWN' WHEN round({x}, 9) <= round(lo, 9) THEN 'CONTRACTION' WHEN round({x}, 9) >= round(hi, 9) THEN 'EXPANSION' ELSE 'SLOWDOWN' END"
 
 
 def corr_sql(x: str, y: str) -> str:
@@ -276,10 +276,10 @@ l2 AS (SELECT *, ok1 AND corr_return > 0 AND corr_risk < 0 AND rank_return > 0 A
 
 
 def tercile_states(df: DataFrame, x: str, keys: list[str], name: str) -> DataFrame:
-    """df with a state by terciles of x over keys; all are in the middle where x is flat."""
+    """df with a state by terciles of x over keys; all are in the middle where x is flat. Values within rounding of a bound lie on it."""
     q = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
     lo, hi = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    state = F.when(hi - lo <= FLAT, "SLOWDOWN").when(F.col(x) <= lo, "CONTRACTION").when(F.col(x) >= hi, "EXPANSION").otherwise("SLOWDOWN")
+    state = F.when(hi - lo <= FLAT, "SLOWDOWN").when(F.round(x, 9) <= F.round(lo, 9), "CONTRACTION").when(F.round(x, 9) >= F.round(hi, 9), "EXPANSION").otherwise("SLOWDOWN")
     return df.join(F.broadcast(q), keys).withColumn(name, state).drop("q")
 
 
