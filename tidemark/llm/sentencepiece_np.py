@@ -5,7 +5,8 @@ segmentations of the parts make the best one of the whole. Equal parts of a batc
 added and nothing is normalised, so decoding gives back every text exactly.
 
 Nulls: a null text encodes as an empty one. Empty texts have no ids. Ties between segmentations go to the shorter
-last piece. Repeated rows are encoded each; empty tables give empty results; other columns are ignored.
+last piece. Repeated rows are encoded each; very long texts are encoded whole; empty tables give empty results;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

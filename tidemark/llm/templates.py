@@ -20,8 +20,8 @@ then, and the texts of elements with the same labels around them are one slot.
 
 Blocks are texts between block-level tags; white space inside a block becomes one space, blocks are joined by one line
 feed, character references are decoded. Nulls: null html is empty; a null url is a host of its own; a null page_id
-stays. Pages without main text give an empty string. Repeated rows are pages of their own; empty tables give empty
-results; other columns are ignored.
+stays. Pages without main text give an empty string. Repeated rows are pages of their own; very long pages are
+read whole; empty tables give empty results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

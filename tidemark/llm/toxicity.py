@@ -11,7 +11,8 @@ clean texts that it scored highest.
 
 Nulls: null and empty texts score 0; rows without a label are not learnt from. A null doc_id is not held out. A
 doc_id with several labels counts as toxic if any is. Without labels of both kinds all scores are 0. Repeated rows are
-scored each; empty tables give empty results; other columns are ignored.
+scored each; very long texts are scored in all their windows; empty tables give empty results; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
