@@ -6,8 +6,9 @@ TABLE[byte] * BASE**position: one cumulative sum serves words, shingles and wind
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(20, int(n).bit_length()))
 
 
+def released(run):
+    """run, after which the worker, which Spark keeps for the next task, gives freed memory back to the system."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)

@@ -187,7 +187,7 @@ def _report(shared, share: float, id_type: pa.DataType):
             kinds = [batch.schema.field(0).type, id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.int64()))]
             yield pa.record_batch([pa.array([x[c] for x in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "item_id", "n_tiles", "covered", "item_tokens", "coverage", "tiles"])
 
-    return run
+    return B.released(run)
 
 
 def _drop(shared, share: float):
@@ -198,7 +198,7 @@ def _drop(shared, share: float):
                 keep[r] = False
             yield batch.filter(pa.array(keep))
 
-    return run
+    return B.released(run)
 
 
 def slices(benchmark: DataFrame) -> list[DataFrame]:

@@ -126,7 +126,7 @@ def _uses(shared):
         slot, k = np.nonzero(whole)
         yield pa.record_batch([pa.array(slot), pa.array(k), pa.array(whole[slot, k])], names=["slot", "k", "n"])
 
-    return run
+    return B.released(run)
 
 
 def maximised(model: Model, uses: np.ndarray) -> Model:
@@ -214,7 +214,7 @@ def _predict(shared, out: list[str]):
                     values.append(float(1 / np.exp(own - own[k]).sum()))
             yield pa.record_batch([*batch.select(out).columns, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=[*out, "lang_pred", "score"])
 
-    return run
+    return B.released(run)
 
 
 def annotated(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, sample: int = 600) -> DataFrame:

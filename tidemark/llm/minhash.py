@@ -77,7 +77,7 @@ def _sign(k: int):
                 bands.append(keys.view(np.int64))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), B.binaries(sig), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "tk", "n_shingles", "low", "high", "sig", "bands"])
 
-    return run
+    return B.released(run)
 
 
 def _confirm(k: int, percent: int):
@@ -92,7 +92,7 @@ def _confirm(k: int, percent: int):
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both) > 0
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keep)], names=["u", "v", "linked"])
 
-    return run
+    return B.released(run)
 
 
 def _alike(least: float):
@@ -171,7 +171,7 @@ def _across(k: int, percent: int, least: float):
         if held:
             yield flush()
 
-    return run
+    return B.released(run)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

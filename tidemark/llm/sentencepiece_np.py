@@ -103,7 +103,7 @@ def _run(shared):
                     digest.append(hashlib.sha256(back.tobytes()).hexdigest())
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), B.listed(ids, at, pa.int32()), pa.array(digest), pa.array(same)], names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
 
-    return run
+    return B.released(run)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

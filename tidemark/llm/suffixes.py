@@ -132,7 +132,7 @@ def _sample(window: int, ranges: int):
                     out.append((r, chunk, body, docs, planes(heads[a:z] >> B.U(16), 6)))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), *[B.binaries([x[j] for x in out]) for j in (2, 3, 4)]], names=["r", "chunk", "body", "docs", "heads"])
 
-    return run
+    return B.released(run)
 
 
 def part_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -298,7 +298,7 @@ def _runs(window: int, ranges: int):
                     out.append((int(r), shared.tobytes(), rest, load))
                 yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), *[B.binaries([x[k] for x in out]) for k in (1, 2, 3)]], names=["r", "shared", "rest", "load"])
 
-    return run
+    return B.released(run)
 
 
 def split(name: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -375,7 +375,7 @@ def _merge(window: int):
                 if found:
                     yield _rows(*[np.concatenate([f[k] for f in found]) for k in range(4)])
 
-    return run
+    return B.released(run)
 
 
 def _spread(own, o, group, doc, least, tk, place, window):
@@ -455,7 +455,7 @@ def _cut(window: int):
             found = [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), B.binaries(kept), *batch.columns[5:]]
             yield pa.record_batch(found, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[5:]])
 
-    return run
+    return B.released(run)
 
 
 def repeated_bytes(docs: DataFrame, window: int = 50, keep: Sequence[str] = ()) -> DataFrame:
@@ -471,7 +471,7 @@ def repeated_bytes(docs: DataFrame, window: int = 50, keep: Sequence[str] = ())
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_RANGE))
     sampled = known.select("doc_id", "text").mapInArrow(_sample(window, ranges), "r int, chunk bigint, body binary, docs binary, heads binary")
     target = F.when(F.col("r") >= 0, F.col("r").cast("bigint")).otherwise(F.col("chunk"))
-    places = sampled.repartition(ranges, target).sortWithinPartitions("r").select("r", "chunk", "body", "docs", "heads").mapInArrow(_shared, "chunk bigint, body binary")
+    places = sampled.repartition(ranges, target).sortWithinPartitions("r").select("r", "chunk", "body", "docs", "heads").mapInArrow(B.released(_shared), "chunk bigint, body binary")
     places = scratch.cut(places.repartition("chunk").sortWithinPartitions("chunk").select("chunk", "body").mapInArrow(_by_document, "doc_id bigint, places binary"))
     joined_places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     copies = known.select("doc_id", "tk", F.sha2("text", 256).alias("digest"))
