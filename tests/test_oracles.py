@@ -1,4 +1,4 @@
-"""Every query with an oracle against DuckDB on the smallest tables; every other query gives a stable schema."""
+"""Every query with an oracle against DuckDB on the smallest tables."""
 
 import numbers
 import os

@@ -19,6 +19,7 @@ from tidemark.operators import windows as W
 from tidemark.queries.backtest import LCG, PRODUCTION_LENGTHS, PRODUCTION_REPS, SEED, streams_sql
 from tidemark.queries.distribution import QS, RAW, forecast, missing_guard, raw_scores
 from tidemark.queries.series import ID, WEEKLY_RETURNS, by_week, r6, weekly_returns_df
+from tidemark.queries.storage import materialised
 from tidemark.sources import tables as T
 
 PS = [f"p{k}" for k in range(1, 8)]
@@ -142,7 +143,7 @@ def lower_quantiles(streams: DataFrame, rows: DataFrame, on: list[str], keys: li
 @query(PRODUCTION_SQL + " " + gates_sql("series_id", "gm", in_sql(production_gate_list, dd="(dd1 - dd0)")))
 def production_gates(spark, d):
     """The eleven production gates of each series, with 2,000 replications at both block lengths."""
-    outs = outputs(spark, d)
+    outs = materialised(spark, outputs(spark, d), "outputs")
     rows = strict_rows(outs)
     ceq = P.certainty_equivalent("r1") - P.certainty_equivalent("r0")
     gain = 1 - F.try_divide(F.avg("p"), F.avg("b"))
@@ -193,7 +194,7 @@ def panel_metrics(outs: DataFrame) -> DataFrame:
 @query(PANEL_SQL + " " + gates_sql("", "gm", in_sql(panel_gate_list)))
 def panel_gates(spark, d):
     """The six gates of the panel: an asset that fails one fails it for all; whole weeks are resampled."""
-    return gate_rows(panel_metrics(outputs(spark, d)), [], in_spark(panel_gate_list))
+    return gate_rows(panel_metrics(materialised(spark, outputs(spark, d), "outputs")), [], in_spark(panel_gate_list))
 
 
 #: Windows of the stages: a smoke year, a crisis year, everything.
@@ -211,7 +212,7 @@ SELECT stage, total_weeks, blocked_weeks, degraded_weeks, fallback_weeks, round(
 )
 def staged_acceptance(spark, d):
     """Stage statistics from the stored weekly outputs, each stage's verdict and the conclusion; the last stage needs all panel gates."""
-    outs = outputs(spark, d)
+    outs = materialised(spark, outputs(spark, d), "outputs")
     gates = gate_rows(panel_metrics(outs), [], in_spark(panel_gate_list)).agg(F.bool_and("passed").alias("gates_passed"))
     weeks = outs.groupBy("week").agg(F.max("mode").alias("mode"), F.count("*").alias("n_assets"), F.bool_and(S.finite(Q.total([F.col(p) for p in PS])).isNotNull()).alias("finite"), F.bool_and(Q.is_monotone(PS)).alias("ordered"))
     stages = spark.createDataFrame(STAGES, "stage string, a string, z string").select("stage", F.to_date("a").alias("a"), F.to_date("z").alias("z"))
@@ -299,7 +300,7 @@ def cycle_scores(spark: SparkSession, d: str) -> DataFrame:
     labels = ahead.join(forward_drawdown(spark, d).select("series_id", "week", F.col("forward_risk").alias("risk"), F.col("forward_drawdown").alias("fall")), ["series_id", "week"]).dropna("any")
     c = F.col
     labels = tercile_states(labels.withColumn("comp", z(c("y"), ID) - 0.5 * z(c("risk"), ID) - 0.5 * z(c("fall"), ID)), "comp", ID, "truth")
-    outs, tv = outputs(spark, d), trend_and_vol(spark, d)
+    outs, tv = materialised(spark, outputs(spark, d), "outputs"), trend_and_vol(spark, d)
     raw = {"constant": (labels, F.lit(0.0)), "trend": (tv, c("trend")), "volatility": (tv, -c("vol")), "production": (outs, -(c("p6") - c("p2"))), "baseline": (outs, -(c("q7") - c("q1")))}
     objects = reduce(DataFrame.unionByName, [df.select("series_id", "week", F.lit(name).alias("object"), x.alias("raw")).where("raw is not null") for name, (df, x) in raw.items()])
     keys = ["series_id", "object"]
@@ -311,7 +312,7 @@ def cycle_metrics(rows: DataFrame) -> DataFrame:
     """A row of metrics and layer verdicts for each series and object."""
     spark, keys, c = rows.sparkSession, ["series_id", "object"], F.col
     periods = {n: F.broadcast(spark.createDataFrame(p, "period string, a string, z string").select("period", F.to_date("a").alias("a"), F.to_date("z").alias("z"))) for n, p in (("crises", CRISES), ("windows", WINDOWS))}
-    rows = rows.withColumn("tied", F.round("score", 9)).repartition(*keys)  # read by every branch below, computed once
+    rows = materialised(spark, rows.withColumn("tied", F.round("score", 9)), "cycle")  # read by every branch below
     om = V.average_ranks(rows, ["tied", "y", "risk"], keys).withColumn("before", F.lag("state").over(by_week(*keys))).withColumn("alarm", (c("state") == "CONTRACTION") | (c("score") < 0))
     named = {"corr_return": "y", "corr_risk": "risk", "corr_drawdown": "fall", "corr_composite": "comp"}
     di = om.groupBy(*keys).agg(F.count("*").alias("n_obs"), *[guarded_corr("score", x).alias(n) for n, x in named.items()], guarded_corr("rank_tied", "rank_y").alias("rank_return"), guarded_corr("rank_tied", "rank_risk").alias("rank_risk_"), F.avg((c("state") != c("before")).cast("double")).alias("churn")).withColumnRenamed("rank_risk_", "rank_risk")

@@ -17,20 +17,13 @@ from tidemark.operators import calendar as C
 from tidemark.plans import training
 from tidemark.queries.distribution import FORECAST, QS, RAW, forecast, missing_guard, raw_scores
 from tidemark.queries.series import FEATURES_SQL, ID, WEEKLY, by_week, features, r6, weekly_features, weekly_prices
-from tidemark.queries.storage import _folder
+from tidemark.queries.storage import _folder, materialised
 from tidemark.sources import tables as T
 
 XS = [f"x{k}" for k in range(1, 6)]
 COMPLETE_SQL = " AND ".join(f"{x} IS NOT NULL" for x in XS)
 
 
-def materialised(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder; what reads it doesn't compute it again."""
-    path = f"{_folder(spark)}/{name}-{os.urandom(6).hex()}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def features_and_targets(spark: SparkSession, d: str) -> DataFrame:
     ahead = weekly_prices(spark, d).select("series_id", "week", A.forward_log_return("value", 13, ID).alias("y"))
     return ahead.join(features(spark, d), "week").select("series_id", "week", *XS, "y")

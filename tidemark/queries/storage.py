@@ -118,9 +118,18 @@ def exact_row(spark, d):
 def _folder(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return root.rstrip("/") if root else "file://" + tempfile.mkdtemp()
 
 
+def materialised(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder; what reads it doesn't compute it again."""
+    path = f"{_folder(spark)}/{name}-{os.urandom(6).hex()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(f"WITH {T.VINTAGES} SELECT series_id, obs_date, value AS value, realtime_start FROM vintages WHERE series_id = '1-URGENT' AND day(obs_date) <> 13")
 def payload_scan(spark, d):
     """Through the service's JSON: written as its answers are, with missing marks, and scanned back."""
