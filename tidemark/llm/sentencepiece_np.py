@@ -1,8 +1,9 @@
 """SentencePiece encoding by batched Viterbi over a fixed public vocabulary, and decoding back to the same bytes.
 
 A text is cut before each space that follows another byte; no piece of the vocabulary crosses such a cut, so the best
-segmentations of the parts make the best one of the whole. Equal parts of a batch are segmented once. No prefix is
-added and nothing is normalised, so decoding gives back every text exactly.
+segmentations of the parts make the best one of the whole. A batch's distinct parts are segmented together, those that
+the task has met before not again. No prefix is added and nothing is normalised, so decoding gives back every text
+exactly.
 
 Nulls: a null text encodes as an empty one. Empty texts have no ids. Ties between segmentations go to the shorter
 last piece. Repeated rows are encoded each; very long texts are encoded whole; empty tables give empty results;
@@ -25,6 +26,8 @@ from tidemark.llm.pieces import Pieces, by_length, viterbi
 
 #: Bytes of text encoded together: work arrays hold several numbers for each.
 CHUNK = 1 << 20
+#: Ids of parts that a task remembers between batches.
+REMEMBERED = 1 << 20
 
 
 def parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,24 +47,61 @@ def ragged(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
 
 
-def encode_rows(vocab: Pieces, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all rows, concatenated, and each row's offset."""
-    start, end, first = parts(buf, off)
-    if not len(start):
-        return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-    pre = [B.spans_hash(B.prefix(b), s, e) for b, s, e in _by_chunk(buf, start, end)]
-    _, at, back = np.unique(np.concatenate(pre), return_index=True, return_inverse=True)
-    begin, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    flat, n = [], 0
-    for which, matrix in by_length(buf, start[at], end[at]):
+class Known:
+    """Segmentations of parts met before in a task: hashes in order, and where each one's ids lie."""
+
+    def __init__(self):
+        self.hash, self.ids = np.zeros(0, B.U), np.zeros(0, np.int32)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hash, h)
+        at[at == len(self.hash)] = 0
+        return at, self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
+
+    def add(self, h: np.ndarray, ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        order = np.argsort(np.concatenate([self.hash, h]), kind="stable")
+        self.hash = np.concatenate([self.hash, h])[order]
+        self.begin = np.concatenate([self.begin, begin + len(self.ids)])[order]
+        self.count = np.concatenate([self.count, count])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def learn(vocab: Pieces, known: Known, chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Segments the parts of all chunks (bytes, offsets) that are not known yet, together."""
+    found = [(np.zeros(0, B.U), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
+    for buf, off in chunks:
+        start, end, _ = parts(buf, off)
+        if len(start):
+            h, at = np.unique(hashes(buf, start, end), return_index=True)
+            new = ~known.find(h)[1]
+            at = at[new]
+            found.append((h[new], end[at] - start[at], ragged(buf, start[at], end[at] - start[at])))
+    h, size, buf = (np.concatenate([f[k] for f in found]) for k in range(3))
+    h, at = np.unique(h, return_index=True)
+    end = np.cumsum(size)[at]
+    begin, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    flat, n = [np.zeros(0, np.int32)], 0
+    for which, matrix in by_length(buf, end - size[at], end):
         ids, c = viterbi(vocab, matrix)
         count[which] = c
         begin[which] = n + np.concatenate([[0], np.cumsum(c)[:-1]])
         flat.append(ids)
         n += len(ids)
-    sizes = count[back]
+    known.add(h, np.concatenate(flat), begin, count)
+
+
+def encode_rows(known: Known, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all rows, whose parts are known, concatenated; and each row's offset."""
+    start, end, first = parts(buf, off)
+    place, _ = known.find(hashes(buf, start, end))
+    sizes = known.count[place]
     total = np.concatenate([[0], np.cumsum(sizes)])
-    return ragged(np.concatenate(flat), begin[back], sizes), total[first]
+    return ragged(known.ids, known.begin[place], sizes), total[first]
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, B.U), *(B.spans_hash(B.prefix(b), s, e) for b, s, e in _by_chunk(buf, start, end))])
 
 
 def _by_chunk(buf, start, end):
@@ -90,11 +130,14 @@ class Decoder:
 def _run(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        decoder = Decoder(vocab)
+        decoder, known = Decoder(vocab), Known()
         for batch in batches:
             buf, off = B.column(batch, "text")
+            if len(known.ids) > REMEMBERED:
+                known = Known()
+            learn(vocab, known, ((b, o) for _, _, b, o in B.pieces(buf, off, CHUNK)))
             for i, j, b, o in B.pieces(buf, off, CHUNK):
-                ids, at = encode_rows(vocab, b, o)
+                ids, at = encode_rows(known, b, o)
                 text, to = decoder.decode(ids, at)
                 same, digest = [], []
                 for k in range(j - i):
