@@ -373,6 +373,60 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(spark.createDataFrame(rows[:3], SCHEMA), table.limit(0)).collect()} == {0.0}
 
 
+def raw(texts):
+    import numpy as np
+
+    b = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(b), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in b])]).astype(np.int64)
+
+
+def test_toxicity_scores_against_a_plain_network(spark):
+    """Window by window and word by word, in plain loops, on an empty and a very long text too; columns of clashing names."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    T = toxicity
+    texts = [prose(rng.randint(1, 70)) for _ in range(12)] + ["", prose(3000)]
+    seen = T.Words(*raw(texts[:12]))
+    known = (np.unique(seen.hash), np.unique(seen.gram_hash))
+    p = T.start(len(known[0]), len(known[1])) | {"known": known}
+    p = {k: v if k == "known" else (v * 3).astype(np.float32) for k, v in p.items()}
+    got = T.score_rows(p, *raw(texts))
+
+    def gru(xs, d):
+        h, out = np.zeros(T.HIDDEN), []
+        for x in xs:
+            g, s = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, r = (1 / (1 + np.exp(-(g[a : a + T.HIDDEN] + s[a : a + T.HIDDEN]))) for a in (0, T.HIDDEN))
+            c = np.tanh(g[2 * T.HIDDEN :] + r * s[2 * T.HIDDEN :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    for text, score in zip(texts, got):
+        words = re.findall(r"[A-Za-z0-9\x80-\uffff]+", text)
+        if not words:
+            assert score == 0
+            continue
+        vectors = [T.Words(*raw([x]), known).vectors(p)[0].astype(float) for x in words]
+        starts = list(range(0, max(1, len(words) - T.WINDOW + 1), T.STRIDE))
+        if len(words) > T.WINDOW and starts[-1] != len(words) - T.WINDOW:
+            starts.append(len(words) - T.WINDOW)
+        best = -np.inf
+        for a in starts:
+            xs = vectors[a : a + T.WINDOW]
+            states = np.array([np.concatenate([f, b]) for f, b in zip(gru(xs, "f"), gru(xs[::-1], "b")[::-1])])
+            e = np.tanh(states @ p["A"] + p["a"]) @ p["v"]
+            alpha = np.exp(e - e.max())
+            best = max(best, float((alpha / alpha.sum()) @ states @ p["w"] + p["o"][0]))
+        assert score == pytest.approx(1 / (1 + np.exp(-best)), abs=2e-4)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(1).alias(c) for c in ("toxic", "held_out", "score", "predicted", "all")])
+    labels = spark.createDataFrame([(i, 1, i % 2, 7) for i in range(12)], "doc_id bigint, quality int, toxic int, text int")
+    out = T.toxicity(df, labels)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(rows)
+
+
 def test_gradients_match_differences():
     import numpy as np
 

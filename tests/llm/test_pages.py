@@ -73,3 +73,72 @@ def test_names_of_wrappers_do_not_drop_the_article():
 
 def test_layout_words_on_body_without_an_article():
     assert texts_of('<body class="no-sidebar"><p>Plain {k}</p></body>', 1) == ["Plain a"]
+
+
+def random_site(seed, n=9):
+    """Pages of a random nested template without roles, articles or names; the texts of its slots are what must remain."""
+    import random
+
+    rng = random.Random(seed)
+    count = iter(range(100_000))
+
+    def block(depth):
+        """A list of parts: fixed markup and texts, or a slot."""
+        parts = []
+        for _ in range(rng.randint(2, 4)):
+            kind = rng.random()
+            if kind < 0.35:
+                parts.append(f"<p>Fixed words {next(count)} of {seed}</p>")
+            elif kind < 0.7 or depth == 0:
+                parts.append(None)
+            else:
+                k = next(count)
+                parts += [f'<div data-k="{k}"><section>', *block(depth - 1), "</section></div>"]
+        return parts
+
+    template = [f"<div><h2>Site {seed}</h2>", *block(2), "</div>"]
+    pages, wanted = [], []
+    for page in range(n):
+        html, texts = [], []
+        for j, part in enumerate(template):
+            if part is None:
+                for _ in range(rng.randint(1, 3)):
+                    text = f"Own text {page} {j} {next(count)}"
+                    html.append(f"<p>{text}</p>")
+                    texts.append(text)
+            else:
+                html.append(part)
+        pages.append("<body>" + "".join(html) + "</body>")
+        wanted.append("\n".join(texts))
+    return pages, wanted
+
+
+def plain_template_texts(pages):
+    """Texts with enough support, found by comparing the occurrence vectors of all pairs."""
+    import re
+    from collections import Counter
+
+    found = [Counter(re.findall(r"<(?:p|h2)>([^<]*)", p)) for p in pages]
+    texts = sorted({t for c in found for t in c})
+    vectors = {t: tuple(c[t] for c in found) for t in texts}
+    classes = {t: {u for u in texts if vectors[u] == vectors[t]} for t in texts}
+    return {u for t in texts if sum(v > 0 for v in vectors[t]) >= max(templates.SUPPORT, (len(pages) + 1) // 2) for u in classes[t]}
+
+
+def test_random_templates_against_plain_classes():
+    for seed in range(25):
+        pages, wanted = random_site(seed)
+        tokens = [templates.tokens(p) for p in pages]
+        template = templates.deduce(tokens)
+        assert {value for kind, value, _ in template if kind == "t"} == plain_template_texts(pages)
+        assert [templates.extract(t, template) for t in tokens] == wanted
+
+
+def test_long_page_nulls_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    body = "".join(f"<p>Line {k} of the long story</p>" for k in range(20_000))
+    rows = [(k, f"http://l.example/{k}", f"<body><div>Menu</div><article>{body if k == 0 else f'<p>Short {k}</p>'}</article></body>") for k in range(5)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("host", "part", "parts", "n", "text", "n_chars")])
+    got = {r["page_id"]: r["text"] for r in templates.main_text(df).collect()}
+    assert got[0].count("\n") == 19_999 and got[0].endswith("Line 19999 of the long story") and got[3] == "Short 3" and got[None] == ""

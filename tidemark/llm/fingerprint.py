@@ -12,7 +12,8 @@ keeps that dealing, so texts are shuffled once.
 
 Nulls: a null text is empty. Texts without words have the fingerprint '' and are alike (1.0) only to such texts.
 A null doc_id sorts before all others; repeated doc_ids are ordered by text. The last document's next is the first,
-a single document's next is itself. Empty tables give empty results; other columns are ignored.
+a single document's next is itself. Very long texts are hashed whole. Empty tables give empty results; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
