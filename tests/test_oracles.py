@@ -2,6 +2,7 @@
 
 import numbers
 import os
+import sys
 
 import numpy as np
 import pandas as pd
@@ -61,3 +62,8 @@ def test_all_days_and_series_are_asked(spark, duck):
     assert catalog.QUERIES["asof_unbounded_all"](spark, SF).select("as_of").distinct().count() == days
     series = duck.execute("SELECT count(DISTINCT o_orderpriority) FROM orders").fetchone()[0]
     assert catalog.QUERIES["payload_scan_all"](spark, SF).select("series_id").distinct().count() == series
+
+
+def test_entry_works_without_the_corpus_operators(monkeypatch):
+    monkeypatch.setitem(sys.modules, "tidemark.llm.queries", None)
+    assert set(entry.queries()) == set(catalog.QUERIES) and entry.oracle_sql() == catalog.ORACLES
