@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fim, fingerprint, kneser_ney, langid, licenses, minhash, sentencepiece_np, suffixes, templates, toxicity
+from tidemark.llm import decontaminate, fim, fingerprint, kneser_ney, langid, licenses, minhash, sentencepiece_np, suffixes, templates, toxicity, tries
 from tidemark.llm.store import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,29 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(read(spark, sf_dir, "conversations"), family=20, heads_most=4)
+
+
+ORACLES["op13_conversation_trie"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS place,
+  {'role': role, 'text': text} AS said FROM t),
+c AS (SELECT conv_id, list(said ORDER BY place) AS own,
+  list_reduce([ord(x) FOR x IN string_split(conv_id::VARCHAR, '')],
+    lambda r, b: xor(list_reduce([xor(r, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END), r >> 8), 4294967295) AS crc
+  FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, own, (4294967295 - crc) % 4 AS h, conv_id - conv_id % 20 AS base FROM c),
+r AS (SELECT x.conv_id, coalesce(b.own[1:x.h], []) || x.own[x.h + 1:] AS said FROM h x LEFT JOIN h b ON b.conv_id = x.base),
+p AS (SELECT conv_id, d AS depth, said[1:d] AS path, len(said) = d AS final, said[d].text AS last FROM r, range(0, len(said) + 1) AS g(d)),
+n AS (SELECT path, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (final), '')) AS ends_sha256,
+  (count(*) - 1) * coalesce(len(regexp_extract_all(min(last), '[^\x20\x09-\x0D]+')), 0) AS saves FROM p GROUP BY path),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[1:a] AS path, sum(saves)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM m, range(0, depth + 1) AS g(a) GROUP BY 1)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN n u ON m.depth > 0 AND u.path = m.path[1:m.depth - 1]
+"""
