@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, fim, fingerprint, kneser_ney, langid, licenses, minhash, sentencepiece_np, suffixes, templates, toxicity, tries
+from tidemark.llm import decontaminate, fim, fingerprint, kneser_ney, langid, licenses, minhash, pii, sentencepiece_np, suffixes, templates, toxicity, tries
 from tidemark.llm.store import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ FROM p
 """
 
 
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(read(spark, sf_dir, "conversations"), family=20, heads_most=4)
