@@ -21,33 +21,107 @@ class Fit:
     status: str
 
 
+class Dense:
+    """Rows A theta and limits G theta of one set of parameters."""
+
+    def __init__(self, A: np.ndarray, G: np.ndarray):
+        self.A, self.G = A, G
+
+    def rows(self, theta: np.ndarray) -> np.ndarray:
+        return self.A @ theta
+
+    def limits(self, theta: np.ndarray) -> np.ndarray:
+        return self.G @ theta
+
+    def back(self, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A' z + G' w."""
+        return self.A.T @ z + self.G.T @ w
+
+    def newton(self, E: np.ndarray, W: np.ndarray, H: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The solution of (A' E A + G' W G + H) d = right."""
+        M = (self.A * E[:, None]).T @ self.A + (self.G * W[:, None]).T @ self.G + np.diag(H + 1e-12)
+        return np.linalg.solve(M, right)
+
+
+class Arrow:
+    """Groups of rows and limits, each on its own parameters and on shared ones, which come last. The Newton matrix has a
+    block for each group and a border for the shared ones; blocks are eliminated one by one, so that work grows with the
+    number of groups and not with its cube."""
+
+    def __init__(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        """groups: rows on own and shared parameters, limits on own and shared parameters."""
+        self.groups, self.own = groups, groups[0][0].shape[1]
+        self.row = np.cumsum([0, *(len(g[0]) for g in groups)])
+        self.limit = np.cumsum([0, *(len(g[2]) for g in groups)])
+
+    def _parts(self, theta: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        n = len(self.groups) * self.own
+        return list(theta[:n].reshape(-1, self.own)), theta[n:]
+
+    def rows(self, theta: np.ndarray) -> np.ndarray:
+        own, shared = self._parts(theta)
+        return np.concatenate([g[0] @ t + g[1] @ shared for g, t in zip(self.groups, own, strict=True)])
+
+    def limits(self, theta: np.ndarray) -> np.ndarray:
+        own, shared = self._parts(theta)
+        return np.concatenate([g[2] @ t + g[3] @ shared for g, t in zip(self.groups, own, strict=True)])
+
+    def _each(self, z: np.ndarray, w: np.ndarray):
+        for k, g in enumerate(self.groups):
+            yield g, z[self.row[k] : self.row[k + 1]], w[self.limit[k] : self.limit[k + 1]]
+
+    def back(self, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        parts = [(g[0].T @ zk + g[2].T @ wk, g[1].T @ zk + g[3].T @ wk) for g, zk, wk in self._each(z, w)]
+        return np.concatenate([*(own for own, _ in parts), sum(shared for _, shared in parts)])
+
+    def newton(self, E: np.ndarray, W: np.ndarray, H: np.ndarray, right: np.ndarray) -> np.ndarray:
+        own, shared = self._parts(right)
+        h, h_shared = self._parts(H)
+        S, kept = np.diag(h_shared + 1e-12), []
+        shared = shared.copy()
+        for (A, B, G, K), (e, w), hk, rk in zip(self.groups, ((e, w) for _, e, w in self._each(E, W)), h, own, strict=True):
+            A_, G_ = A * e[:, None], G * w[:, None]
+            block = np.linalg.cholesky(A_.T @ A + G_.T @ G + np.diag(hk + 1e-12))
+            border = np.linalg.solve(block, A_.T @ B + G_.T @ K)
+            mine = np.linalg.solve(block, rk)
+            S = S + (B * e[:, None]).T @ B + (K * w[:, None]).T @ K - border.T @ border
+            shared -= border.T @ mine
+            kept.append((block, border, mine))
+        d = np.linalg.solve(S, shared)
+        return np.concatenate([*(np.linalg.solve(block.T, mine - border @ d) for block, border, mine in kept), d])
+
+
 def solve(A: np.ndarray, y: np.ndarray, tau: np.ndarray, ridge: np.ndarray, G: np.ndarray, g: np.ndarray, theta: np.ndarray, iterations: int = 120, tol: float = 1e-8) -> Fit:
+    return interior_point(Dense(A, G), y, tau, ridge, g, theta, iterations, tol)
+
+
+def interior_point(design: Dense | Arrow, y: np.ndarray, tau: np.ndarray, ridge: np.ndarray, g: np.ndarray, theta: np.ndarray, iterations: int = 120, tol: float = 1e-8) -> Fit:
     H = 2 * ridge
-    r = y - A @ theta
+    r = y - design.rows(theta)
     u, v = np.maximum(r, 0) + 1.0, np.maximum(-r, 0) + 1.0
     z = tau - 0.5
-    s, w = np.maximum(G @ theta - g, 1.0), np.ones(len(g))
+    s, w = np.maximum(design.limits(theta) - g, 1.0), np.ones(len(g))
     n = 2 * len(y) + len(g)
     gap = np.inf
     for _ in range(iterations):
         a, b = tau - z, 1 - tau + z
         gap = float(u @ a + v @ b + s @ w)
-        r1 = -(H * theta - A.T @ z - G.T @ w)
-        r2 = y - A @ theta - u + v
-        r3 = g + s - G @ theta
+        r1 = design.back(z, w) - H * theta
+        r = y - design.rows(theta)
+        r2 = r - u + v
+        r3 = g + s - design.limits(theta)
         residual = max(np.abs(r1).max(initial=0), np.abs(r2).max(initial=0), np.abs(r3).max(initial=0))
-        objective = float((np.maximum(tau * (y - A @ theta), (tau - 1) * (y - A @ theta))).sum() + (ridge * theta) @ theta)
+        objective = float(np.maximum(tau * r, (tau - 1) * r).sum() + (ridge * theta) @ theta)
         if gap <= tol * (1 + abs(objective)) and residual <= 1e-7:
             return Fit(theta, objective, gap, "ok")
         mu = 0.1 * gap / n
         E = 1 / (u / a + v / b)
         q = r2 - mu / a + u + mu / b - v
         W = w / s
-        M = (A * E[:, None]).T @ A + (G * W[:, None]).T @ G + np.diag(H + 1e-12)
-        d = np.linalg.solve(M, r1 + A.T @ (E * q) + G.T @ ((mu - s * w) / s + W * r3))
-        dz = E * (q - A @ d)
+        d = design.newton(E, W, H, r1 + design.back(E * q, (mu - s * w) / s + W * r3))
+        dz = E * (q - design.rows(d))
         du, dv = (mu - u * a + u * dz) / a, (mu - v * b - v * dz) / b
-        ds = G @ d - r3
+        ds = design.limits(d) - r3
         dw = (mu - s * w) / s - W * ds
         t = 1.0
         for x, dx in ((u, du), (v, dv), (s, ds), (w, dw), (a, -dz), (b, dz)):
@@ -55,7 +129,7 @@ def solve(A: np.ndarray, y: np.ndarray, tau: np.ndarray, ridge: np.ndarray, G: n
             if down.any():
                 t = min(t, float(0.995 * np.min(-x[down] / dx[down])))
         theta, u, v, s, w, z = theta + t * d, u + t * du, v + t * dv, s + t * ds, w + t * dw, z + t * dz
-    r = y - A @ theta
+    r = y - design.rows(theta)
     return Fit(theta, float(np.maximum(tau * r, (tau - 1) * r).sum() + (ridge * theta) @ theta), gap, "inaccurate")
 
 

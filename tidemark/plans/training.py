@@ -1,4 +1,4 @@
-"""The training job of each series, and the panel's walk-forward run."""
+"""The training job of each series."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from tidemark.models import hmm, quantreg
 from tidemark.models.pca import two_components
 
 EMBARGO, LONGEST, LEAST = 14, 416, 60
-#: Weeks that one task of the panel run predicts.
-CHUNK = 13
 #: Rank of the full curve's levels.
 TAUS = np.array([0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95])
 
@@ -133,36 +131,3 @@ def trained(rows: DataFrame, scaled: list[str], raw: list[str], restarts: int =
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "file": list(files), "text": list(files.values())})
 
     return sets.join(best, "series_id", "left").groupBy("series_id").applyInPandas(fit, "series_id string, file string, text string")
-
-
-def panel_quantiles(rows: DataFrame) -> DataFrame:
-    """rows (panel, series_id, week, x, y) -> (panel, series_id, week, n_train, q10..q90, fit): every week of a panel is
-    predicted by a joint fit of its assets on rows at least EMBARGO weeks older, the last LONGEST weeks of them. Tasks are
-    runs of CHUNK weeks of a panel; each gets the panel's rows, which are weeks times assets, few by nature."""
-    names = ["q10", "q25", "q50", "q75", "q90"]
-    columns = ["panel", "series_id", "week", "n_train", *names, "fit"]
-    first = rows.groupBy("panel").agg(F.min("week").alias("first"), F.max("week").alias("last"))
-    chunks = F.explode(F.sequence(F.lit(0), F.floor(F.datediff("last", "first") / (7 * CHUNK)).cast("int")))
-    dealt = rows.join(first.select("panel", "first", chunks.alias("chunk")), "panel")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["series_id", "week"])
-        week = pd.to_datetime(pdf["week"]).to_numpy("datetime64[D]")
-        origin = np.datetime64(pd.to_datetime(pdf["first"].iloc[0]), "D")
-        chunk = ((week - origin).astype(int) // (7 * CHUNK)) == int(pdf["chunk"].iloc[0])
-        x, y, series = pdf[["x"]].to_numpy(float), pdf["y"].to_numpy(float), pdf["series_id"].to_numpy()
-        out = []
-        for as_of in np.unique(week[chunk]):
-            late = as_of - np.timedelta64(7 * EMBARGO, "D")
-            train = (week <= late) & (week > late - np.timedelta64(7 * LONGEST, "D"))
-            if train.sum() < LEAST:
-                continue
-            assets, group = np.unique(series[train], return_inverse=True)
-            theta, how = quantreg.fit_panel_or_each(group, x[train], y[train], len(assets))
-            now = np.flatnonzero((week == as_of) & np.isin(series, assets))
-            design = quantreg.panel_design(np.searchsorted(assets, series[now]), x[now], len(assets))
-            q = np.maximum.accumulate(design @ theta.T, axis=1)
-            out += [(pdf["panel"].iloc[0], series[i], pdf["week"].iloc[i], int(train.sum()), *row.round(6), how) for i, row in zip(now, q, strict=True)]
-        return pd.DataFrame(out, columns=columns)
-
-    return dealt.groupBy("panel", "chunk").applyInPandas(fit, "panel string, series_id string, week date, n_train long, " + ", ".join(f"{q} double" for q in names) + ", fit string")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,11 +12,14 @@ from tidemark.functions import quantiles as Q
 from tidemark.functions import scalar as S
 from tidemark.operators import alignment as A
 from tidemark.operators import calendar as C
+from tidemark.operators import windows as W
+from tidemark.plans import panel as plan
 from tidemark.plans import training
 from tidemark.queries.distribution import FORECAST, QS, RAW, forecast, missing_guard, raw_scores
-from tidemark.queries.series import FEATURES_SQL, ID, WEEKLY, by_week, features, r6, weekly_features, weekly_prices
-from tidemark.queries.storage import _folder, materialised
+from tidemark.queries.series import FEATURES_SQL, ID, WEEKLY, by_week, coalesce_vol, features, r6, rv20_weekly, weekly_features, weekly_prices
+from tidemark.queries.storage import materialised
 from tidemark.sources import tables as T
+from tidemark.sources.scratch import Folder
 
 XS = [f"x{k}" for k in range(1, 6)]
 COMPLETE_SQL = " AND ".join(f"{x} IS NOT NULL" for x in XS)
@@ -91,7 +92,7 @@ def training_files(spark, d, restarts: int = 50, iterations: int = 200) -> DataF
 def training_job(spark, d):
     """The six files of each series' training run, written, read back and compared: size, digest, and whether they are the same."""
     made = materialised(spark, training_files(spark, d), "training-made")
-    path = f"{_folder(spark)}/training-{os.urandom(6).hex()}"
+    path = Folder(spark, "training").path()
     made.select("series_id", "file", "text").write.partitionBy("series_id", "file").text(path)
     back = spark.read.text(path).select(F.col("series_id").cast("string").alias("series_id"), "file", F.col("value").alias("read"))
     rows = made.join(back, ["series_id", "file"], "left")
@@ -114,14 +115,43 @@ def weekly_inference(spark, d):
     return rows.select("series_id", "week", mode.alias("mode"), reason.alias("reason"), F.when(normal, F.round("q4", 6)).when(mode == "DEGRADED", 0.0).alias("q50"), F.round(F.when(normal, F.col("raw")).otherwise(50.0), 4).alias("offense"), F.when(normal, S.stance("raw")).otherwise("NEUTRAL").alias("stance"))
 
 
+MICRO = ["m1", "m2", "m3"]
+
+
+def panel_frame(spark: SparkSession, d: str) -> DataFrame:
+    """(panel, series_id, week, z1..z5, m1..m3, mode, available, y): the week's macro features, each asset's volatility
+    features and 13-week forward return. Of the volatility: its logarithm, that over 4 weeks, and against the realised one;
+    an asset without an index has its realised volatility in place of it. Micro features are scaled like macro ones."""
+    realised = rv20_weekly(spark, d).select(F.col("series_id").alias("asset_id"), "week", "rv")
+    vol = coalesce_vol(spark, d).join(realised, ["asset_id", "week"], "left").withColumnRenamed("asset_id", "series_id")
+    iv, rv = S.safe_ln(F.coalesce("vol", "rv")), S.safe_ln("rv")
+    raw = vol.withColumn("m1", iv).withColumn("m2", F.col("m1") - A.at_week_offset("m1", -4, ID)).withColumn("m3", F.col("m1") - rv)
+    long = raw.unpivot(["series_id", "week"], MICRO, "feature", "x").where("x is not null")
+    z = W.robust_z(long, "x", ["series_id", "feature"]).select("series_id", "week", "feature", S.squash("z").alias("s"))
+    scaled = z.groupBy("series_id", "week").pivot("feature", MICRO).agg(F.first("s"))
+    outcome = weekly_prices(spark, d).select("series_id", "week", A.forward_log_return("value", 13, ID).alias("y"))
+    rows = outcome.join(raw.select("series_id", "week", "mode"), ["series_id", "week"]).join(scaled, ["series_id", "week"], "left").join(scaled_features(spark, d), "week")
+    available = Q.total([F.col(m) for m in MICRO]).isNotNull()
+    return rows.withColumn("available", available).select(F.lit("panel").alias("panel"), "series_id", "week", *ZS, *[filled(m, "available").alias(m) for m in MICRO], "mode", "available", "y")
+
+
 @query()
 def panel_backtest(spark, d):
-    """Every week of the panel: joint quantiles, tails, scores against the expanding baseline, trailing coverage and mode."""
-    f = forecast(spark, d)
-    q = training.panel_quantiles(f.select(F.lit("panel").alias("panel"), "series_id", "week", F.col("q4").alias("x"), "y"))
+    """Every week of the panel: state, both laws with tails and scores, the expanding baseline's score, trailing coverage, mode.
+    The tables have 340 weeks, fewer than the 52-week horizon with 312 training weeks needs: 13 weeks ahead, 14 of embargo, 60
+    training rows. Fresh starts of the state model come every 13 weeks, the warm start's chain goes on each week."""
+    run = plan.Run(embargo=14, least=60, fresh_every=13)
+    frame = materialised(spark, panel_frame(spark, d), "panel-frame")
+    q = plan.backtest(frame, ZS, MICRO, "A", run).join(frame.select("series_id", "week", F.col("mode").alias("micro_mode"), "y"), ["series_id", "week"])
     low, high = Q.extrapolated("q10", "q25", "q75", "q90")
-    curve = [low, *[F.col(x) for x in ("q10", "q25", "q50", "q75", "q90")], high]
+    r_low, r_high = Q.extrapolated("r10", "r25", "r75", "r90")
+    curve, spread = [low, *map(F.col, plan.NAMES), high], [r_low, *map(F.col, plan.SPREAD), r_high]
     w = by_week().rowsBetween(-103, 0)
     hit = lambda x: F.avg((F.col("y") <= F.col(x)).cast("double")).over(w)
-    rows = q.join(f, ["series_id", "week"]).join(missing_guard(spark, d).select("week", "mode"), "week", "left")
-    return rows.select("series_id", "week", "n_train", "fit", F.coalesce("mode", F.lit("BLOCKED")).alias("mode"), r6(low, "q05"), *[r6(F.col(x), x) for x in ("q10", "q25", "q50", "q75", "q90")], r6(high, "q95"), r6(Q.pinball("y", curve), "crps"), r6(Q.pinball("y", QS), "crps_baseline"), r6(hit("q10"), "coverage_q10"), r6(hit("q90"), "coverage_q90"))
+    base = forecast(spark, d).select("series_id", "week", *QS)
+    some = F.max(F.col("q50").isNotNull()).over(Window.partitionBy("panel", "week"))
+    fallen = (F.col("solver") != "ok") | (F.col("hmm_status") != "ok")
+    mode = F.when(~some, "BLOCKED").when(fallen, "DEGRADED").otherwise("NORMAL")
+    rows = q.join(base, ["series_id", "week"], "left")
+    state = ["hmm_status", "start", "p1", "p2", "p3", "state", "dwell", "hazard"]
+    return rows.select("series_id", "week", "n_train", "micro_mode", mode.alias("mode"), *state, "solver", "r1_solver", r6(low, "q05"), *[r6(F.col(x), x) for x in plan.NAMES], r6(high, "q95"), r6(r_low, "r05"), *[r6(F.col(x), x) for x in plan.SPREAD], r6(r_high, "r95"), r6(Q.pinball("y", curve), "crps"), r6(Q.pinball("y", spread), "crps_r1"), r6(Q.pinball("y", QS), "crps_baseline"), r6(hit("q10"), "coverage_q10"), r6(hit("q90"), "coverage_q90"))

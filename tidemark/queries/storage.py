@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from tidemark.operators import alignment as A
 from tidemark.queries.series import WEEKLY, r6, weekly_prices
 from tidemark.sources import observations as O
 from tidemark.sources import tables as T
+from tidemark.sources.scratch import Folder
 
 AS_OF = "DATE '1998-06-26'"
 
@@ -115,19 +114,9 @@ def exact_row(spark, d):
     return weekly_prices(spark, d).where(F.col("week") == as_of()).select("series_id", "week", "value")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return root.rstrip("/") if root else "file://" + tempfile.mkdtemp()
-
-
 def materialised(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder; what reads it doesn't compute it again."""
-    path = f"{_folder(spark)}/{name}-{os.urandom(6).hex()}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return Folder(spark, name).cut(df)
 
 
 @query(f"WITH {T.VINTAGES} SELECT series_id, obs_date, value AS value, realtime_start FROM vintages WHERE series_id = '1-URGENT' AND day(obs_date) <> 13")
@@ -139,7 +128,7 @@ def payload_scan(spark, d):
 def through_payload(spark: SparkSession, v: DataFrame) -> DataFrame:
     value = F.when(F.dayofmonth("obs_date") == 13, O.MISSING).otherwise(F.col("value").cast("string"))
     one = v.groupBy("series_id", "obs_date").agg(F.collect_list(F.struct(F.col("obs_date").cast("string").alias("date"), value.alias("value"), F.col("realtime_start").cast("string").alias("realtime_start"), F.col("realtime_end").cast("string").alias("realtime_end"))).alias("observations"))
-    path = f"{_folder(spark)}/payload-{os.urandom(6).hex()}"
+    path = Folder(spark, "payload").path()
     one.select("series_id", "observations").write.json(path)
     return O.read_payload(spark, path).select("series_id", "obs_date", "value", "realtime_start")
 
@@ -153,7 +142,7 @@ def payload_scan_all(spark, d):
 @query(f"{WEEKLY} SELECT series_id, week, value AS value FROM weekly WHERE week BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 def records_round_trip(spark, d):
     """Weekly records written by as_of and read back for a range of dates."""
-    path = f"{_folder(spark)}/records-{os.urandom(6).hex()}"
+    path = Folder(spark, "records").path()
     O.write_records(weekly_prices(spark, d).select(F.col("week").alias("as_of"), "series_id", "value"), path)
     back = O.read_records(spark, path, "1997-01-01", "1998-12-31")
     return back.select("series_id", F.col("as_of").cast("date").alias("week"), "value")
