@@ -74,17 +74,19 @@ def plain(texts):
                 rows += [(p, -2, fold(t[x:y]), x, y) for p in around(x, y)]
         all_rows.append(rows)
     patterns = {p for p, by in seeds.items() if any(len(v) >= pii.MIN_SEEDS for v in by.values())}
-    edges, words_of = defaultdict(set), defaultdict(set)
+    edges, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
     first = defaultdict(float)
     for rows in all_rows:
         for p, k, v, _, _ in rows:
             if p in patterns:
-                (words_of if k == -2 else edges)[p].add(v)
+                total[p] += 1
+                if k != -2:
+                    edges[p][v] += 1
                 if k >= 0:
                     first[v, k] = 1.0
     conf = dict(first)
     for _ in range(pii.ROUNDS):
-        score = {(p, k): sum(conf.get((v, k), 0) for v in edges[p]) / (len(edges[p]) + len(words_of[p])) for p in patterns for k in range(4)}
+        score = {(p, k): sum(conf.get((v, k), 0) * n for v, n in edges[p].items()) / total[p] for p in patterns for k in range(4)}
         left_open = defaultdict(lambda: 1.0)
         for (p, k), s in score.items():
             if s >= pii.RIGHT:

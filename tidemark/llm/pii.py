@@ -2,13 +2,13 @@
 
 Base matches are the seeds. The words around them make lexical patterns (two words to the left; one to each side; one
 to the left that ends in a colon or the like). A pattern around MIN_SEEDS different seeds is looked up in all texts: what
-stands in its place there are seeds, other identifier-like strings, or plain words. Patterns and strings form a graph.
-Round by round a pattern's score is the confidence of its strings over the number of different strings and words in its
-place, and a string's confidence is that of its best pattern, or rather one minus the product of what each leaves open.
+stands in its place there are seeds, other identifier-like strings, or plain words. Patterns and strings form a graph,
+whose edges count occurrences. Round by round a pattern's score is the mean confidence of all that stands in its place
+(that of plain words is 0), and a string's confidence is one minus the product of what each of its patterns leaves open.
 Strings of SURE confidence or more are added where a pattern that is at least as often right as wrong surrounds them.
 
 Only a bitmap of fixed size over the patterns' hashes goes to the tasks; joins settle what it lets through. Two passes read
-the texts; the graph holds hashes of distinct pairs.
+the texts: one for the seeds and one for what stands in the place of their patterns. Plain words are only counted, by task.
 
 Defined results: a null text is empty; rows with null or equal ids are searched each by themselves; offsets are code points,
 end exclusive; texts are searched whole, in time linear in their length; added spans overlap neither base spans of any
@@ -19,6 +19,7 @@ first in KINDS; an empty table gives none; other columns don't count.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,23 +185,24 @@ def _signed(p: np.ndarray) -> np.ndarray:
 
 @released
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """p, k, v: the patterns around base matches."""
+    """p, k, v: the patterns around base matches. Only texts that have some are split into words."""
     for batch in batches:
         whole, ends = column(batch, "text")
         for _, _, buf, off in pieces(whole, ends):
-            piece = Piece(buf, off)
-            row, begin, stop, kind = (x for x in piece.found())
-            base = kind >= 0
-            if not base.any():
+            data = buf.tobytes()
+            bounds = zip(off[:-1].tolist(), off[1:].tolist())
+            own = [(buf[a:b], found) for a, b in bounds if (found := base_spans(data[a:b])[0])]
+            if not own:
                 continue
-            p = piece.around(row[base], begin[base], stop[base])
-            k, v = np.tile(kind[base], 3), np.tile(piece.values(begin[base], stop[base]), 3)
-            p = p.ravel()
-            table = np.unique(np.stack([_signed(p), k, v], 1)[p != 0], axis=0)
+            start = np.concatenate([[0], np.cumsum([len(t) for t, _ in own])])
+            piece = Piece(np.concatenate([t for t, _ in own]), start)
+            row, begin, kind, stop = np.array([(r, start[r] + a, k, start[r] + b) for r, (_, found) in enumerate(own) for a, k, b in found], np.int64).T
+            p = piece.around(row, begin, stop).ravel()
+            table = np.unique(np.stack([_signed(p), np.tile(kind, 3), np.tile(piece.values(begin, stop), 3)], 1)[p != 0], axis=0)
             yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in table.T], names=["p", "k", "v"])
 
 
-SEARCHED = "doc_id bigint, base array<struct<start:bigint,k:bigint,stop:bigint>>, seeds array<struct<p:bigint,k:bigint,v:bigint>>, others array<struct<p:bigint,v:bigint,start:bigint,stop:bigint>>, plain array<struct<p:bigint,v:bigint>>"
+SEARCHED = "doc_id bigint, base array<struct<start:bigint,k:bigint,stop:bigint>>, seeds array<struct<p:bigint,k:bigint,v:bigint>>, others array<struct<p:bigint,v:bigint,start:bigint,stop:bigint>>, tally array<struct<p:bigint,n:bigint>>"
 
 
 def _lists(row: np.ndarray, n: int, fields: dict[str, np.ndarray]) -> pa.Array:
@@ -210,7 +212,8 @@ def _lists(row: np.ndarray, n: int, fields: dict[str, np.ndarray]) -> pa.Array:
 
 
 def searched(bits: np.ndarray):
-    """Each text's base matches and all that stands in the place of a pattern of the bitmap."""
+    """Each text's base matches and the strings in the place of a pattern of the bitmap. A last row, without base matches
+    even as an empty list, has the task's counts of plain words there."""
 
     def kept(p: np.ndarray) -> np.ndarray:
         at = (p & U(BITS - 1)).astype(np.int64)
@@ -218,6 +221,9 @@ def searched(bits: np.ndarray):
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter[int] = Counter()
+        nothing = np.zeros(0, np.int64)
+        names = ["doc_id", "base", "seeds", "others", "tally"]
         for batch in batches:
             whole, ends = column(batch, "text")
             for i, j, buf, off in pieces(whole, ends):
@@ -236,15 +242,16 @@ def searched(bits: np.ndarray):
                 # found() lists a row's other strings behind its base matches, so rows stay in order
                 others = _lists(row[b], n, {"p": q[~seed], "v": v[b], "start": start[b], "stop": end[b]})
                 if len(piece.s):
-                    word, around = piece.plain_words(begin, stop)
-                    which, at = np.nonzero(kept(around))
-                    owner = piece.row[word[at]]
-                    table = np.unique(np.stack([owner, _signed(around[which, at]), _signed(piece.h[word[at]])], 1), axis=0)
-                else:
-                    table = np.zeros((0, 3), np.int64)
-                plain = _lists(table[:, 0], n, {"p": table[:, 1], "v": table[:, 2]})
+                    _, around = piece.plain_words(begin, stop)
+                    seen, times = np.unique(_signed(around[kept(around)]), return_counts=True)
+                    tally.update(dict(zip(seen.tolist(), times.tolist())))
                 bases = _lists(row[base], n, {"start": start[base], "k": kind[base], "stop": end[base]})
-                yield pa.record_batch([batch.column(0).slice(i, n), bases, seeds, others, plain], names=["doc_id", "base", "seeds", "others", "plain"])
+                empty = _lists(nothing, n, {"p": nothing, "n": nothing})
+                yield pa.record_batch([batch.column(0).slice(i, n), bases, seeds, others, empty], names=names)
+        if tally:
+            none = [pa.nulls(1, k) for k in (pa.int64(), *(pa.list_(pa.struct([(f, pa.int64()) for f in fields])) for fields in (("start", "k", "stop"), ("p", "k", "v"), ("p", "v", "start", "stop"))))]
+            p, count = (np.array(x, np.int64) for x in zip(*tally.items()))
+            yield pa.record_batch([*none, _lists(np.zeros(len(p), np.int64), 1, {"p": p, "n": count})], names=names)
 
     return run
 
@@ -261,18 +268,18 @@ def graph(tmp: Scratch, found: DataFrame, patterns: DataFrame) -> tuple[DataFram
     """Scores of patterns (p, k, score) and confidences of strings (v, k, conf)."""
     seeds = found.select(F.explode("seeds").alias("x")).select("x.*").join(patterns, "p", "left_semi")
     others = found.select(F.explode("others").alias("x")).select("x.p", "x.v").join(patterns, "p", "left_semi")
-    plain = found.select(F.explode("plain").alias("x")).select("x.p", "x.v").join(patterns, "p", "left_semi")
-    edges = tmp.cut(seeds.select("p", "v").unionByName(others).distinct())
-    counted = edges.groupBy("p").agg(F.count("v").alias("n")).unionByName(plain.distinct().groupBy("p").agg(F.count("v").alias("n")))
+    edges = tmp.cut(seeds.select("p", "v").unionByName(others).groupBy("p", "v").agg(F.count(F.lit(1)).alias("n")))
+    plain = found.where("base is null").select(F.explode("tally").alias("x")).select("x.*").groupBy("p").agg(F.sum("n").alias("n"))
+    counted = edges.groupBy("p").agg(F.sum("n").alias("n")).unionByName(plain.join(patterns, "p", "left_semi"))
     places = tmp.cut(counted.groupBy("p").agg(F.sum("n").alias("n")))
     first = tmp.cut(seeds.select("v", "k").distinct().withColumn("conf", F.lit(1.0)))
     conf = first
     for _ in range(ROUNDS):
-        held = edges.join(conf, "v").groupBy("p", "k").agg(F.sum("conf").alias("held"))
-        scores = tmp.cut(held.join(places, "p").select("p", "k", (F.col("held") / F.col("n")).alias("score")))
+        held = edges.join(conf, "v").groupBy("p", "k").agg(F.sum(F.col("conf") * F.col("n")).alias("held"))
+        # summed in whatever order, so rounded before it is compared
+        scores = tmp.cut(held.join(places, "p").select("p", "k", F.round(F.col("held") / F.col("n"), 9).alias("score")))
         open_ = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("score"))))
         gained = edges.join(scores.where(F.col("score") >= RIGHT), "p").groupBy("v", "k").agg((1 - F.exp(open_)).alias("conf"))
-        # summed in whatever order, so rounded before it is compared
         gained = gained.withColumn("conf", F.round("conf", 9)).join(first.select("v"), "v", "left_anti")
         conf = tmp.cut(first.unionByName(gained))
     return scores, conf
@@ -297,7 +304,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     best = sure.groupBy("rid", "start", "stop").agg(F.max(F.struct("conf", (-F.col("k")).alias("k"))).alias("b"))
     best = best.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("b.k")).alias("k"), "stop", F.col("b.conf").alias("conf")))).alias("added"))
     none = F.array().cast("array<struct<start:bigint,k:bigint,stop:bigint,conf:double>>")
-    return found.select("rid", "doc_id", "base").join(best, "rid", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return found.where("base is not null").select("rid", "doc_id", "base").join(best, "rid", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
