@@ -386,24 +386,6 @@ def test_training_job_writes_and_reads_six_files(spark, monkeypatch):
     assert len(job) == len(made) and all(r["round_trip"] and r["n_bytes"] == len(made[r["series_id"], r["file"]]) for r in job)
 
 
-def test_panel_run_predicts_each_week_from_older_rows(spark):
-    from tidemark.models import quantreg
-    from tidemark.plans import training
-
-    rng = np.random.default_rng(6)
-    start = dt.date(2000, 1, 7)
-    rows = [("p", s, start + dt.timedelta(weeks=k), x := float(rng.normal()), x / 2 + float(rng.normal())) for s in "AB" for k in range(60) if (s, k) != ("B", 50)]
-    out = {(r["series_id"], r["week"]): r for r in training.panel_quantiles(spark.createDataFrame(rows, "panel string, series_id string, week date, x double, y double")).collect()}
-    older = lambda w: [r for r in sorted(rows, key=lambda r: (r[1], r[2])) if r[2] <= w - dt.timedelta(weeks=training.EMBARGO)]
-    assert set(out) == {(r[1], r[2]) for r in rows if len(older(r[2])) >= training.LEAST}
-    key = max(out, key=lambda k: (k[1], k[0]))
-    train = older(key[1])
-    theta, _ = quantreg.fit_panel_or_each(np.array([r[1] == "B" for r in train]).astype(int), np.array([[r[3]] for r in train]), np.array([r[4] for r in train]), 2)
-    x = next(r[3] for r in rows if r[1:3] == key)
-    q = np.maximum.accumulate(quantreg.panel_design(np.array([int(key[0] == "B")]), np.array([[x]]), 2) @ theta.T, axis=1)[0]
-    assert [out[key][n] for n in ("q10", "q25", "q50", "q75", "q90")] == pytest.approx(q, abs=2e-6) and out[key]["n_train"] == len(train)
-
-
 def test_masked_fill_rejects_available_values_that_are_not_finite(spark):
     from pyspark.sql import functions as F
 

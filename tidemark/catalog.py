@@ -25,4 +25,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tidemark.queries import acceptance, backtest, distribution, evaluation, modelling, panel, series, states, storage  # noqa: F401
+    from tidemark.queries import acceptance, backtest, distribution, evaluation, modelling, panel, series, states, storage, streams  # noqa: F401
