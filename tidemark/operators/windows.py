@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.scalar import Col, c
 
@@ -22,13 +24,19 @@ def rms(x: Col, w: WindowSpec, n: int, scale: float = 1.0) -> Column:
 
 
 def robust_z(df: DataFrame, x: str, keys: list[str], order: str = "week") -> DataFrame:
-    """With med, mad and z: each row against the median and the re-centred MAD of the rows up to it."""
-    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(UP, 0)
-    rows = df.withColumn("med", F.percentile(x, F.lit(0.5)).over(frame)).withColumn("seen", F.collect_list(x).over(frame))
-    apart = F.array_sort(F.transform("seen", lambda v: F.abs(v - F.col("med"))))
-    n = F.size("seen")
-    mid = (F.get(apart, F.floor((n - 1) / 2).cast("int")) + F.get(apart, F.floor(n / 2).cast("int"))) / 2
-    return rows.withColumn("mad", mid).withColumn("z", (F.col(x) - F.col("med")) / (1.4826 * F.col("mad") + 1e-8)).drop("seen")
+    """With med, mad and z: each row against the median and the re-centred MAD of the rows up to it. Each key's rows meet in
+    one task, in which a row costs the square of the logarithm of their number."""
+
+    def scaled(table: pa.Table) -> pa.Table:
+        from tidemark.models.orderstats import expanding_median_mad
+
+        table = table.sort_by(order)
+        med, mad = (pa.array(v, from_pandas=True) for v in expanding_median_mad(table.column(x).to_pandas().to_numpy(float)))
+        return table.append_column("med", med).append_column("mad", mad)
+
+    schema = StructType([*df.schema.fields, StructField("med", DoubleType()), StructField("mad", DoubleType())])
+    rows = df.groupBy(*keys).applyInArrow(scaled, schema)
+    return rows.withColumn("z", (F.col(x) - F.col("med")) / (1.4826 * F.col("mad") + 1e-8))
 
 
 def earlier_quantiles(x: str, levels: list[float], keys: list[str], order: str = "week") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.operators import states as ST
 from tidemark.plans import walkforward as WF
 from tidemark.queries.distribution import FORECAST, forecast
 from tidemark.queries.series import RETURNS, WEEKLY_RETURNS, by_week, daily_returns, r6, weekly_returns_df
@@ -94,22 +95,16 @@ SELECT series_id, week, i, b1 / (b1 + b2 + b3), b2 / (b1 + b2 + b3), b3 / (b1 +
 SELECT series_id, week, round(a1, 5) AS p1, round(a2, 5) AS p2, round(a3, 5) AS p3 FROM f"""
 )
 def hmm_filter(spark, d):
-    """Filtered probabilities of three fixed states, as one fold over each series' sorted rows."""
-    rows = weekly_returns_df(spark, d).where("r is not null")
-    zero = F.array().cast("array<struct<week:date,p1:double,p2:double,p3:double>>")
-
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        raw = []
-        for k, (m, s) in enumerate(zip(MU, SD, strict=True)):
-            z = (x["r"] - m) / s
-            before = last[f"p{k + 1}"]
-            raw.append(F.exp(-0.5 * z * z) / s * F.when(F.size(acc) == 0, 1.0).otherwise(STAY * before + (1 - STAY) / 2 * (1 - before)))
-        total = raw[0] + raw[1] + raw[2]
-        return F.concat(acc, F.array(F.struct(x["week"].alias("week"), *[(v / total).alias(f"p{k + 1}") for k, v in enumerate(raw)])))
-
-    path = rows.groupBy("series_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("week", "r"))), zero, step).alias("path"))
-    return path.select("series_id", F.explode("path").alias("p")).select("series_id", "p.week", *[F.round(f"p.p{k}", 5).alias(f"p{k}") for k in (1, 2, 3)])
+    """Filtered probabilities of three fixed states with a constant chance to stay."""
+    out = fixed_states(weekly_returns_df(spark, d).where("r is not null"))
+    return out.select("series_id", "week", *[F.round(f, 5).alias(f"p{f[1]}") for f in ST.FILTERED])
+
+
+def fixed_states(rows: DataFrame) -> DataFrame:
+    """Posteriors of rows (series_id, week, r) under MU, SD and STAY."""
+    log_emit = [-0.5 * ((F.col("r") - m) / s) * ((F.col("r") - m) / s) - F.ln(F.lit(s)) for m, s in zip(MU, SD, strict=True)]
+    into = [F.lit(STAY if i == j else (1 - STAY) / 2) for i in range(3) for j in range(3)]
+    return ST.posteriors(rows, "series_id", "week", log_emit, into)
 
 
 @query(f"{RETURNS} SELECT series_id, obs_date, round(r / nullif(lag(r) OVER (PARTITION BY series_id ORDER BY obs_date), 0), 4) AS ratio FROM r WHERE r IS NOT NULL")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.catalog import ORACLES, query
 from tidemark.functions import quantiles as Q
 from tidemark.queries.distribution import FORECAST, QS, RAW, forecast, raw_scores
-from tidemark.queries.modelling import MU, SD, STAY, hmm_filter
-from tidemark.queries.series import ID, WEEKLY_RETURNS, forward_drawdown, r6, weekly_features, weekly_returns_df
+from tidemark.operators import states as ST
+from tidemark.queries.modelling import MU, SD, STAY, fixed_states, hmm_filter
+from tidemark.queries.series import ID, WEEKLY_RETURNS, by_week, forward_drawdown, r6, weekly_features, weekly_returns_df
 
 
 @query(f"{FORECAST} SELECT a.series_id AS first_id, b.series_id AS second_id, a.week, round(a.q4, 6) AS first_q50, round(b.q4, 6) AS second_q50, round(a.y, 6) AS y FROM fc a JOIN fc b ON a.week = b.week AND a.series_id < b.series_id")
@@ -106,21 +107,33 @@ b AS (SELECT series_id, i, 1::DOUBLE AS b1, 1::DOUBLE AS b2, 1::DOUBLE AS b3 FRO
 SELECT e.series_id, e.week, {', '.join(f'round(p{k} * b{k} / (p1 * b1 + p2 * b2 + p3 * b3), 4) AS s{k}' for k in (1, 2, 3))} FROM e JOIN b ON b.series_id = e.series_id AND b.i = e.i"""
 )
 def hmm_smoother(spark, d):
-    """Smoothed probabilities of the three fixed states: a fold back over each series' weeks, times the filtered ones."""
-    e = [F.exp(-0.5 * ((F.col("r") - m) / s) * ((F.col("r") - m) / s)) / s for m, s in zip(MU, SD, strict=True)]
-    rows = weekly_returns_df(spark, d).where("r is not null").join(hmm_filter(spark, d), ["series_id", "week"])
-    rows = rows.select("series_id", F.struct("week", "p1", "p2", "p3", *[x.alias(f"e{k}") for k, x in enumerate(e, 1)]).alias("x"))
-    path = F.sort_array(F.collect_list("x"), asc=False)
-    kind = "array<struct<week:date,b1:double,b2:double,b3:double,s1:double,s2:double,s3:double,e1:double,e2:double,e3:double>>"
-
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        ahead = [last[f"e{k}"] * last[f"b{k}"] for k in (1, 2, 3)]
-        raw = [STAY * a + MOVE * Q.total([o for j, o in enumerate(ahead) if j != k]) for k, a in enumerate(ahead)]
-        b = [F.when(F.size(acc) == 0, 1.0).otherwise(v / Q.total(raw)) for v in raw]
-        both = [x[f"p{k}"] * v for k, v in enumerate(b, 1)]
-        new = F.struct(x["week"].alias("week"), *[v.alias(f"b{k}") for k, v in enumerate(b, 1)], *[(v / Q.total(both)).alias(f"s{k}") for k, v in enumerate(both, 1)], *[x[f"e{k}"].alias(f"e{k}") for k in (1, 2, 3)])
-        return F.concat(acc, F.array(new))
-
-    folded = rows.groupBy("series_id").agg(F.aggregate(path, F.array().cast(kind), step).alias("path"))
-    return folded.select("series_id", F.explode("path").alias("p")).select("series_id", "p.week", *[F.round(f"p.s{k}", 4).alias(f"s{k}") for k in (1, 2, 3)])
+    """Smoothed probabilities of the three fixed states, from the filtered ones as hmm_filter reports them, to five places."""
+    out = fixed_states(weekly_returns_df(spark, d).where("r is not null"))
+    both = [F.round(f, 5) * F.coalesce(F.try_divide(s, f), F.lit(0.0)) for f, s in zip(ST.FILTERED, ST.SMOOTHED, strict=True)]
+    return out.select("series_id", "week", *[F.round(v / Q.total(both), 4).alias(s) for v, s in zip(both, ST.SMOOTHED, strict=True)])
+
+
+TS = [f"t{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+NEXT = ", ".join(f"({' + '.join(f'a{i} * t{i}{j}' for i in (1, 2, 3))}) * e{j} AS n{j}" for j in (1, 2, 3))
+BEFORE = ", ".join(f"{' + '.join(f't{i}{j} * e{j} * b{j}' for j in (1, 2, 3))} AS n{i}" for i in (1, 2, 3))
+BOTH = " + ".join(f"a{i} * b{i}" for i in (1, 2, 3))
+PAIR_SUM = " + ".join(f"l{i} * t{i}{j} * e{j} * b{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+
+
+@query(
+    f"""{EMITTED.replace('WITH prices', 'WITH RECURSIVE prices', 1)}, tm AS ({ORACLES['transition_matrix']}),
+m AS (SELECT e.series_id, e.week, {', '.join(f'lag({t}) OVER o AS {t}' for t in TS)}, {', '.join(f'exp(l{k} - greatest(l1, l2, l3)) AS e{k}' for k in (1, 2, 3))}, greatest(l1, l2, l3) AS top, row_number() OVER o AS i, count(*) OVER (PARTITION BY e.series_id) AS n FROM e JOIN tm ON tm.series_id = e.series_id AND tm.week = e.week WINDOW o AS (PARTITION BY e.series_id ORDER BY e.week)),
+f AS (SELECT series_id, i, e1 / (e1 + e2 + e3) AS a1, e2 / (e1 + e2 + e3) AS a2, e3 / (e1 + e2 + e3) AS a3, top + ln((e1 + e2 + e3) / 3) AS ll FROM m WHERE i = 1 UNION ALL
+SELECT series_id, i, n1 / (n1 + n2 + n3), n2 / (n1 + n2 + n3), n3 / (n1 + n2 + n3), ll + top + ln(n1 + n2 + n3) FROM (SELECT m.series_id, m.i, m.top, f.ll, {NEXT} FROM f JOIN m ON m.series_id = f.series_id AND m.i = f.i + 1) x),
+b AS (SELECT series_id, i, 1::DOUBLE AS b1, 1::DOUBLE AS b2, 1::DOUBLE AS b3 FROM m WHERE i = n UNION ALL
+SELECT series_id, i - 1, n1 / (n1 + n2 + n3), n2 / (n1 + n2 + n3), n3 / (n1 + n2 + n3) FROM (SELECT b.series_id, b.i, {BEFORE} FROM b JOIN m ON m.series_id = b.series_id AND m.i = b.i WHERE b.i > 1) x)
+SELECT m.series_id, m.week, {', '.join(f'round(f.a{k}, 4) AS f{k}' for k in (1, 2, 3))}, {', '.join(f'round(f.a{k} * b{k} / (f.a1 * b1 + f.a2 * b2 + f.a3 * b3), 4) AS s{k}' for k in (1, 2, 3))}, {', '.join(f'round(l.a{i} * t{i}{j} * e{j} * b{j} / ({PAIR_SUM.replace("l1", "l.a1").replace("l2", "l.a2").replace("l3", "l.a3")}), 4) AS x{i}{j}' for i in (1, 2, 3) for j in (1, 2, 3))}, round(f.ll, 3) AS loglik
+FROM m JOIN f ON f.series_id = m.series_id AND f.i = m.i JOIN b ON b.series_id = m.series_id AND b.i = m.i LEFT JOIN f l ON l.series_id = m.series_id AND l.i = m.i - 1"""
+)
+def hazard_posteriors(spark, d):
+    """Filtered and smoothed states, pairs of successive states and log likelihood under the weekly transition matrices, in
+    which dwell time and a covariate move the hazards of leaving."""
+    rows = emitted(spark, d).join(transition_matrix(spark, d), ["series_id", "week"])
+    into = rows.select("series_id", "week", *LS, *[F.lag(t).over(by_week()).alias(t) for t in TS])
+    out = ST.posteriors(into, "series_id", "week", [F.col(x) for x in LS], [F.col(t) for t in TS])
+    return out.select("series_id", "week", *[F.round(x, 4).alias(x) for x in [*ST.FILTERED, *ST.SMOOTHED, *ST.PAIRS]], F.round("loglik", 3).alias("loglik"))
