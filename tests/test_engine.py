@@ -262,11 +262,11 @@ def test_production_bootstraps(spark, monkeypatch):
                 i = s * 30 // P.LCG_M if i < 0 or s1 * length < P.LCG_M else (i + 1) % 30
                 path.append(i)
             draws[length, r] = path
-    streams = backtest.bootstrap_stream_production(spark, "").collect()
+    streams = backtest.bootstrap_stream(spark, "").collect()
     assert {(r["block_length"], r["rep"]): (r["n"], r["checksum"]) for r in streams if r["series_id"] == "A"} == {k: (30, sum(v)) for k, v in draws.items()}
     assert [r["n"] for r in streams if r["series_id"] == "B"] == [17] * 2 * reps
-    single = {r["block_length"]: r for r in backtest.bootstrap_p05_production(spark, "").collect() if r["series_id"] == "A"}
-    cluster = {r["block_length"]: r for r in backtest.cluster_bootstrap_p05_production(spark, "").collect()}
+    single = {r["block_length"]: r for r in backtest.bootstrap_p05(spark, "").collect() if r["series_id"] == "A"}
+    cluster = {r["block_length"]: r for r in backtest.cluster_bootstrap_p05(spark, "").collect()}
     for length in (52, 78):
         at = [draws[length, r] for r in range(reps)]
         gain, ceq = [1 - p[i].mean() / b[i].mean() for i in at], [52 * (y[i].mean() - 0.5 * y[i].var(ddof=1)) for i in at]

@@ -59,9 +59,9 @@ def test_all_days_and_series_are_asked(spark, duck):
 
     first = T.prices(spark, SF).agg({"obs_date": "min"}).first()[0]
     days = duck.execute("SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE CAST(o_orderdate AS DATE) >= ?", [first]).fetchone()[0]
-    assert catalog.QUERIES["asof_unbounded_all"](spark, SF).select("as_of").distinct().count() == days
+    assert catalog.QUERIES["asof_unbounded"](spark, SF).select("as_of").distinct().count() == days
     series = duck.execute("SELECT count(DISTINCT o_orderpriority) FROM orders").fetchone()[0]
-    assert catalog.QUERIES["payload_scan_all"](spark, SF).select("series_id").distinct().count() == series
+    assert catalog.QUERIES["payload_scan"](spark, SF).select("series_id").distinct().count() == series
 
 
 def test_entry_works_without_the_corpus_operators(monkeypatch):

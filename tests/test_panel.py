@@ -151,3 +151,42 @@ def test_shared_slopes_and_fallback():
     finally:
         pooled.Arrow.newton = broken
     assert alone.status == "per_asset_fallback" and alone.predict(groups, np.column_stack([common, micro])).shape == q.shape
+
+
+def test_walk_forward_outcomes_and_policies(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import walkforward as WF
+
+    rng = np.random.default_rng(9)
+    start = dt.date(2020, 1, 3)
+    rows = [(s, start + dt.timedelta(weeks=t), float(rng.normal()), float("nan") if (s, t) == ("B", 44) else float(rng.normal())) for s, n in (("A", 70), ("B", 60), ("C", 20)) for t in range(n)]
+    df = spark.createDataFrame(rows, "series_id string, week date, x double, y double")
+    out = {(r.series_id, r.as_of): r for r in WF.run(df, embargo=5, min_train=30, weeks=8).collect()}
+    assert len(out) == len(rows)
+    for (s, w), r in out.items():
+        train = [(x, y) for a, b, x, y in sorted(rows, key=lambda r: r[1]) if a == s and b <= w - dt.timedelta(weeks=5)]
+        assert r.n_train == len(train)
+        if len(train) < 30:
+            assert r.status == "insufficient_history" and r.q50 is None
+        elif any(y != y for _, y in train):
+            assert r.status == "failed" and r.q50 is None
+        else:
+            x = next(x for a, b, x, _ in rows if (a, b) == (s, w))
+            coef, fit = quantreg.fit_linear(np.array([[t[0]] for t in train]), np.zeros((len(train), 0)), np.array([t[1] for t in train]))
+            assert r.status == fit.status
+            assert [r[q] for q in WF.NAMES] == pytest.approx(np.maximum.accumulate(coef[:, 0] + coef[:, 1] * x).tolist(), abs=2e-5)
+    short = WF.run(df, embargo=5, min_train=10, longest=20, weeks=8).where("status = 'ok'").collect()
+    assert max(r.n_train for r in short) == 20
+    outcomes = WF.run(df, embargo=5, min_train=30, weeks=8)
+    first = F.lit(start).cast("date")
+    clipped = WF.under_policy(outcomes, first, 30, "clip_diagnostic").collect()
+    assert {r.series_id: (r.effective_start, r.n_clipped) for r in clipped} == {s: (start + dt.timedelta(weeks=34), 34) for s in "AB"}
+    assert min(r.as_of for r in clipped) == start + dt.timedelta(weeks=34)
+    assert WF.under_policy(outcomes, first, 30, "allow").count() == len(rows)
+    with pytest.raises(Exception, match="precedes the effective start"):
+        WF.under_policy(outcomes, first, 30, "raise").collect()
+    late = F.lit(start + dt.timedelta(weeks=40)).cast("date")
+    assert WF.under_policy(outcomes.where("series_id <> 'C'"), late, 30, "raise").count() == 30 + 20
+    with pytest.raises(ValueError):
+        WF.under_policy(outcomes, first, 30, "other")

@@ -21,13 +21,17 @@ def shrunk_covariance(centred: np.ndarray, weight: np.ndarray | None = None) ->
     return (1 - share) * cov + share * target
 
 
+def oriented(cov: np.ndarray) -> np.ndarray:
+    """The two leading axes as columns, each with its largest loading positive."""
+    _, vectors = np.linalg.eigh(cov)
+    top = vectors[:, ::-1][:, :2]
+    return top * np.where(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])] < 0, -1.0, 1.0)
+
+
 def two_components(x: np.ndarray) -> np.ndarray:
     """Scores; each component's largest loading is positive. One feature gives a zero second score."""
     if x.ndim != 2 or not x.size or not np.isfinite(x).all():
         raise ValueError("a finite, non-empty matrix is needed")
     centred = x - np.median(x, axis=0)
-    _, vectors = np.linalg.eigh(shrunk_covariance(centred))
-    top = vectors[:, ::-1][:, :2]
-    top = top * np.where(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])] < 0, -1.0, 1.0)
-    scores = centred @ top
+    scores = centred @ oriented(shrunk_covariance(centred))
     return scores if scores.shape[1] == 2 else np.column_stack([scores, np.zeros(len(x))])

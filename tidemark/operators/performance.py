@@ -53,23 +53,14 @@ def index_streams(sizes: DataFrame, keys: list[str], reps: int, lengths: list[in
     return begun.select(*keys, "block_length", "rep", "pos", F.pmod(F.col("b.i") + F.col("pos") - F.col("b.pos"), F.col("n")).cast("bigint").alias("idx"))
 
 
-def index_stream(spark: SparkSession, reps: int, n: int, length: int, seed: int) -> DataFrame:
-    """(rep, pos, idx) of one series of n positions."""
-    return index_streams(spark.range(1).select(F.lit(n).cast("bigint").alias("n")), [], reps, [length], seed).select("rep", "pos", "idx")
-
-
-def resampled(metrics: DataFrame, stream: DataFrame, columns: list[str]) -> DataFrame:
-    """Whole rows of metrics (idx, columns) by replication and position. metrics has one row per week, so it is a small side."""
-    return stream.join(metrics.select("idx", *columns), "idx")
-
-
-def moving_blocks(spark: SparkSession, reps: int, n: int, length: int, seed: int) -> DataFrame:
-    """(rep, pos, idx): blocks of fixed length from starts 0..n - length, cut at n rows."""
-    blocks = -(-n // length)
+def moving_blocks(sizes: DataFrame, reps: int, length: int, seed: int) -> DataFrame:
+    """(keys, rep, pos, idx) for each row of sizes (keys, n): blocks of fixed length from starts 0..n - length, cut at n rows."""
     start = F.pmod((F.lit(seed) + F.col("rep") * 7919 + F.col("block") * 104729) * LCG_A + LCG_C, F.lit(LCG_M))
-    rows = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    rows = rows.withColumn("start", F.floor(start * (n - length + 1) / LCG_M)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-    return rows.select("rep", (F.col("block") * length + F.col("k")).alias("pos"), (F.col("start") + F.col("k")).alias("idx")).where(F.col("pos") < n)
+    rows = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))))
+    rows = rows.withColumn("block", F.explode(F.expr(f"sequence(0L, (n + {length - 1}) div {length} - 1)")))
+    rows = rows.withColumn("start", F.floor(start * (F.col("n") - length + 1) / LCG_M)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    placed = rows.withColumn("pos", F.col("block") * length + F.col("k")).withColumn("idx", F.col("start") + F.col("k"))
+    return placed.where(F.col("pos") < F.col("n")).drop("n", "block", "start", "k")
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of training rows that walk-forward tasks may share by broadcast; beyond it each series is one grouped task.
-SHARED = 64 << 20
 #: Starts of a state model that one task advances together.
 TOGETHER = 25
 
@@ -146,38 +142,63 @@ def predict(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(q, axis=1)
 
 
-def run(pairs: DataFrame, embargo: int, min_train: int, every: int) -> DataFrame:
-    """(series_id, as_of, n_train, q10 .. q90) of every so many weeks. Weeks are dealt over tasks; what they share is the small table of rows."""
-    spark = pairs.sparkSession
-    schema = "series_id string, as_of date, n_train long, q10 double, q25 double, q50 double, q75 double, q90 double"
-    names = ["q10", "q25", "q50", "q75", "q90"]
-
-    def forecast(own: pd.DataFrame, as_of) -> dict | None:
-        week = pd.to_datetime(own["week"])
-        train = own[week <= pd.Timestamp(as_of) - pd.Timedelta(weeks=embargo)]
-        at = own[week == pd.Timestamp(as_of)]
-        if len(train) < min_train or at.empty:
-            return None
-        q = predict(train[["x"]].to_numpy(float), train["y"].to_numpy(float), at[["x"]].to_numpy(float))[0]
-        return {"series_id": own["series_id"].iloc[0], "as_of": as_of, "n_train": len(train), **dict(zip(names, q.round(5), strict=True))}
-
-    if pairs.count() * 40 > SHARED:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("week")
-            return pd.DataFrame([x for w in pdf["week"].iloc[::every] if (x := forecast(pdf, w))], columns=["series_id", "as_of", "n_train", *names])
-
-        return pairs.groupBy("series_id").applyInPandas(whole, schema)
-    shared = spark.sparkContext.broadcast(pairs.select("series_id", "week", "x", "y").toPandas().sort_values(["series_id", "week"]))
-
-    def batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = {k: v for k, v in shared.value.groupby("series_id")}
-        for pdf in batches:
-            out = [x for s, w in zip(pdf["series_id"], pdf["week"], strict=True) if (x := forecast(rows[s], w))]
-            yield pd.DataFrame(out, columns=["series_id", "as_of", "n_train", *names])
-
-    keys = [(s, w) for s, v in shared.value.groupby("series_id") for w in v["week"].iloc[::every]]
-    asked = spark.createDataFrame(keys, "series_id string, week date").repartition("series_id", "week")
-    return asked.mapInPandas(batch, schema)
+NAMES = ["q10", "q25", "q50", "q75", "q90"]
+OUTCOMES = "series_id string, as_of date, n_train long, status string, " + ", ".join(f"{q} double" for q in NAMES)
+#: Weeks that one task of a walk-forward run predicts.
+WEEKS = 26
+
+
+def run(pairs: DataFrame, embargo: int, min_train: int, every: int = 1, longest: int | None = None, weeks: int = WEEKS) -> DataFrame:
+    """OUTCOMES of every so many weeks of each series. What goes wrong in a week is its status, not an error: too few rows
+    (insufficient_history), no optimum (inaccurate), no solution (failed). A task predicts a block of weeks from the rows that
+    these can use: with `longest`, those of so many weeks before the embargo, else all earlier ones."""
+    number = F.floor(F.unix_date("week") / 7)
+    last = F.max(number).over(Window.partitionBy("series_id"))
+    upto = F.least(last, number + embargo + longest) if longest else last
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy("week")) - 1
+    rows = pairs.select("series_id", "week", "x", "y", number.alias("number"), upto.alias("upto"), (place % every == 0).alias("asked"))
+    dealt = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("number") / weeks), F.floor(F.col("upto") / weeks))))
+
+    def predict_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from tidemark.models import quantreg
+
+        pdf = pdf.sort_values("week")
+        number, x, y = pdf["number"].to_numpy(), pdf[["x"]].to_numpy(float), pdf["y"].to_numpy(float)
+        out = []
+        for i in np.flatnonzero((number // weeks == key[1]) & pdf["asked"].to_numpy()):
+            train = number <= number[i] - embargo
+            if longest:
+                train &= number > number[i] - embargo - longest
+            n, q, status = int(train.sum()), [None] * 5, "insufficient_history"
+            if n >= min_train:
+                try:
+                    coef, fit = quantreg.fit_linear(x[train], no_states(n), y[train])
+                    status = fit.status
+                    q = np.maximum.accumulate(coef[:, 0] + coef[:, 1:] @ x[i]).round(5).tolist()
+                except (ValueError, np.linalg.LinAlgError):
+                    status = "failed"
+            out.append((key[0], pdf["week"].iloc[i], n, status, *q))
+        return pd.DataFrame(out, columns=["series_id", "as_of", "n_train", "status", *NAMES])
+
+    return dealt.groupBy("series_id", "block").applyInPandas(predict_block, OUTCOMES)
+
+
+def under_policy(outcomes: DataFrame, start, min_train: int, policy: str) -> DataFrame:
+    """outcomes from a start on, with effective_start (a series' first week with enough rows) and what the policy does with
+    weeks before it: allow keeps their failures as rows, clip_diagnostic leaves them out and tells how many in n_clipped,
+    raise fails when such a week is read."""
+    if policy not in ("allow", "raise", "clip_diagnostic"):
+        raise ValueError(f"unknown policy {policy}")
+    own = Window.partitionBy("series_id")
+    ready = F.min(F.when(F.col("n_train") >= min_train, F.col("as_of"))).over(own)
+    rows = outcomes.withColumn("effective_start", ready).where(F.col("as_of") >= start)
+    early = F.col("effective_start").isNull() | (F.col("as_of") < F.col("effective_start"))
+    if policy == "raise":
+        error = F.raise_error(F.concat(F.lit("walk-forward start precedes the effective start of "), "series_id")).cast("string")
+        return rows.withColumn("status", F.when(early, error).otherwise(F.col("status"))).withColumn("n_clipped", F.lit(0).cast("bigint"))
+    if policy == "clip_diagnostic":
+        return rows.withColumn("n_clipped", F.count_if(early).over(own)).where(~early)
+    return rows.withColumn("n_clipped", F.lit(0).cast("bigint"))
 
 
 def challenger(pairs: DataFrame, every: int, min_train: int, embargo: int) -> DataFrame:

@@ -16,7 +16,7 @@ from tidemark.operators import calendar as C
 from tidemark.operators import evaluate as V
 from tidemark.operators import performance as P
 from tidemark.operators import windows as W
-from tidemark.queries.backtest import LCG, PRODUCTION_LENGTHS, PRODUCTION_REPS, SEED, streams_sql
+from tidemark.queries.backtest import LCG, LENGTHS, REPS, SEED, streams_sql
 from tidemark.queries.distribution import QS, RAW, forecast, missing_guard, raw_scores
 from tidemark.queries.series import ID, WEEKLY_RETURNS, by_week, r6, weekly_returns_df
 from tidemark.queries.storage import materialised
@@ -100,7 +100,7 @@ def drawdown_sql(r: str, name: str) -> str:
 PRODUCTION_SQL = f"""{OUTS}, mx AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY week) - 1 AS idx FROM sr), {streams_sql('series_id')},
 v AS (SELECT series_id, block_length, rep, 1 - avg(p) / avg(b) AS gain, 52 * (avg(r1) - 0.5::DOUBLE * coalesce(var_samp(r1), 0)) - 52 * (avg(r0) - 0.5::DOUBLE * coalesce(var_samp(r0), 0)) AS ceq FROM bs JOIN mx USING (series_id, idx) GROUP BY 1, 2, 3),
 bp AS (SELECT series_id, block_length, quantile_cont(gain, 0.05::DOUBLE) AS gain, quantile_cont(ceq, 0.05::DOUBLE) AS ceq FROM v GROUP BY 1, 2),
-bw AS (SELECT series_id, {', '.join(f'max(gain) FILTER (block_length = {n}) AS gain{n}, max(ceq) FILTER (block_length = {n}) AS ceq{n}' for n in PRODUCTION_LENGTHS)} FROM bp GROUP BY 1),
+bw AS (SELECT series_id, {', '.join(f'max(gain) FILTER (block_length = {n}) AS gain{n}, max(ceq) FILTER (block_length = {n}) AS ceq{n}' for n in LENGTHS)} FROM bp GROUP BY 1),
 {drawdown_sql('r1', 'dd1')}, {drawdown_sql('r0', 'dd0')},
 ms AS (SELECT series_id, abs(avg(hit10) - 0.1::DOUBLE) AS e10, abs(avg(hit90) - 0.9::DOUBLE) AS e90, 1 - avg(p) / avg(b) AS gain, 52 * (avg(r1) - 0.5::DOUBLE * coalesce(var_samp(r1), 0)) - 52 * (avg(r0) - 0.5::DOUBLE * coalesce(var_samp(r0), 0)) AS ceq FROM sr GROUP BY 1),
 tn AS (SELECT series_id, 52 * avg(abs(step)) / 100 AS turnover FROM (SELECT series_id, offense - lag(offense) OVER (PARTITION BY series_id ORDER BY week) AS step FROM outs) x GROUP BY 1),
@@ -110,7 +110,7 @@ gm AS (SELECT * FROM os LEFT JOIN ms USING (series_id) LEFT JOIN tn USING (serie
 
 def production_gate_list(c, column, both) -> list[tuple]:
     """The eleven gates. c: a column by name; column: a constant; both: conjunction of conditions given as (column, operator, limit)."""
-    n1, n2 = PRODUCTION_LENGTHS
+    n1, n2 = LENGTHS
     return [
         *[(name, {"passed": column(1.0 if ok else 0.0)}, both([(column(1.0 if ok else 0.0), ">", 0.5)])) for name, ok in STRUCTURAL.items()],
         ("quantile_non_crossing", {"share": c("ordered")}, both([(c("ordered"), ">=", 1.0)])),
@@ -137,7 +137,7 @@ def lower_quantiles(streams: DataFrame, rows: DataFrame, on: list[str], keys: li
     """The 5 % quantile of each statistic over the replications, a column for each statistic and block length. rows has a row per week."""
     each = streams.join(F.broadcast(rows), on).groupBy(*keys, "block_length", "rep").agg(*[x.alias(n) for n, x in stats.items()])
     low = each.groupBy(*keys, "block_length").agg(*[F.percentile(n, F.lit(0.05)).alias(n) for n in stats])
-    return low.groupBy(*keys).agg(*[F.max(F.when(F.col("block_length") == n, F.col(x))).alias(f"{x}{n}") for n in PRODUCTION_LENGTHS for x in stats])
+    return low.groupBy(*keys).agg(*[F.max(F.when(F.col("block_length") == n, F.col(x))).alias(f"{x}{n}") for n in LENGTHS for x in stats])
 
 
 @query(PRODUCTION_SQL + " " + gates_sql("series_id", "gm", in_sql(production_gate_list, dd="(dd1 - dd0)")))
@@ -149,7 +149,7 @@ def production_gates(spark, d):
     gain = 1 - F.try_divide(F.avg("p"), F.avg("b"))
     ms = rows.groupBy("series_id").agg(F.abs(F.avg("hit10") - 0.1).alias("e10"), F.abs(F.avg("hit90") - 0.9).alias("e90"), gain.alias("gain"), ceq.alias("ceq"))
     placed = rows.withColumn("idx", (F.row_number().over(by_week()) - 1).cast("bigint"))
-    streams = P.index_streams(rows.groupBy("series_id").agg(F.count("*").alias("n")), ID, PRODUCTION_REPS, PRODUCTION_LENGTHS, SEED)
+    streams = P.index_streams(rows.groupBy("series_id").agg(F.count("*").alias("n")), ID, REPS, LENGTHS, SEED)
     low = lower_quantiles(streams, placed, ["series_id", "idx"], ID, {"gain": gain, "ceq": ceq})
     falls = W.drawdown("r1", ID, "week", rows).withColumnRenamed("max_drawdown", "dd1").join(W.drawdown("r0", ID, "week", rows).withColumnRenamed("max_drawdown", "dd0"), "series_id").select("series_id", (F.col("dd1") - F.col("dd0")).alias("dd"))
     share = lambda x: F.avg(x.cast("double"))
@@ -162,12 +162,12 @@ def production_gates(spark, d):
 PANEL_SQL = f"""{OUTS}, wk AS (SELECT week, avg(p) AS p, avg(b) AS b FROM sr GROUP BY 1), mx AS (SELECT *, row_number() OVER (ORDER BY week) - 1 AS idx FROM wk), {streams_sql('')},
 v AS (SELECT block_length, rep, 1 - avg(p) / avg(b) AS gain FROM bs JOIN mx USING (idx) GROUP BY 1, 2), bp AS (SELECT block_length, quantile_cont(gain, 0.05::DOUBLE) AS gain FROM v GROUP BY 1),
 ma AS (SELECT series_id, avg(hit10) AS c10, avg(hit90) AS c90, avg(p) AS p, avg(b) AS b FROM sr GROUP BY 1),
-gm AS (SELECT (SELECT max(abs(c10 - 0.1::DOUBLE)) FROM ma) AS e10, (SELECT max(abs(c90 - 0.9::DOUBLE)) FROM ma) AS e90, (SELECT 1 - avg(p) / avg(b) FROM ma WHERE b > 0) AS gain, {', '.join(f'(SELECT gain FROM bp WHERE block_length = {n}) AS gain{n}' for n in PRODUCTION_LENGTHS)},
+gm AS (SELECT (SELECT max(abs(c10 - 0.1::DOUBLE)) FROM ma) AS e10, (SELECT max(abs(c90 - 0.9::DOUBLE)) FROM ma) AS e90, (SELECT 1 - avg(p) / avg(b) FROM ma WHERE b > 0) AS gain, {', '.join(f'(SELECT gain FROM bp WHERE block_length = {n}) AS gain{n}' for n in LENGTHS)},
 (SELECT avg(CASE WHEN mode = 'BLOCKED' THEN 1.0::DOUBLE ELSE 0 END) FROM (SELECT DISTINCT week, mode FROM outs) x) AS blocked, (SELECT avg(CASE WHEN isfinite(p1 + p2 + p3 + p4 + p5 + p6 + p7) THEN 1.0::DOUBLE ELSE 0 END) FROM outs) AS finite)"""
 
 
 def panel_gate_list(c, column, both) -> list[tuple]:
-    n1, n2 = PRODUCTION_LENGTHS
+    n1, n2 = LENGTHS
     return [
         ("per_asset_q10_coverage", {"worst_error": c("e10")}, both([(c("e10"), "<=", LIMITS.panel_coverage)])),
         ("per_asset_q90_coverage", {"worst_error": c("e90")}, both([(c("e90"), "<=", LIMITS.panel_coverage)])),
@@ -184,7 +184,7 @@ def panel_metrics(outs: DataFrame) -> DataFrame:
     worst = ma.agg(F.max(F.abs(F.col("c10") - 0.1)).alias("e10"), F.max(F.abs(F.col("c90") - 0.9)).alias("e90"), (1 - F.try_divide(F.avg(F.when(F.col("b") > 0, F.col("p"))), F.avg(F.when(F.col("b") > 0, F.col("b"))))).alias("gain"))
     weeks = rows.groupBy("week").agg(F.avg("p").alias("p"), F.avg("b").alias("b"))
     placed = weeks.withColumn("idx", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint"))
-    streams = P.index_streams(weeks.agg(F.count("*").alias("n")), [], PRODUCTION_REPS, PRODUCTION_LENGTHS, SEED)
+    streams = P.index_streams(weeks.agg(F.count("*").alias("n")), [], REPS, LENGTHS, SEED)
     low = lower_quantiles(streams, placed, ["idx"], [], {"gain": 1 - F.try_divide(F.avg("p"), F.avg("b"))})
     blocked = outs.select("week", "mode").distinct().agg(F.avg((F.col("mode") == "BLOCKED").cast("double")).alias("blocked"))
     finite = outs.agg(F.avg(S.finite(Q.total([F.col(p) for p in PS])).isNotNull().cast("double")).alias("finite"))

@@ -123,68 +123,24 @@ def coverage_gap(spark, d):
     return a.join(n, "week", "left").agg(F.count("*").alias("n_strict"), F.count("has").alias("n_challenger"), (F.count("*") - F.count("has")).alias("gap"), F.count_if(F.col("q4") < 0).alias("n_negative"))
 
 
-REPS, LENGTH, SEED = 60, 13, 42
+#: Of the bootstraps, for every series.
+REPS, LENGTHS, SEED = 2000, [52, 78], 42
 LCG = f"* {P.LCG_A} + {P.LCG_C}) % {P.LCG_M}"
 
 
-def stream_sql(reps: int, length: int, seed: int) -> str:
-    return f"""st AS (SELECT r AS rep, 0 AS k, CAST(({seed} + r * 7919) % {P.LCG_M} AS HUGEINT) AS s, CAST(-1 AS BIGINT) AS i FROM range({reps}) t(r) UNION ALL
-SELECT rep, k + 1, s2, CASE WHEN i < 0 OR s1 * {length} < {P.LCG_M} THEN CAST(s2 * n // {P.LCG_M} AS BIGINT) ELSE (i + 1) % n END FROM (SELECT rep, k, i, s1, (s1 {LCG} AS s2, n FROM (SELECT rep, k, i, (s {LCG} AS s1 FROM st) x, (SELECT count(*) AS n FROM mx) c) y WHERE k < n),
-bs AS (SELECT rep, k - 1 AS pos, i AS idx FROM st WHERE k > 0)"""
-
-
-METRICS = f"{FORECAST.replace('WITH prices', 'WITH RECURSIVE prices', 1)}, mx AS (SELECT row_number() OVER (ORDER BY week) - 1 AS idx, {PINBALL} AS p, abs(y) AS b, y FROM fc WHERE series_id = 'A')"
-
-
-def metric_rows(spark, d, series: str = "A") -> DataFrame:
-    rows = forecast(spark, d).where(F.col("series_id") == series)
-    return rows.select("week", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint").alias("idx"), Q.pinball("y", QS).alias("p"), F.abs("y").alias("b"), "y")
-
-
-@query(f"{METRICS}, {stream_sql(REPS, LENGTH, SEED)} SELECT rep, CAST(count(*) AS BIGINT) AS n, CAST(sum(idx) AS BIGINT) AS checksum FROM bs GROUP BY 1")
-def bootstrap_stream(spark, d):
-    n = metric_rows(spark, d).count()
-    return P.index_stream(spark, REPS, n, LENGTH, SEED).groupBy("rep").agg(F.count("*").alias("n"), F.sum("idx").alias("checksum"))
-
-
-@query(f"{METRICS}, {stream_sql(REPS, LENGTH, SEED)}, v AS (SELECT rep, 1 - avg(p) / avg(b) AS gain, 52 * (avg(y) - 0.5::DOUBLE * var_samp(y)) AS ceq FROM bs JOIN mx USING (idx) GROUP BY 1) SELECT round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(quantile_cont(ceq, 0.05::DOUBLE), 6) AS ceq_p05 FROM v")
-def bootstrap_p05(spark, d):
-    return p05(spark, metric_rows(spark, d), REPS, LENGTH)
-
-
-def p05(spark, rows: DataFrame, reps: int, length: int) -> DataFrame:
-    stats = P.resampled(rows, P.index_stream(spark, reps, rows.count(), length, SEED), ["p", "b", "y"]).groupBy("rep").agg((1 - F.try_divide(F.avg("p"), F.avg("b"))).alias("gain"), P.certainty_equivalent("y").alias("ceq"))
-    return stats.agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.percentile("ceq", F.lit(0.05)), "ceq_p05"))
-
-
 CLUSTER = f"{FORECAST.replace('WITH prices', 'WITH RECURSIVE prices', 1)}, wk AS (SELECT week, sum({PINBALL}) AS p, sum(abs(y)) AS b FROM fc GROUP BY 1), mx AS (SELECT row_number() OVER (ORDER BY week) - 1 AS idx, p, b FROM wk)"
 
 
-@query(f"{CLUSTER}, {stream_sql(REPS, LENGTH, SEED)}, v AS (SELECT rep, 1 - sum(p) / sum(b) AS gain FROM bs JOIN mx USING (idx) GROUP BY 1) SELECT round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(avg(gain), 6) AS gain_mean FROM v")
-def cluster_bootstrap_p05(spark, d):
-    """Whole weeks of all assets are drawn together."""
-    return cluster_p05(spark, week_rows(spark, d), REPS, LENGTH)
-
-
 def week_rows(spark, d) -> DataFrame:
     weeks = forecast(spark, d).groupBy("week").agg(F.sum(Q.pinball("y", QS)).alias("p"), F.sum(F.abs("y")).alias("b"))
     return weeks.withColumn("idx", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint"))
 
 
-def cluster_p05(spark, rows: DataFrame, reps: int, length: int) -> DataFrame:
-    v = P.resampled(rows, P.index_stream(spark, reps, rows.count(), length, SEED), ["p", "b"]).groupBy("rep").agg((1 - F.sum("p") / F.sum("b")).alias("gain"))
-    return v.agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.avg("gain"), "gain_mean"))
-
-
-#: Production values of the bootstraps, for every series. The queries above are smaller ones of the same kind.
-PRODUCTION_REPS, PRODUCTION_LENGTHS = 2000, [52, 78]
-
-
 def streams_sql(keys: str) -> str:
     """st (keys, block_length, rep, pos, idx) over mx (keys, idx, ...), by recursion from position to position."""
     k = "".join(f"{x}, " for x in keys.split())
     each = f" GROUP BY {', '.join(keys.split())}" if keys else ""
-    return f"""nn AS (SELECT {k}CAST(count(*) AS BIGINT) AS n FROM mx{each}), st AS (SELECT {k}n, len AS block_length, r AS rep, 0 AS k, CAST(({SEED} + r * 7919) % {P.LCG_M} AS HUGEINT) AS s, CAST(-1 AS BIGINT) AS i FROM nn, range({PRODUCTION_REPS}) t(r), (VALUES {', '.join(f'({x})' for x in PRODUCTION_LENGTHS)}) l(len) UNION ALL
+    return f"""nn AS (SELECT {k}CAST(count(*) AS BIGINT) AS n FROM mx{each}), st AS (SELECT {k}n, len AS block_length, r AS rep, 0 AS k, CAST(({SEED} + r * 7919) % {P.LCG_M} AS HUGEINT) AS s, CAST(-1 AS BIGINT) AS i FROM nn, range({REPS}) t(r), (VALUES {', '.join(f'({x})' for x in LENGTHS)}) l(len) UNION ALL
 SELECT {k}n, block_length, rep, k + 1, s2, CASE WHEN i < 0 OR s1 * block_length < {P.LCG_M} THEN CAST(s2 * n // {P.LCG_M} AS BIGINT) ELSE (i + 1) % n END FROM (SELECT *, (s1 {LCG} AS s2 FROM (SELECT *, (s {LCG} AS s1 FROM st) x WHERE k < n) y),
 bs AS (SELECT {k}block_length, rep, k - 1 AS pos, i AS idx FROM st WHERE k > 0)"""
 
@@ -200,11 +156,11 @@ def all_metric_rows(spark, d) -> DataFrame:
 def each_series(spark, d) -> tuple[DataFrame, DataFrame]:
     """The metric rows of every series, and the streams of their replications."""
     rows = all_metric_rows(spark, d)
-    return rows, P.index_streams(rows.groupBy("series_id").agg(F.count("*").alias("n")), ["series_id"], PRODUCTION_REPS, PRODUCTION_LENGTHS, SEED)
+    return rows, P.index_streams(rows.groupBy("series_id").agg(F.count("*").alias("n")), ["series_id"], REPS, LENGTHS, SEED)
 
 
 @query(f"{EACH}, {streams_sql('series_id')} SELECT series_id, block_length, CAST(rep AS BIGINT) AS rep, count(*) AS n, CAST(sum(idx) AS BIGINT) AS checksum FROM bs GROUP BY 1, 2, 3")
-def bootstrap_stream_production(spark, d):
+def bootstrap_stream(spark, d):
     return each_series(spark, d)[1].groupBy("series_id", "block_length", "rep").agg(F.count("*").alias("n"), F.sum("idx").alias("checksum"))
 
 
@@ -212,29 +168,31 @@ P05 = "v AS (SELECT series_id, block_length, rep, 1 - avg(p) / avg(b) AS gain, 5
 
 
 @query(f"{EACH}, {streams_sql('series_id')}, {P05} SELECT series_id, block_length, round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(quantile_cont(ceq, 0.05::DOUBLE), 6) AS ceq_p05 FROM v GROUP BY 1, 2")
-def bootstrap_p05_production(spark, d):
+def bootstrap_p05(spark, d):
     rows, streams = each_series(spark, d)
     stats = streams.join(F.broadcast(rows), ["series_id", "idx"]).groupBy("series_id", "block_length", "rep").agg((1 - F.try_divide(F.avg("p"), F.avg("b"))).alias("gain"), P.certainty_equivalent("y").alias("ceq"))
     return stats.groupBy("series_id", "block_length").agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.percentile("ceq", F.lit(0.05)), "ceq_p05"))
 
 
 @query(f"{CLUSTER}, {streams_sql('')}, v AS (SELECT block_length, rep, 1 - sum(p) / sum(b) AS gain FROM bs JOIN mx USING (idx) GROUP BY 1, 2) SELECT block_length, round(quantile_cont(gain, 0.05::DOUBLE), 6) AS gain_p05, round(avg(gain), 6) AS gain_mean FROM v GROUP BY 1")
-def cluster_bootstrap_p05_production(spark, d):
+def cluster_bootstrap_p05(spark, d):
+    """Whole weeks of all assets are drawn together."""
     rows = week_rows(spark, d)
-    streams = P.index_streams(rows.agg(F.count("*").alias("n")), [], PRODUCTION_REPS, PRODUCTION_LENGTHS, SEED)
+    streams = P.index_streams(rows.agg(F.count("*").alias("n")), [], REPS, LENGTHS, SEED)
     v = streams.join(F.broadcast(rows), "idx").groupBy("block_length", "rep").agg((1 - F.sum("p") / F.sum("b")).alias("gain"))
     return v.groupBy("block_length").agg(r6(F.percentile("gain", F.lit(0.05)), "gain_p05"), r6(F.avg("gain"), "gain_mean"))
 
 
 @query(
-    f"""{METRICS.replace('WITH RECURSIVE', 'WITH', 1)}, k AS (SELECT count(*) AS n FROM mx), bl AS (SELECT r AS rep, b AS block, CAST((CAST({SEED} + r * 7919 + b * 104729 AS HUGEINT) {LCG} AS HUGEINT) AS s, n FROM k, range(400) t(r), range(100) u(b) WHERE b * 20 < n),
-ix AS (SELECT rep, block * 20 + o AS pos, CAST(s * (n - 19) // {P.LCG_M} AS BIGINT) + o AS idx, n FROM bl, range(20) v(o)), g AS (SELECT rep, avg(b - p) AS m FROM ix JOIN mx USING (idx) WHERE pos < n GROUP BY 1)
-SELECT round(count(*) FILTER (m > 0) / 400.0::DOUBLE, 6) AS positive_share, round(avg(m), 6) AS mean_gain FROM g""".replace("g AS (SELECT rep, avg", "gx AS (SELECT rep, avg").replace("FROM g\"", "FROM gx").replace("mean_gain FROM g", "mean_gain FROM gx")
+    f"""{EACH.replace('WITH RECURSIVE', 'WITH', 1)}, k AS (SELECT series_id, count(*) AS n FROM mx GROUP BY 1), bl AS (SELECT series_id, r AS rep, b AS block, CAST((CAST({SEED} + r * 7919 + b * 104729 AS HUGEINT) {LCG} AS HUGEINT) AS s, n FROM k, range(400) t(r), range(100) u(b) WHERE b * 20 < n),
+ix AS (SELECT series_id, rep, block * 20 + o AS pos, CAST(s * (n - 19) // {P.LCG_M} AS BIGINT) + o AS idx, n FROM bl, range(20) v(o)), gx AS (SELECT series_id, rep, avg(b - p) AS m FROM ix JOIN mx USING (series_id, idx) WHERE pos < n GROUP BY 1, 2)
+SELECT series_id, round(count(*) FILTER (m > 0) / 400.0::DOUBLE, 6) AS positive_share, round(avg(m), 6) AS mean_gain FROM gx GROUP BY 1"""
 )
 def block_sign_stability(spark, d):
-    rows = metric_rows(spark, d)
-    means = P.resampled(rows, P.moving_blocks(spark, 400, rows.count(), 20, SEED), ["p", "b"]).groupBy("rep").agg(F.avg(F.col("b") - F.col("p")).alias("m"))
-    return means.agg(r6(F.count_if(F.col("m") > 0) / F.lit(400.0), "positive_share"), r6(F.avg("m"), "mean_gain"))
+    rows = all_metric_rows(spark, d)
+    blocks = P.moving_blocks(rows.groupBy("series_id").agg(F.count("*").alias("n")), 400, 20, SEED)
+    means = blocks.join(F.broadcast(rows), ["series_id", "idx"]).groupBy("series_id", "rep").agg(F.avg(F.col("b") - F.col("p")).alias("m"))
+    return means.groupBy("series_id").agg(r6(F.count_if(F.col("m") > 0) / F.lit(400.0), "positive_share"), r6(F.avg("m"), "mean_gain"))
 
 
 @query(f"{RAW} SELECT series_id, arg_max_null(week, raw) AS best_week, round(max(raw), 4) AS best FROM (SELECT series_id, raw, min(week) AS week FROM s GROUP BY 1, 2) GROUP BY 1")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.operators import moments as MO
 from tidemark.operators import states as ST
 from tidemark.plans import walkforward as WF
 from tidemark.queries.distribution import FORECAST, forecast
 from tidemark.queries.series import RETURNS, WEEKLY_RETURNS, by_week, daily_returns, r6, weekly_returns_df
 from tidemark.sources import tables as T
+from tidemark.sources.scratch import Folder
 
 XY = f"{FORECAST}, p AS (SELECT series_id, week, q4 AS x, y FROM fc)"
 
@@ -38,49 +40,23 @@ def residual_persistence(spark, d):
     return rows.groupBy("series_id").agg(r6(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)), "c"))
 
 
-DIMS = 4
-
-
-@query("WITH e AS (SELECT label, vec_id, unnest(generate_series(1, 4)) AS i, embedding FROM embeddings), v AS (SELECT label, vec_id, i, embedding[i]::DOUBLE AS x, 1.0::DOUBLE + vec_id % 3 AS w FROM e), m AS (SELECT label, i, sum(w * x) / sum(w) AS m FROM v GROUP BY 1, 2), c AS (SELECT a.label, a.i, b.i AS j, sum(a.w * (a.x - ma.m) * (b.x - mb.m)) / sum(a.w) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id JOIN m ma ON ma.label = a.label AND ma.i = a.i JOIN m mb ON mb.label = b.label AND mb.i = b.i GROUP BY 1, 2, 3) SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(c, 6) AS cov FROM c")
+@query(
+    """WITH e AS (SELECT label, vec_id, unnest(generate_series(1, len(embedding))) AS i, embedding FROM embeddings), v AS (SELECT label, vec_id, i, embedding[i]::DOUBLE AS x, 1.0::DOUBLE + vec_id % 3 AS w FROM e),
+m AS (SELECT label, i, sum(w * x) / sum(w) AS m FROM v GROUP BY 1, 2), z AS (SELECT label, vec_id, i, w, x - m AS x FROM v JOIN m USING (label, i)),
+c AS (SELECT a.label, a.i, b.i AS j, sum(a.w * a.x * b.x) / sum(a.w) AS c FROM z a JOIN z b ON a.label = b.label AND a.vec_id = b.vec_id GROUP BY 1, 2, 3),
+q AS (SELECT a.label, a.vec_id, a.w, sum(a.x * b.x * c.c) AS q FROM z a JOIN z b ON a.label = b.label AND a.vec_id = b.vec_id JOIN c ON c.label = a.label AND c.i = a.i AND c.j = b.i GROUP BY 1, 2, 3),
+n AS (SELECT label, vec_id, sum(x * x) AS n FROM z GROUP BY 1, 2), f AS (SELECT label, sum(c * c) AS f, sum(CASE WHEN i <> j THEN c * c ELSE 0 END) AS size FROM c GROUP BY 1),
+s AS (SELECT q.label, greatest(0, least(1, sum(w * w * (n * n - 2 * q + f)) / pow(sum(w), 2) / any_value(size))) AS share FROM q JOIN n USING (label, vec_id) JOIN f ON f.label = q.label GROUP BY 1)
+SELECT c.label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CASE WHEN i = j THEN c ELSE (1 - share) * c END, 5) AS cov FROM c JOIN s USING (label)"""
+)
 def weighted_covariance(spark, d):
-    """Moment sums of four dimensions by label in one aggregation; no pairing of rows."""
-    e = T.table(spark, d, "embeddings").select("label", (F.lit(1.0) + F.col("vec_id") % 3).alias("w"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIMS)])
-    mean = e.groupBy("label").agg(*[(F.sum(F.col("w") * F.col(f"x{k}")) / F.sum("w")).alias(f"m{k}") for k in range(DIMS)])
-    c = e.join(F.broadcast(mean), "label")
-    apart = [F.col(f"x{k}") - F.col(f"m{k}") for k in range(DIMS)]
-    wide = c.groupBy("label").agg(*[(F.sum(F.col("w") * apart[i] * apart[j]) / F.sum("w")).alias(f"c{i}{j}") for i in range(DIMS) for j in range(DIMS)])
-    cells = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.round(f"c{i}{j}", 6).alias("cov")) for i in range(DIMS) for j in range(DIMS)])
-    return wide.select("label", F.explode(cells).alias("c")).select("label", "c.i", "c.j", "c.cov")
-
-
-def moment_sums(rows: DataFrame) -> DataFrame:
-    """rows (label, w, x: array) -> (label, i, j, s): sums of w * x_i * x_j, with x_0 = 1. Batches are summed as matrices, so a
-    label that holds most rows is no task of its own."""
-    def add(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            label = np.asarray(batch.column(0))
-            w = np.asarray(batch.column(1), float)
-            x = np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.zeros((0, 0))
-            for k in np.unique(label):
-                one = np.column_stack([np.ones((label == k).sum()), x[label == k]])
-                s = (one * w[label == k, None]).T @ one
-                i, j = np.indices(s.shape)
-                yield pa.record_batch([pa.array(np.full(s.size, k), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(s.ravel())], names=["label", "i", "j", "s"])
-
-    return rows.mapInArrow(add, "label int, i int, j int, s double").groupBy("label", "i", "j").agg(F.sum("s").alias("s"))
-
-
-@query("WITH e AS (SELECT label, vec_id, unnest(generate_series(1, len(embedding))) AS i, embedding FROM embeddings), v AS (SELECT label, vec_id, i, embedding[i]::DOUBLE AS x, 1.0::DOUBLE + vec_id % 3 AS w FROM e), m AS (SELECT label, i, sum(w * x) / sum(w) AS m FROM v GROUP BY 1, 2), c AS (SELECT a.label, a.i, b.i AS j, sum(a.w * (a.x - ma.m) * (b.x - mb.m)) / sum(a.w) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id JOIN m ma ON ma.label = a.label AND ma.i = a.i JOIN m mb ON mb.label = b.label AND mb.i = b.i GROUP BY 1, 2, 3) SELECT label, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(c, 5) AS cov FROM c")
-def weighted_covariance_all(spark, d):
-    """As weighted_covariance, of all dimensions."""
-    e = T.table(spark, d, "embeddings").select("label", (F.lit(1.0) + F.col("vec_id") % 3).alias("w"), "embedding")
-    s = moment_sums(e)
-    total = s.where("i = 0 and j = 0").select("label", F.col("s").alias("n"))
-    mean = lambda end: s.where("i > 0 and j = 0").join(total, "label").select("label", F.col("i").alias(end), (F.col("s") / F.col("n")).alias(f"m{end}"))
-    cells = s.where("i > 0 and j > 0").join(total, "label").join(mean("i"), ["label", "i"]).join(mean("j"), ["label", "j"])
-    return cells.select("label", "i", "j", F.round(F.col("s") / F.col("n") - F.col("mi") * F.col("mj"), 5).alias("cov"))
+    """Weighted covariance of all dimensions by label, shrunk to its diagonal by the noise in it."""
+    e = T.table(spark, d, "embeddings").select("label", (F.lit(1.0) + F.col("vec_id") % 3).alias("w"), F.col("embedding").cast("array<double>").alias("x"))
+    first = MO.sums(e.withColumn("centre", F.transform("x", lambda v: F.lit(0.0))).withColumn("x", F.concat(F.array(F.lit(1.0)), "x")).withColumn("centre", F.concat(F.array(F.lit(0.0)), "centre")))
+    row = first.where(f"kind = {MO.GRAM} and i = 0").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("row"))
+    centre = row.select("label", F.transform(F.slice("row", 2, F.size("row") - 1), lambda r: r["s"] / F.col("row")[0]["s"]).alias("centre"))
+    out = MO.covariances(e.join(centre, "label"))
+    return out.select("label", "i", "j", F.round("cov", 5).alias("cov"))
 
 
 MU, SD, STAY = [-0.25, 0.0, 0.25], [0.3, 0.15, 0.3], 0.9
@@ -116,14 +92,9 @@ def residual_ratio(spark, d):
 @query()
 def pca_2d(spark, d):
     """Two shrunk components of each label's embeddings."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tidemark.models.pca import two_components
-
-        pdf = pdf.sort_values("vec_id")
-        s = two_components(np.stack(pdf["embedding"].to_numpy()).astype(float))
-        return pd.DataFrame({"label": pdf["label"], "vec_id": pdf["vec_id"], "pc1": s[:, 0].round(6), "pc2": s[:, 1].round(6)})
-
-    return T.table(spark, d, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(fit, "label int, vec_id long, pc1 double, pc2 double")
+    rows = T.table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    out = MO.components(rows, Folder(spark, "components"))
+    return out.select("label", "vec_id", r6(F.col("pc1"), "pc1"), r6(F.col("pc2"), "pc2"))
 
 
 @query()
@@ -180,8 +151,29 @@ def isotonic_recalibration(spark, d):
 
 @query()
 def walkforward(spark, d):
-    """Every week: fit on rows at least 14 weeks older, predict the week. The rows are broadcast once, if they are few."""
-    return WF.run(pairs(spark, d), embargo=14, min_train=60, every=1)
+    """Every week: fit on rows at least 14 weeks older, predict the week."""
+    out = WF.run(pairs(spark, d), embargo=14, min_train=60)
+    return out.where("status in ('ok', 'inaccurate')").select("series_id", "as_of", "n_train", *WF.NAMES)
+
+
+POLICY_START = "1996-06-28"
+COUNTED = f"""{XY}, t AS (SELECT a.series_id, a.week, count(b.week) AS n FROM p a LEFT JOIN p b ON b.series_id = a.series_id AND b.week <= a.week - 98 GROUP BY 1, 2),
+e AS (SELECT *, min(CASE WHEN n >= 60 THEN week END) OVER (PARTITION BY series_id) AS effective_start FROM t), r AS (SELECT *, week < effective_start AS early FROM e WHERE week >= DATE '{POLICY_START}')"""
+
+
+@query(
+    f"""{COUNTED} SELECT series_id, effective_start, 'allow' AS policy, count(*) AS n_weeks, count(*) FILTER (early) AS n_failed, 0::BIGINT AS n_clipped FROM r GROUP BY 1, 2
+UNION ALL SELECT series_id, effective_start, 'clip_diagnostic', count(*) FILTER (NOT early), 0, count(*) FILTER (early) FROM r GROUP BY 1, 2"""
+)
+def walkforward_policies(spark, d):
+    """A run from mid-1996, before there are 60 training rows, under the policies that give rows."""
+    outcomes = Folder(spark, "outcomes").cut(WF.run(pairs(spark, d), embargo=14, min_train=60))
+    parts = []
+    for policy in ("allow", "clip_diagnostic"):
+        rows = WF.under_policy(outcomes, F.lit(POLICY_START).cast("date"), 60, policy)
+        failed = F.count_if(F.col("status") == "insufficient_history").alias("n_failed")
+        parts.append(rows.groupBy("series_id", "effective_start").agg(F.count("*").alias("n_weeks"), failed, F.max("n_clipped").alias("n_clipped")).withColumn("policy", F.lit(policy)))
+    return parts[0].unionByName(parts[1]).select("series_id", "effective_start", "policy", "n_weeks", "n_failed", "n_clipped")
 
 
 @query()

@@ -55,30 +55,12 @@ def weekly_asof(spark, d):
     return weekly_prices(spark, d)
 
 
-@query(
-    f"""WITH {T.PRICES}, days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS as_of FROM orders WHERE o_orderkey % 97 = 0)
-SELECT series_id, as_of, arg_max(value, obs_date) AS value FROM days JOIN prices ON obs_date BETWEEN as_of - 6 AND as_of GROUP BY 1, 2"""
-)
-def asof_off_spine(spark, d):
-    days = T.table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.date_add(F.to_date("o_orderdate"), 3).alias("as_of")).distinct()
-    return A.as_of(days, T.prices(spark, d))
-
-
-@query(
-    f"""WITH {T.PRICES}, days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of FROM orders WHERE o_orderkey % 97 = 0), ids AS (SELECT DISTINCT series_id FROM prices)
-SELECT i.series_id, d.as_of, p.value FROM days d CROSS JOIN ids i ASOF JOIN prices p ON p.series_id = i.series_id AND d.as_of >= p.obs_date"""
-)
-def asof_unbounded(spark, d):
-    days = T.table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.to_date("o_orderdate").alias("as_of")).distinct()
-    return A.as_of(days, T.prices(spark, d), tolerance=None)
-
-
 @query(
     f"""WITH {T.PRICES}, days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + 3 AS as_of FROM orders)
 SELECT series_id, as_of, arg_max(value, obs_date) AS value FROM days JOIN prices ON obs_date BETWEEN as_of - 6 AND as_of GROUP BY 1, 2"""
 )
-def asof_off_spine_all(spark, d):
-    """As asof_off_spine, for the days of all orders."""
+def asof_off_spine(spark, d):
+    """As of three days after every order's day."""
     days = T.table(spark, d, "orders").select(F.date_add(F.to_date("o_orderdate"), 3).alias("as_of")).distinct()
     return A.as_of(days, T.prices(spark, d))
 
@@ -87,8 +69,8 @@ def asof_off_spine_all(spark, d):
     f"""WITH {T.PRICES}, days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of FROM orders), ids AS (SELECT DISTINCT series_id FROM prices)
 SELECT i.series_id, d.as_of, p.value FROM days d CROSS JOIN ids i ASOF JOIN prices p ON p.series_id = i.series_id AND d.as_of >= p.obs_date"""
 )
-def asof_unbounded_all(spark, d):
-    """As asof_unbounded, for the days of all orders."""
+def asof_unbounded(spark, d):
+    """As of every order's day, however old the value."""
     days = T.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("as_of")).distinct()
     return A.as_of(days, T.prices(spark, d), tolerance=None)
 
