@@ -1,3 +1,5 @@
+import pytest
+
 from tidemark.llm import templates
 
 PAGE = """<!DOCTYPE html><html><head><title>T {k}</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/{k}">Home {k}</a></li><li>About</li></ul></nav>
@@ -35,7 +37,8 @@ def test_unclosed_article_and_markup():
 def texts_of(page, n=8):
     pages = [templates.tokens(page.replace("{k}", "abcdefgh"[k])) for k in range(n)]
     template = templates.deduce(pages) if n >= templates.SUPPORT else None
-    return [templates.extract(p, template) for p in pages]
+    main = templates.main_element(pages, template) if template else None
+    return [templates.extract(p, template, main) for p in pages]
 
 
 def test_template_text_inside_an_article_goes():
@@ -48,7 +51,7 @@ def test_notice_on_some_pages_inside_an_article_goes():
     page = "<body><article><p>Story {k}</p>{n}<p>End {k}</p></article></body>"
     pages = [templates.tokens(page.replace("{k}", c).replace("{n}", "<p>Closed on Monday</p>" if c < "i" else "")) for c in "abcdefghi"]
     template = templates.deduce(pages)
-    assert [templates.extract(p, template) for p in pages] == [f"Story {c}\nEnd {c}" for c in "abcdefghi"]
+    assert [templates.extract(p, template, templates.main_element(pages, template)) for p in pages] == [f"Story {c}\nEnd {c}" for c in "abcdefghi"]
 
 
 def test_equal_pages_are_not_their_own_template(spark):
@@ -130,7 +133,7 @@ def test_random_templates_against_plain_classes():
         pages, wanted = random_site(seed)
         tokens = [templates.tokens(p) for p in pages]
         template = templates.deduce(tokens)
-        assert {value for kind, value, _ in template if kind == "t"} == plain_template_texts(pages)
+        assert {key[1] for key, _ in template.tokens if key[0] == "t"} == plain_template_texts(pages)
         assert [templates.extract(t, template) for t in tokens] == wanted
 
 
@@ -142,3 +145,30 @@ def test_long_page_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("host", "part", "parts", "n", "text", "n_chars")])
     got = {r["page_id"]: r["text"] for r in templates.main_text(df).collect()}
     assert got[0].count("\n") == 19_999 and got[0].endswith("Line 19999 of the long story") and got[3] == "Short 3" and got[None] == ""
+
+
+def plain_site(rng, pages, named):
+    """Pages without any role, their layers in div elements alone; named: with tags of roles instead."""
+    nav, main, foot = ("nav", "article", "footer") if named else ("div", "div", "div")
+    word = lambda n: " ".join(rng.choice(["alo", "bera", "cinu", "dofe", "guma"]) + str(rng.randint(0, 99)) for _ in range(n))
+    out, wanted = [], []
+    for _ in range(pages):
+        title, body = word(5), [word(rng.randint(8, 30)) for _ in range(rng.randint(3, 9))]
+        advert, links = word(4), [word(1) for _ in range(rng.randint(2, 5))]
+        menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in links)
+        text = "".join(f"<p>{p}</p>" for p in body)
+        out.append(f"<html><head><title>{title}</title></head><body><{nav}><ul>{menu}</ul></{nav}><div>{advert}</div><{main}><h1>{title}</h1>{text}</{main}><{foot}>&copy; site, {word(2)}</{foot}></body></html>")
+        wanted.append("\n".join([title, *body]))
+    return out, wanted
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_slots_find_the_main_text_without_roles(spark, named):
+    """Nothing but the template tells the layers of pages without roles apart; it finds the same text as roles do."""
+    import random
+
+    site, wanted = plain_site(random.Random(4), 30, named)
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", x) for i, x in enumerate(site)], "page_id long, url string, html string")
+    assert [r.text for r in templates.main_text(pages).orderBy("page_id").collect()] == wanted
+    alone = [templates.extract(templates.tokens(x), None) for x in site]
+    assert (alone == wanted) == named

@@ -8,11 +8,19 @@ a class of its own if it fits in no other. Valid classes are the template; insid
 support of INSIDE pages, so what repeats in the articles of a group of fewer pages stays. What lies between two
 template tokens is a slot; gaps between the same two tokens are one slot.
 
-Roles choose among slots. Texts under an element of another role than the article's are dropped: by tag, ARIA role or
-hiding, or by a word of its id or class. Such words don't count for html, body, main and article, nor for what is around
-the largest article element if no article element is free of them and it holds more than any free slot. Of the rest the
-texts in article elements are the main text, unless one slot outside holds more than all of them: several articles are
-then cards, and what is outside is the main text; a single one stays beside it. Without articles all the rest is taken.
+Tokens that are equally often on every page are told apart by their number, so elements with the same labels are different
+borders. Slots are scored over the group: the characters that a slot holds, times the share of its texts that differ from
+page to page. Roles weigh in: text under an element of another role than the article's counts an OTHERth, by tag, ARIA role,
+hiding, or a word of its id or class. A slot counts for the innermost element around all its texts on all pages, not of text
+level, or for the article element around that. The best element is the main element; if that is no more than the body, texts
+with the labels of its slots' texts are. The page's main text is the text in there that is not template, less what roles
+inside the main element drop.
+
+Inside the main element, and on a whole page that lacks it or whose group has no template: texts under elements of other roles
+are dropped, and of the rest the texts in article elements are the main text. Words of ids and classes don't
+count there for html, body, main and article, nor for what is around the largest article element if no article element is
+free of them and it holds more than any free slot. If one slot outside holds more than all articles, several articles are
+cards and what is outside is the main text; a single one stays beside it. Without articles all the rest is taken.
 
 Groups: a host's pages are dealt into groups of about GROUP pages by a hash of page_id, so that no host is one task.
 Equal pages count once. A group of fewer than SUPPORT different pages has no vectors to compare: nothing is template
@@ -39,6 +47,8 @@ from pyspark.sql import functions as F
 GROUP, SUPPORT = 48, 4
 #: Pages that a text inside an article must be on: there it is presumed to be content.
 INSIDE = 8
+#: Text under elements of other roles counts so many times less.
+OTHER = 16
 #: Hosts of more than GROUP pages that may be broadcast.
 MANY_HOSTS = 100_000
 
@@ -60,14 +70,15 @@ OTHER_NAME = re.compile(
 )
 ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story)(?:[_-]?(?:body|content|text))?(?:$|[\s_-])", re.I)
 CLOSES_PARAGRAPH = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+TEXT_LEVEL = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot ul ol dl table blockquote pre figure figcaption caption".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "article", "div", "section", "body"}
 
 
 class Element:
-    """An open element: its label and those around it, and the roles that its tag or attributes (other, article) or its class or id (named) give it."""
+    """An open element: its label and those around it, how many before it on its page have the same, and the roles that its tag or attributes (other, article) or its class or id (named) give it."""
 
-    __slots__ = ("article", "cost", "label", "labels", "main", "named", "other")
+    __slots__ = ("article", "cost", "label", "labels", "main", "named", "nth", "other")
 
     def __init__(self, name: str, tag: str, around: tuple):
         marks, other, article, named, called = "", name in OTHER_ROLE, name in ("article", "main"), False, False
@@ -92,6 +103,7 @@ class Element:
         self.article = (article or (called and not named and name not in ("html", "body"))) and not other
         self.labels = (*(around[-1].labels if around else ()), self.label)
         self.cost = (around[-1].cost if around else 0) + self.named
+        self.nth = 0
 
 
 def tokens(page: str) -> list[tuple[str, str, tuple]]:
@@ -100,6 +112,7 @@ def tokens(page: str) -> list[tuple[str, str, tuple]]:
     parts: list[str] = []
     names: list[str] = []
     stack: list[tuple] = []
+    alike: Counter = Counter()
 
     def close() -> None:
         value = "".join(parts)
@@ -142,6 +155,8 @@ def tokens(page: str) -> list[tuple[str, str, tuple]]:
             if names[i] in SCOPES:
                 break
         opened = Element(name, tag, path)
+        opened.nth = alike[opened.labels]
+        alike[opened.labels] += 1
         out.append(("<", opened.label, path))
         if name not in VOID and not tag.endswith("/>"):
             names.append(name)
@@ -157,33 +172,52 @@ def key_of(kind: str, value: str, path: tuple) -> tuple:
     return kind, SPACE.sub(" ", value).strip() if kind == "t" else value, path[-1].labels if path else ()
 
 
-def deduce(pages: list[list[tuple]]) -> set[tuple]:
-    """Template tokens of a group, as (kind, value, labels of the open elements)."""
+class Template:
+    """Template tokens of a group, and the keys that are equally often on all its pages: their occurrences are tokens apart."""
+
+    def __init__(self, even: dict[tuple, int]):
+        self.even, self.tokens = even, set()
+
+    def marks(self, page: list[tuple]) -> list[tuple]:
+        """Each token's key, with its number on the page or 0."""
+        seen: Counter = Counter()
+        out = []
+        for token in page:
+            key = key_of(*token)
+            if key in self.even:
+                seen[key] += 1
+            out.append((key, seen.get(key, 0)))
+        return out
+
+
+def deduce(pages: list[list[tuple]]) -> Template:
+    """The template of a group."""
+    often: dict[tuple, list[int]] = defaultdict(list)
+    for page in pages:
+        for key, n in Counter(key_of(*token) for token in page).items():
+            often[key].append(n)
+    template = Template({key: n[0] for key, n in often.items() if len(n) == len(pages) and min(n) == max(n)})
     articles: set[tuple] = set()
     vectors: dict[tuple, dict[int, int]] = defaultdict(dict)
     places: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for p, page in enumerate(pages):
-        seen: Counter = Counter()
-        for i, (kind, value, path) in enumerate(page):
-            key = key_of(kind, value, path)
+        for i, (mark, (kind, _, path)) in enumerate(zip(template.marks(page), page, strict=True)):
             if kind == "t" and any(x.article for x in path):
-                articles.add(key)
-            seen[key] += 1
-            places[key][p].append(i)
-        for key, n in seen.items():
-            vectors[key][p] = n
+                articles.add(mark)
+            vectors[mark][p] = vectors[mark].get(p, 0) + 1
+            places[mark][p].append(i)
     half = (len(pages) + 1) // 2
     classes: dict[tuple, list[tuple]] = defaultdict(list)
-    for key, v in vectors.items():
-        if len(v) >= max(INSIDE if key in articles else SUPPORT, half):
-            classes[tuple(sorted(v.items()))].append(key)
-    template: set[tuple] = {key for members in classes.values() for key in members if key[0] == "t"}
+    for mark, v in vectors.items():
+        if len(v) >= max(INSIDE if mark in articles else SUPPORT, half):
+            classes[tuple(sorted(v.items()))].append(mark)
+    template.tokens = {mark for members in classes.values() for mark in members if mark[0][0] == "t"}
     spans: list[tuple[int, dict[int, list[int]]]] = []
     for vector, members in sorted(classes.items(), key=lambda c: (-len(c[0]), -len(c[1]))):
         good = ordered(vector, members, places)
         if len(good) >= 2 and nested(vector, good, places, spans):
-            template.update(good)
-            spans.append((len(good), {p: sorted(i for key in good for i in places[key][p]) for p, _ in vector}))
+            template.tokens.update(good)
+            spans.append((len(good), {p: sorted(i for mark in good for i in places[mark][p]) for p, _ in vector}))
     return template
 
 
@@ -211,21 +245,19 @@ def nested(vector: tuple, members: list[tuple], places: dict, spans: list) -> bo
     return True
 
 
-def slots(page: list[tuple], template: set[tuple] | None) -> list[tuple]:
+def slots(page: list[tuple], template: Template | None) -> list[tuple]:
     """(index, slot, path, length) of each text that is not template: slots have a name from the template tokens on both sides."""
+    if template is None:
+        return [(i, key_of(*token)[2], token[2], len(token[1])) for i, token in enumerate(page) if token[0] == "t"]
     out: list[tuple] = []
     held: list[tuple] = []
     last = None
-    for i, (kind, value, path) in enumerate(page):
-        key = key_of(kind, value, path)
-        if template is not None and key in template:
-            out.extend((j, (last, key), at, n) for j, at, n in held)
-            held, last = [], key
+    for i, (mark, (kind, value, path)) in enumerate(zip(template.marks(page), page, strict=True)):
+        if mark in template.tokens:
+            out.extend((j, (last, mark), at, n) for j, at, n in held)
+            held, last = [], mark
         elif kind == "t":
-            if template is None:
-                out.append((i, key[2], path, len(value)))
-            else:
-                held.append((i, path, len(value)))
+            held.append((i, path, len(value)))
     out.extend((j, (last, None), at, n) for j, at, n in held)
     return out
 
@@ -264,8 +296,78 @@ def chosen(texts: list[tuple]) -> set[int]:
     return {t[0] for t in kept}
 
 
-def extract(page: list[tuple], template: set[tuple] | None) -> str:
-    taken = chosen(slots(page, template))
+class Main:
+    """Where a group's main text is: under the element with these labels and this number among those alike on its page (none
+    if pages differ in it), or in texts of these labels."""
+
+    def __init__(self, labels: tuple, nth: int | None, texts: set[tuple]):
+        self.labels, self.nth, self.texts = labels, nth, texts
+
+    def inner(self, path: tuple) -> tuple | None:
+        """The open elements from the main element on; none if the text is not in there."""
+        n = len(self.labels)
+        if not n:
+            return path if path and path[-1].labels in self.texts else None
+        if len(path) < n or path[n - 1].labels != self.labels:
+            return None
+        return path[n - 1 :] if self.nth is None or path[n - 1].nth == self.nth else None
+
+
+def shared(one: tuple, other: tuple) -> int:
+    return next((k for k, (x, y) in enumerate(zip(one, other)) if x is not y), min(len(one), len(other)))
+
+
+def main_element(pages: list[list[tuple]], template: Template) -> Main | None:
+    """Of the best slot over a group's pages."""
+    size: Counter = Counter()
+    count: Counter = Counter()
+    weight: Counter = Counter()
+    texts: dict[tuple, set[str]] = defaultdict(set)
+    labels: dict[tuple, set[tuple]] = defaultdict(set)
+    around: dict[tuple, list[tuple]] = {}
+    for page in pages:
+        common: dict[tuple, tuple] = {}
+        for i, slot, path, n in slots(page, template):
+            size[slot] += n
+            count[slot] += 1
+            weight[slot] += n / (OTHER if any(x.other or x.named for x in path) else 1)
+            texts[slot].add(page[i][1])
+            labels[slot].add(path[-1].labels if path else ())
+            before = common.get(slot, path)
+            common[slot] = before[: shared(before, path)]
+        for slot, path in common.items():
+            own = [(x.label, x.nth, x.article) for x in path]
+            before = around.get(slot, own)
+            around[slot] = [(x, a if a == b else None, one and other) for (x, a, one), (y, b, other) in zip(before, own) if x == y] if before[: len(own)] else []
+            cut = next((k for k, (x, y) in enumerate(zip(before, own)) if x[0] != y[0]), len(around[slot]))
+            around[slot] = around[slot][:cut]
+    scores: Counter = Counter()
+    held: dict[tuple, tuple[bool, set[tuple]]] = {}
+    for slot, path in around.items():
+        while path and path[-1][0].split(".")[0] in TEXT_LEVEL:
+            path = path[:-1]
+        article = next((k for k, x in enumerate(path) if x[2]), len(path) - 1)
+        path = path[: article + 1]
+        plain = all(x.split(".")[0] in ("html", "body") for x, _, _ in path)
+        name = ((), None) if plain else (tuple(x for x, _, _ in path), path[-1][1])
+        scores[name] += weight[slot] * len(texts[slot]) / count[slot]
+        one, all_labels = held.get(name, (False, set()))
+        held[name] = (one or any(x[2] for x in path), all_labels | labels[slot])
+    if not scores:
+        return None
+    # the body is the main element only where no element in it has as much
+    best = max(scores, key=lambda n: (scores[n], held[n][0], bool(n[0]), n[0]))
+    return Main(*best, held[best][1])
+
+
+def in_main(texts: list[tuple], main: Main) -> set[int]:
+    """Indices of the main element's texts that roles inside it leave; what is around it doesn't count."""
+    return chosen([(i, slot, inner, n) for i, slot, path, n in texts if (inner := main.inner(path)) is not None])
+
+
+def extract(page: list[tuple], template: Template | None, main: Main | None = None) -> str:
+    held = slots(page, template)
+    taken = (in_main(held, main) if main else None) or chosen(held)
     lines = (SPACE.sub(" ", entities.unescape(page[i][1])).strip() for i in sorted(taken))
     return "\n".join(x for x in lines if x)
 
@@ -275,7 +377,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = [tokens(x["html"] or "") for x in rows]
         own = list({x["html"] or "": p for x, p in zip(rows, pages, strict=True)}.values())
         template = deduce(own) if len(own) >= SUPPORT else None
-        texts = [extract(p, template) for p in pages]
+        main = main_element(own, template) if template else None
+        texts = [extract(p, template, main) for p in pages]
         return pa.record_batch([pa.array([x["page_id"] for x in rows], pa.int64()), pa.array([x["url"] for x in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     held: list[dict] = []
