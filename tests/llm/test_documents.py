@@ -575,6 +575,14 @@ def test_quality(spark):
     kept = {r["doc_id"] for r in rows if r["keep"]}
     assert len(rows) == len(good + bad + odd)
     assert not kept & {200 + i for i in range(8)} and not kept & {300, 301} and {302, None} <= kept and len(kept & set(range(160))) >= 155
+    held = {r["doc_id"] for r in rows if r["held_out"]}
+    assert held < set(range(160)) and 16 <= len(held) <= 50 and len(held & kept) >= len(held) - 1
+    # the counts never see a held-out text: without its label it has the same perplexity
+    out = min(held)
+    again = {r["doc_id"]: r["perplexity"] for r in kneser_ney.quality(docs, labels.where(f"doc_id <> {out}")).collect()}
+    assert again[out] == pytest.approx(next(r["perplexity"] for r in rows if r["doc_id"] == out), rel=1e-6)
+    few = labels.where(f"doc_id in ({min(set(range(160)) - held)})")
+    assert {r["held_out"] for r in kneser_ney.quality(docs, few).collect()} == {False}
     assert kneser_ney.quality(empty(spark), labels).count() == 0
     assert all(r["keep"] for r in kneser_ney.quality(docs, labels.limit(0)).collect() if r["n_bytes"])
 

@@ -11,8 +11,11 @@ into parts of about PART bytes by a hash of doc_id; three steps read that dealin
    often its documents have them. A shard that is asked by many parts is salted: its counts are small beside what asks.
 3. Scores. The answers come back to their part, whose documents add them up.
 
-A document is kept if its mean log perplexity lies between two quantiles of the trusted documents of its language,
-widened by SLACK. Languages with too few trusted documents, and null, use the quantiles of all trusted ones.
+One trusted document in HELD, by a hash of doc_id, is held out: the counts never see it. A document is kept if its mean log
+perplexity lies between two quantiles for its language, widened by SLACK: the upper one is that of the held-out documents,
+as unseen good texts are less likely under the model than the counted ones; the lower one is the least of either kind's.
+Languages with fewer than ENOUGH held-out documents, and null, use the quantiles over all languages; if none is held out,
+those of the documents counted.
 
 Nulls: null and empty texts have no perplexity and are not kept. Without any trusted text nothing is known and every
 text is kept. A null doc_id is scored as any, and trusted by none. A doc_id labelled twice is trusted if any label is
@@ -37,8 +40,10 @@ ORDER, GROUPS = 5, 64
 #: Text bytes of a part, and of all parts that ask one copy of a shard.
 PART, ASKERS = 24 << 20, 64 << 30
 LOW, HIGH, SLACK = 0.002, 0.995, 0.1
-#: Trusted documents that a language needs for thresholds of its own.
-ENOUGH = 50
+#: Of so many trusted documents one is held out.
+HELD = 5
+#: Held-out documents that a language needs for thresholds of its own.
+ENOUGH = 10
 #: Resolution of quantiles, in nats.
 STEP = 1 / 512
 PAD = 2
@@ -297,20 +302,24 @@ def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, low, high, keep)."""
+    """(doc_id, lang, n_bytes, perplexity, low, high, keep, held_out). held_out: trusted, but not counted."""
     scratch = Scratch(docs.sparkSession, "kneser-ney")
     trusted = labels.where("doc_id is not null and quality > 0").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    judged = scratch.cut(scored(docs, trusted).select("doc_id", "lang", "n", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("nats")))
-    known = judged.where("nats is not null").join(trusted, "doc_id", "left_semi").withColumn("slot", F.floor(F.col("nats") / STEP))
-    histogram = known.groupBy("lang", "slot").agg(F.count("*").alias("k"))
-    histogram = histogram.unionByName(histogram.groupBy("slot").agg(F.sum("k").alias("k")).select(F.lit(None).cast("string").alias("lang"), "slot", "k").where("k > 0")).groupBy("lang", "slot").agg(F.sum("k").alias("k"))
-    run = Window.partitionBy("lang").orderBy("slot")
-    upto = histogram.withColumn("below", F.sum("k").over(run)).withColumn("all", F.sum("k").over(Window.partitionBy("lang")))
-    limits = upto.groupBy("lang").agg(F.max("all").alias("n_trusted"), F.min(F.when(F.col("below") >= LOW * F.col("all"), F.col("slot"))).alias("a"), F.min(F.when(F.col("below") >= HIGH * F.col("all"), F.col("slot"))).alias("b"))
-    limits = limits.select("lang", "n_trusted", (F.col("a") * STEP - SLACK).alias("low"), ((F.col("b") + 1) * STEP + SLACK).alias("high"))
-    own = limits.where(f"lang is not null and n_trusted >= {ENOUGH}").select("lang", "low", "high")
-    general = limits.where("lang is null").select(F.col("low").alias("low_all"), F.col("high").alias("high_all")).limit(1)
-    ranged = judged.join(own, "lang", "left").join(F.broadcast(general), F.lit(True), "left")
+    trusted = trusted.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0)
+    rows = scored(docs, trusted.where("not held")).select("doc_id", "lang", "n", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("nats"))
+    judged = scratch.cut(rows.join(trusted, "doc_id", "left"))
+    known = judged.where("nats is not null and held is not null").withColumn("slot", F.floor(F.col("nats") / STEP))
+    histogram = known.groupBy("held", "lang", "slot").agg(F.count("*").alias("k"))
+    general = histogram.groupBy("held", "slot").agg(F.sum("k").alias("k")).select("held", F.lit(None).cast("string").alias("lang"), "slot", "k")
+    run = Window.partitionBy("held", "lang").orderBy("slot")
+    upto = histogram.where("lang is not null").unionByName(general)
+    upto = upto.withColumn("below", F.sum("k").over(run)).withColumn("all", F.sum("k").over(Window.partitionBy("held", "lang")))
+    limits = upto.groupBy("lang", "held").agg(F.max("all").alias("n"), F.min(F.when(F.col("below") >= LOW * F.col("all"), F.col("slot"))).alias("a"), F.min(F.when(F.col("below") >= HIGH * F.col("all"), F.col("slot"))).alias("b"))
+    limits = limits.groupBy("lang").agg(F.sum(F.when(F.col("held"), F.col("n"))).alias("n_held"), (F.min("a") * STEP - SLACK).alias("low"), ((F.max_by("b", "held") + 1) * STEP + SLACK).alias("high"))
+    own = limits.where(f"lang is not null and n_held >= {ENOUGH}").select("lang", "low", "high")
+    one = limits.where("lang is null").select(F.col("low").alias("low_all"), F.col("high").alias("high_all"))
+    ranged = judged.join(own, "lang", "left").join(F.broadcast(one), F.lit(True), "left")
     low, high = F.coalesce("low", "low_all"), F.coalesce("high", "high_all")
     keep = F.col("nats").isNotNull() & F.coalesce(F.col("nats").between(low, high), F.lit(True))
-    return ranged.select("doc_id", "lang", F.col("n").alias("n_bytes"), F.exp("nats").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"), keep.alias("keep"))
+    held = F.coalesce("held", F.lit(False)).alias("held_out")
+    return ranged.select("doc_id", "lang", F.col("n").alias("n_bytes"), F.exp("nats").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"), keep.alias("keep"), held)
