@@ -224,6 +224,19 @@ def test_rows_are_judged_one_by_one(spark):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(r["n_chars"] for r in left.collect()) == [2, 4, 5]
 
 
+def test_slices_of_the_benchmark_one_by_one(spark, monkeypatch):
+    texts = [prose(30) for _ in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    rows = [(i, f"{prose(20)} {texts[i]} {prose(10)}" if i < 9 else prose(40), "en", "s", i) for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, items).select("doc_id", "item_id", "covered").collect()))
+    assert [(i, i) for i in range(9)] == [w[:2] for w in whole]
+    monkeypatch.setattr(decontaminate, "SLICE", 500)
+    assert len(decontaminate.slices(items)) > 3
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items).select("doc_id", "item_id", "covered").collect())) == whole
+    assert sorted(r["doc_id"] for r in decontaminate.without_contaminated(docs, items).collect()) == list(range(9, 20))
+
+
 def plain_sums(strings, probs, single, text, k):
     """log of the sum over all segmentations of each prefix, byte by byte in logarithms."""
     import math

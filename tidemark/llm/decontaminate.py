@@ -6,8 +6,8 @@ matches are marked longest first; a match that meets marked tokens is cut to its
 than `least` are dropped. The share of an item's tokens under marked tiles is its coverage, in whatever order the
 document has them; the pair is reported from `share` on.
 
-The benchmark is broadcast in slices of at most SLICE bytes, one scan of the documents for each, so that what is
-broadcast is bounded whatever the benchmark's size. A pair is tiled only if the item tokens under shared seeds, which
+The benchmark is broadcast in slices of about SLICE bytes, one scan of the documents for each. Where there are several, one
+slice's result is written and its seeds are let go before the next is read. A pair is tiled only if the item tokens under shared seeds, which
 bound the coverage from above, reach the threshold.
 
 Nulls: null texts are empty; documents with a null doc_id and items with a null id are reported with that null. Items
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytesnp as B
+from tidemark.llm.store import Scratch
 
 SLICE = 16 << 20
 #: Pairs of seeds that are spread at a time, and distinct seeds of rows that are looked up at a time.
@@ -210,12 +211,31 @@ def slices(benchmark: DataFrame) -> list[DataFrame]:
     return [benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
-def shared_seeds(benchmark: DataFrame, least: int) -> Iterator:
-    """A broadcast variable for each slice of the benchmark."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for part in slices(items):
-        rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        yield benchmark.sparkSession.sparkContext.broadcast(seeds_by_length([r["item_id"] for r in rows], [r["text"] for r in rows], least))
+def shared_seeds(part: DataFrame, least: int):
+    """A broadcast variable of one slice of the benchmark."""
+    rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+    return part.sparkSession.sparkContext.broadcast(seeds_by_length([r["item_id"] for r in rows], [r["text"] for r in rows], least))
+
+
+def by_slice(docs: DataFrame, benchmark: DataFrame, least: int, search, keep_all: bool) -> DataFrame:
+    """search(docs, seeds) of each slice. One slice is searched when the result is read. Of several, each result is written
+    before the next slice is read, and its seeds go, so driver and tasks hold one slice at a time; keep_all: all results are
+    the result, else each search reads what the one before has left."""
+    parts = slices(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")))
+    if len(parts) == 1:
+        return search(docs, shared_seeds(parts[0], least))
+    tmp, results, before = Scratch(docs.sparkSession, "decontaminate"), [], None
+    for part in parts:
+        shared = shared_seeds(part, least)
+        found, path = tmp.write(search(docs, shared))
+        shared.destroy()
+        if keep_all:
+            results.append(found)
+            continue
+        if before:
+            tmp.drop(before)
+        docs, before = found, path
+    return reduce(DataFrame.unionByName, results) if keep_all else docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
@@ -223,12 +243,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 3, share: f
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {kind}, item_id bigint, n_tiles bigint, covered bigint, item_tokens bigint, coverage double, tiles array<array<bigint>>"
-    found = [texts.mapInArrow(_report(shared, share, pa.int64()), schema) for shared in shared_seeds(benchmark, least)]
-    return reduce(DataFrame.unionByName, found)
+    return by_slice(texts, benchmark, least, lambda d, shared: d.mapInArrow(_report(shared, share, pa.int64()), schema), True)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that share enough with no item: rows are judged one by one, whatever their doc_id."""
-    for shared in shared_seeds(benchmark, least):
-        docs = docs.mapInArrow(_drop(shared, share), docs.schema)
-    return docs
+    return by_slice(docs, benchmark, least, lambda d, shared: d.mapInArrow(_drop(shared, share), d.schema), False)
