@@ -12,6 +12,7 @@ from tidemark.catalog import query
 from tidemark.operators import alignment as A
 from tidemark.queries.series import WEEKLY, r6, weekly_prices
 from tidemark.sources import observations as O
+from tidemark.sources import snapshots as SN
 from tidemark.sources import tables as T
 from tidemark.sources.scratch import Folder
 
@@ -119,11 +120,16 @@ def materialised(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return Folder(spark, name).cut(df)
 
 
-def through_payload(spark: SparkSession, v: DataFrame) -> DataFrame:
+def payload(v: DataFrame) -> DataFrame:
+    """Vintages as the service answers: observations by series and day, with missing marks."""
     value = F.when(F.dayofmonth("obs_date") == 13, O.MISSING).otherwise(F.col("value").cast("string"))
-    one = v.groupBy("series_id", "obs_date").agg(F.collect_list(F.struct(F.col("obs_date").cast("string").alias("date"), value.alias("value"), F.col("realtime_start").cast("string").alias("realtime_start"), F.col("realtime_end").cast("string").alias("realtime_end"))).alias("observations"))
+    said = F.struct(F.col("obs_date").cast("string").alias("date"), value.alias("value"), F.col("realtime_start").cast("string").alias("realtime_start"), F.col("realtime_end").cast("string").alias("realtime_end"))
+    return v.groupBy("series_id", "obs_date").agg(F.collect_list(said).alias("observations"))
+
+
+def through_payload(spark: SparkSession, v: DataFrame) -> DataFrame:
     path = Folder(spark, "payload").path()
-    one.select("series_id", "observations").write.json(path)
+    payload(v).select("series_id", "observations").write.json(path)
     return O.read_payload(spark, path).select("series_id", "obs_date", "value", "realtime_start")
 
 
@@ -133,6 +139,28 @@ def payload_scan(spark, d):
     return through_payload(spark, T.vintages(spark, d))
 
 
+SNAPSHOT_DAYS = ["1996-03-29", "1997-08-01", "1998-06-26", "2001-12-28"]
+
+
+@query(
+    f"""WITH {T.VINTAGES}, days AS (SELECT unnest([{', '.join(f"DATE '{x}'" for x in SNAPSHOT_DAYS)}]) AS as_of)
+SELECT series_id, as_of, count(*) AS n, round(sum(value), 2) AS total, max(realtime_start) AS newest FROM vintages JOIN days ON obs_date <= as_of WHERE day(obs_date) <> 13
+AND CASE WHEN series_id = '5-LOW' THEN realtime_end = DATE '9999-12-31' ELSE realtime_start <= as_of AND as_of <= realtime_end END GROUP BY 1, 2"""
+)
+def snapshot_scan(spark, d):
+    """Snapshots of all series on four days through the cache: the first read fills it from the service's answers, the second
+    has no service to ask."""
+    tmp = Folder(spark, "snapshots")
+    service, cache = tmp.path(), tmp.path()
+    one = payload(T.vintages(spark, d))
+    one.select("series_id", F.to_json(F.struct("observations")).alias("value")).write.partitionBy("series_id").text(service)
+    series = [r["series_id"] for r in one.select("series_id").distinct().orderBy("series_id").collect()]
+    filled = SN.read_snapshots(spark, cache, service, series, SNAPSHOT_DAYS, O.UNREVISED)
+    filled.write.format("noop").mode("overwrite").save()
+    rows = SN.read_snapshots(spark, cache, "", series, SNAPSHOT_DAYS, O.UNREVISED)
+    return rows.groupBy("series_id", "as_of").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.max("realtime_start").alias("newest"))
+
+
 @query(f"{WEEKLY} SELECT series_id, week, value AS value FROM weekly WHERE week BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 def records_round_trip(spark, d):
     """Weekly records written by as_of and read back for a range of dates."""
