@@ -224,28 +224,35 @@ def challenger(pairs: DataFrame, every: int, min_train: int, embargo: int) -> Da
     return by_series(pairs, fit, "series_id string, as_of date, fitted date, n_train long, objective double, status string, " + ", ".join(f"{q} double" for q in names))
 
 
-def hypotheses(pairs: DataFrame) -> DataFrame:
-    """Mean score of four direct laws on the last third of each series: density, quantile, decoupled heads, two states."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        from statistics import NormalDist
-
-        from tidemark.models import quantreg, scale
-
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        n = len(y) * 2 // 3
-        z = np.array([NormalDist().inv_cdf(float(t)) for t in quantreg.TAUS])
-        X = np.column_stack([np.ones(len(y)), x])
-        beta = scale.ridge(x[:n, None], y[:n], 1e-3)
-        rest = y[:n] - X[:n] @ beta
-        gamma = scale.ridge(np.abs(x[:n, None]), np.log(np.abs(rest) + 1e-3), 1e-3)
-        density = (X[n:] @ beta)[:, None] + rest.std() * z
-        heads = (X[n:] @ beta)[:, None] + np.exp(np.column_stack([np.ones(len(y) - n), np.abs(x[n:])]) @ gamma)[:, None] * z * 1.25
-        quantile = predict(x[:n, None], y[:n], x[n:, None])
-        high, mid = x[n:] > np.median(x[:n]), np.median(x[:n])
-        parts = [y[:n][x[:n] > mid], y[:n][x[:n] <= mid]]
-        parts = [p if len(p) else y[:n] for p in parts]
-        two = np.where(high[:, None], parts[0].mean() + parts[0].std() * z, parts[1].mean() + parts[1].std() * z)
-        score = lambda q: float(2 * np.maximum(quantreg.TAUS * (y[n:, None] - q), (quantreg.TAUS - 1) * (y[n:, None] - q)).mean())
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "hypothesis": ["density", "quantile", "heads", "two_state"], "crps": [round(score(q), 5) for q in (density, quantile, heads, two)]})
-
-    return by_series(pairs, fit, "series_id string, hypothesis string, crps double")
+LAW_ROWS = "series_id string, as_of date, hypothesis string, n_train long, y double, mu double, sigma double, " + ", ".join(f"{q} double" for q in NAMES)
+
+
+def hypotheses(rows: DataFrame, features: list[str], embargo: int, min_train: int, longest: int | None = None, weeks: int = WEEKS) -> DataFrame:
+    """LAW_ROWS of every week of rows (series_id, week, features, y) with enough training rows, for each of the four laws. The
+    last feature parts the states. Weeks are dealt as in run(); a law is fitted anew each week."""
+    number = F.floor(F.unix_date("week") / 7)
+    last = F.max(number).over(Window.partitionBy("series_id"))
+    upto = F.least(last, number + embargo + longest) if longest else last
+    numbered = rows.select("series_id", "week", *features, "y", number.alias("number"), upto.alias("upto"))
+    dealt = numbered.withColumn("block", F.explode(F.sequence(F.floor(F.col("number") / weeks), F.floor(F.col("upto") / weeks))))
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from tidemark.models.laws import LAWS
+
+        pdf = pdf.sort_values("week")
+        number, y = pdf["number"].to_numpy(), pdf["y"].to_numpy(float)
+        X = np.column_stack([np.ones(len(y)), pdf[features].to_numpy(float)])
+        out = []
+        for i in np.flatnonzero(number // weeks == key[1]):
+            train = number <= number[i] - embargo
+            if longest:
+                train &= number > number[i] - embargo - longest
+            n = int(train.sum())
+            if n < min_train:
+                continue
+            for name, law in LAWS.items():
+                mu, sigma, q = law(X[train], y[train], X[i : i + 1])
+                out.append((key[0], pdf["week"].iloc[i], name, n, y[i], mu[0], sigma[0], *q[0]))
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in LAW_ROWS.split(", ")])
+
+    return dealt.groupBy("series_id", "block").applyInPandas(fit, LAW_ROWS)

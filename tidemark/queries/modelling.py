@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.functions import quantiles as Q
 from tidemark.operators import moments as MO
 from tidemark.operators import states as ST
+from tidemark.operators import windows as W
 from tidemark.plans import walkforward as WF
 from tidemark.queries.distribution import FORECAST, forecast
 from tidemark.queries.series import RETURNS, WEEKLY_RETURNS, by_week, daily_returns, r6, weekly_returns_df
@@ -184,7 +186,13 @@ def challenger_run(spark, d):
 
 @query()
 def hypotheses(spark, d):
-    return WF.hypotheses(pairs(spark, d))
+    """Four direct laws of the 13-week return on trend and volatility, fitted anew each week: mean score, coverage of the outer
+    levels, and how scale goes with the size of the miss, by series."""
+    x = weekly_returns_df(spark, d).select("series_id", "week", W.log_return("value", by_week(), 26).alias("trend"), F.col("r"), F.when(F.count("r").over(by_week().rowsBetween(-12, 0)) == 13, F.stddev_pop("r").over(by_week().rowsBetween(-12, 0))).alias("vol"))
+    rows = forecast(spark, d).select("series_id", "week", "y").join(x.dropna("any"), ["series_id", "week"])
+    out = WF.hypotheses(rows, ["trend", "r", "vol"], embargo=14, min_train=120)
+    hit = lambda q: F.avg((F.col("y") <= F.col(q)).cast("double"))
+    return out.groupBy("series_id", "hypothesis").agg(F.count("*").alias("n"), F.round(F.avg(Q.pinball("y", WF.NAMES, Q.CORE)), 5).alias("crps"), r6(hit("q10"), "coverage_q10"), r6(hit("q90"), "coverage_q90"), F.round(F.corr("sigma", F.abs(F.col("y") - F.col("mu"))), 5).alias("scale_corr"))
 
 
 @query(
