@@ -57,3 +57,27 @@ def test_walk_forward_of_the_laws(spark):
         mu, sigma, q = laws.LAWS[r.hypothesis](X[train], y[train] * scale, X[t : t + 1])
         assert r.n_train == t - 3
         assert [r.mu, r.sigma, *(r[n] for n in WF.NAMES)] == pytest.approx([mu[0], sigma[0], *q[0]], abs=1e-6)
+
+
+def test_direction_sets():
+    from tidemark.models.numerics import powell
+
+    at, value, done = powell(lambda p: (1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2, np.array([-1.2, 1.0]), 0.1, 200, 1e-12)
+    assert done and value < 1e-9 and at == pytest.approx([1, 1], abs=1e-4)
+    at, _, _ = powell(lambda p: abs(p[0] - 3) + 2 * abs(p[1] + 1), np.zeros(2), 0.1, 100, 1e-12)
+    assert at == pytest.approx([3, -1], abs=1e-2)
+
+
+def test_student_law_is_at_least_as_good_as_a_simplex(monkeypatch):
+    from tidemark.models import scale
+
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(60, 300))
+        x = rng.normal(size=(n, 1))
+        y = 0.3 * x[:, 0] + 0.4 * rng.standard_t(4, size=n)
+        _, value, status = scale.fit_student(x, np.ones((n, 1)), y)
+        with monkeypatch.context() as m:
+            m.setattr(scale, "powell", lambda f, theta, *_: (theta, f(theta), True))
+            _, simplex, _ = scale.fit_student(x, np.ones((n, 1)), y)
+        assert status == "ok" and value <= simplex + 1e-9

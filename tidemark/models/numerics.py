@@ -46,6 +46,70 @@ def nelder_mead(f: Callable[[Array], float], x0: Array, scale: float = 0.1, iter
     return points[best], float(values[best]), False
 
 
+GOLD = (math.sqrt(5) - 1) / 2
+
+
+def along(f: Callable[[Array], float], x: Array, fx: float, d: Array, step: float, tol: float) -> tuple[Array, float]:
+    """The best point found on the line through x: a bracket that doubles outwards, then golden sections of it."""
+    best = (fx, 0.0)
+
+    def at(t: float) -> float:
+        nonlocal best
+        v = f(x + t * d)
+        v = v if np.isfinite(v) else 1e12
+        best = min(best, (v, t))
+        return v
+
+    up, down = at(step), at(-step)
+    if min(up, down) < fx:
+        sign = 1.0 if up <= down else -1.0
+        low, middle, v = 0.0, sign * step, min(up, down)
+        for _ in range(40):
+            high = 2 * middle
+            w = at(high)
+            if w >= v:
+                break
+            low, middle, v = middle, high, w
+    else:
+        low, high = -step, step
+    a, b = min(low, high), max(low, high)
+    c, e = b - GOLD * (b - a), a + GOLD * (b - a)
+    fc, fe = at(c), at(e)
+    while b - a > tol * max(1.0, abs(a) + abs(b)):
+        if fc <= fe:
+            b, e, fe = e, c, fc
+            c = b - GOLD * (b - a)
+            fc = at(c)
+        else:
+            a, c, fc = c, e, fe
+            e = a + GOLD * (b - a)
+            fe = at(e)
+    return x + best[1] * d, best[0]
+
+
+def powell(f: Callable[[Array], float], x0: Array, scale: float = 0.1, iterations: int = 60, tol: float = 1e-6) -> tuple[Array, float, bool]:
+    """(minimum, value, converged) by direction sets: lines along each direction in turn, of which the one with the largest
+    gain gives way to the whole step where the function still falls along that."""
+    x, fx = x0.astype(float), f(x0)
+    directions = [d * (scale * abs(v) + scale) for d, v in zip(np.eye(len(x0)), x0, strict=True)]
+    for _ in range(iterations):
+        start, before, gains = x, fx, []
+        for d in directions:
+            here = fx
+            x, fx = along(f, x, fx, d, 1.0, 1e-3)
+            gains.append(here - fx)
+        if 2 * (before - fx) <= tol * (abs(before) + abs(fx)) + 1e-12:
+            return x, fx, True
+        whole = x - start
+        k = int(np.argmax(gains))
+        ahead = f(x + whole)
+        if ahead < before and 2 * (before - 2 * fx + ahead) * (before - fx - gains[k]) ** 2 < gains[k] * (before - ahead) ** 2:
+            x, fx = along(f, x, fx, whole, 1.0, 1e-3)
+            directions[k] = directions[-1]
+            directions[-1] = whole
+    return x, fx, False
+
+
 def newton(f: Callable[[Array], tuple[float, Array, Array]], x0: Array, iterations: int = 50, tol: float = 1e-10) -> Array:
     """Damped Newton steps on a smooth convex function that gives value, gradient and Hessian."""
     x = x0.astype(float)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tidemark.models.numerics import nelder_mead, t_logpdf, t_ppf
+from tidemark.models.numerics import nelder_mead, powell, t_logpdf, t_ppf
 
 NU = 5.0
 TAUS = np.array([0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95])
@@ -26,7 +26,8 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float, intercept: bool = True) ->
 
 
 def fit_student(x: np.ndarray, pi: np.ndarray, y: np.ndarray, theta0: np.ndarray | None = None, iterations: int = 80) -> tuple[np.ndarray, float, str]:
-    """(theta, objective, status): pinball loss of the law's quantiles plus a penalty on its coverage. Three growing budgets."""
+    """(theta, objective, status): pinball loss of the law's quantiles plus a penalty on its coverage, which jumps. Direction
+    sets and a simplex take turns, either first, in three growing budgets; the better of both counts."""
     mu_x = np.column_stack([np.ones(len(y)), x, pi[:, :-1]])
     sd_x = np.column_stack([np.ones(len(y)), pi[:, :-1]])
     k = mu_x.shape[1]
@@ -46,9 +47,20 @@ def fit_student(x: np.ndarray, pi: np.ndarray, y: np.ndarray, theta0: np.ndarray
     def student_table(mu: np.ndarray, sd: np.ndarray) -> np.ndarray:
         return mu[:, None] + sd[:, None] * z
 
+    def simplex(theta: np.ndarray, budget: int) -> tuple[np.ndarray, float, bool]:
+        return nelder_mead(objective, theta, 0.05, budget, 1e-6)
+
+    def lines(theta: np.ndarray, budget: int) -> tuple[np.ndarray, float, bool]:
+        return powell(objective, theta, 0.1, budget, 1e-6)
+
     theta, value, ok = theta0, objective(theta0), False
     for budget in (iterations, 2 * iterations, 4 * iterations):
-        theta, value, ok = nelder_mead(objective, theta, 0.05, budget, 1e-6)
+        chains = []
+        for one, other in ((lines, simplex), (simplex, lines)):
+            at, before, _ = one(theta, budget)
+            after, reached, done = other(at, budget)
+            chains.append((reached, after, done) if reached <= before else (before, at, done))
+        value, theta, ok = min(chains, key=lambda c: c[0])
         if ok:
             break
     return theta, value, "ok" if ok else "budget"
