@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.functions import quantiles as Q
+from tidemark.operators import audit as AU
 from tidemark.operators import moments as MO
 from tidemark.operators import states as ST
 from tidemark.operators import windows as W
@@ -207,6 +208,37 @@ def nonfinite_audit(spark, d):
     return bad.groupBy("series_id").agg(F.min(F.struct("s.stage", "week")).alias("first")).select("series_id", "first.stage", "first.week")
 
 
+SIGMA_STAGES = ["value", "r", "rv", "m", "log_sigma", "corrected", "z"]
+
+
+@query(
+    f"""{RETURNS}, h AS (SELECT *, row_number() OVER o AS i, CASE WHEN count(r) OVER f = 5 THEN sqrt(avg(r * r) OVER f) END AS rv5, CASE WHEN count(r) OVER t = 22 THEN sqrt(avg(r * r) OVER t) END AS rv, lead(r) OVER o AS next FROM r WINDOW o AS (PARTITION BY series_id ORDER BY obs_date), f AS (PARTITION BY series_id ORDER BY obs_date ROWS 4 PRECEDING), t AS (PARTITION BY series_id ORDER BY obs_date ROWS 21 PRECEDING)),
+l AS (SELECT *, CASE WHEN r <> 0 AND rv5 > 0 AND rv > 0 THEN (ln(abs(r)) + ln(rv5) + ln(rv)) / 3 END AS m, CASE WHEN next <> 0 THEN ln(abs(next)) END AS y FROM h WHERE next IS NOT NULL),
+f AS (SELECT series_id, regr_slope(y, m) AS b, regr_intercept(y, m) AS a FROM l GROUP BY 1), p AS (SELECT l.*, a + b * m AS log_sigma, y - (a + b * m) AS e FROM l JOIN f USING (series_id)),
+g AS (SELECT *, lag(e) OVER o AS pe, row_number() OVER o AS k FROM p WINDOW o AS (PARTITION BY series_id ORDER BY obs_date)), c AS (SELECT series_id, greatest(-1, least(1, sum(e * pe) / sum(pe * pe))) AS c FROM g WHERE e IS NOT NULL AND pe IS NOT NULL GROUP BY 1),
+t AS (SELECT series_id, obs_date, value, r, rv, m, log_sigma, log_sigma + c * (CASE WHEN k = 1 THEN 0 ELSE pe END) AS corrected, next FROM g JOIN c USING (series_id)),
+s AS (SELECT *, CASE WHEN value IS NULL THEN 1 WHEN r IS NULL THEN 2 WHEN rv IS NULL THEN 3 WHEN m IS NULL THEN 4 WHEN log_sigma IS NULL THEN 5 WHEN corrected IS NULL THEN 6 END AS stage FROM t),
+w AS (SELECT count(*) AS n_all, count(*) FILTER (corrected IS NULL) AS n_bad_sigma FROM t)
+SELECT series_id, CAST(stage AS INT) AS stage, min(obs_date) AS obs_date, count(*) AS n_rows, any_value(n_bad_sigma) AS n_bad_sigma, any_value(n_all) AS n_all FROM s, w GROUP BY 1, 2"""
+)
+def sigma_chain_audit(spark, d):
+    """The chain from prices to standardised residuals (returns, realised volatility, mean log, fitted log sigma, correction by
+    the residual before): the rows of each series by the stage at which they first break (none: null) and the first such day,
+    with the counts that the same pass observed."""
+    w = Window.partitionBy("series_id").orderBy("obs_date")
+    h = daily_returns(spark, d).select("series_id", "obs_date", "value", "r", W.rms("r", w, 5).alias("rv5"), W.rms("r", w, 22).alias("rv"), F.lead("r").over(w).alias("next"))
+    logs = F.when((F.col("r") != 0) & (F.col("rv5") > 0) & (F.col("rv") > 0), (F.ln(F.abs("r")) + F.ln("rv5") + F.ln("rv")) / 3)
+    rows = h.where("next is not null").withColumn("m", logs).withColumn("y", F.when(F.col("next") != 0, F.ln(F.abs("next"))))
+    fit = rows.groupBy("series_id").agg(F.regr_slope("y", "m").alias("b"), F.regr_intercept("y", "m").alias("a"))
+    rows = rows.join(fit, "series_id").withColumn("log_sigma", F.col("a") + F.col("b") * F.col("m")).withColumn("e", F.col("y") - F.col("log_sigma"))
+    rows = rows.withColumn("pe", F.lag("e").over(w)).withColumn("k", F.row_number().over(w))
+    both = rows.where("e is not null and pe is not null").groupBy("series_id").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sum(F.col("e") * F.col("pe")) / F.sum(F.col("pe") * F.col("pe")))).alias("c"))
+    rows = rows.join(both, "series_id").withColumn("corrected", F.col("log_sigma") + F.col("c") * F.when(F.col("k") == 1, 0.0).otherwise(F.col("pe")))
+    marked, seen = AU.observed(rows.withColumn("z", F.col("next") / F.exp("corrected")).select("series_id", "obs_date", *SIGMA_STAGES), SIGMA_STAGES)
+    kept = Folder(spark, "sigma-chain").cut(marked)
+    counts = seen.get
+    out = AU.breaks(kept, ["series_id"], "obs_date")
+    return out.withColumns({"n_bad_sigma": F.lit(counts["corrected"]).cast("bigint"), "n_all": F.lit(counts["rows"]).cast("bigint")})
 
 
 @query()
