@@ -131,3 +131,81 @@ def trained(rows: DataFrame, scaled: list[str], raw: list[str], restarts: int =
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "file": list(files), "text": list(files.values())})
 
     return sets.join(best, "series_id", "left").groupBy("series_id").applyInPandas(fit, "series_id string, file string, text string")
+
+
+WEEKLY = "series_id string, week date, mode string, reason string, p1 double, p2 double, p3 double, state string, " + ", ".join(f"{q} double" for q in ("q05", "q10", "q25", "q50", "q75", "q90", "q95")) + ", er double, es20 double, p_loss double, offense double, stance string"
+#: Scores at the thresholds of an artifact.
+LEVELS = [0.0, 20.0, 40.0, 60.0, 80.0, 100.0]
+
+
+class Artifact:
+    """A training run's files, read back. What is wrong with them is a mode and a reason for every week, not an error."""
+
+    def __init__(self, files: dict[str, str]):
+        self.mode, self.reason, self.model = "NORMAL", "ok", None
+        try:
+            read = {name: json.loads(text) for name, text in files.items()}
+            if "qr_coefs.json" not in read:
+                self.mode, self.reason = "BLOCKED", "no_artifact"
+                return
+            q = read["qr_coefs.json"]
+            self.coef = np.column_stack([np.array(q["a"])[:, None], np.array(q["b"]), np.array(q["c"])])
+            self.stats, self.cuts = read["utility_zstats.json"], [read["offense_thresholds.json"][f"u_q{k:.0f}"] for k in LEVELS]
+            self.labels = read["state_label_map.json"]
+            if q["solver_status"] not in ("ok", "inaccurate"):
+                self.mode, self.reason = "BLOCKED", "quantile_solver_failed"
+            elif "hmm_model.json" not in read:
+                self.mode, self.reason = "DEGRADED", "em_nonconverge"
+            else:
+                m = read["hmm_model.json"]
+                self.model = hmm.Hmm(np.full(hmm.STATES, 1 / hmm.STATES), np.array(m["transition_coefs"]), np.array(m["emission_mean"]), np.array(m["emission_cov"]), m["log_likelihood"])
+        except (ValueError, KeyError, TypeError, IndexError):
+            self.mode, self.reason = "BLOCKED", "invalid_artifact"
+
+    def week(self, x: np.ndarray) -> tuple:
+        """mode to stance of the last row of x, the scaled features of the weeks up to it."""
+        neutral = ([0.25, 0.5, 0.25], None)
+        if self.mode == "BLOCKED":
+            return self.blank("BLOCKED", self.reason, *neutral)
+        if not np.isfinite(x[-1]).all():
+            return self.blank("BLOCKED", "missing_features", *neutral)
+        if self.mode == "DEGRADED":
+            return self.blank("DEGRADED", self.reason, *neutral)
+        x = x[np.isfinite(x).all(axis=1)]
+        if len(x) < 3:
+            return self.blank("BLOCKED", "insufficient_history", *neutral)
+        obs, h = state_inputs(x)
+        pi = hmm.posterior_path(self.model, obs, h)[-1]
+        if not np.isfinite(pi).all():
+            return self.blank("DEGRADED", "invalid_posterior", *neutral)
+        inner = np.maximum.accumulate(self.coef @ np.r_[1.0, x[-1], pi[:-1]])
+        full = full_curve(inner[None])[0]
+        values = [float(v[0]) for v in moments(full[None])]
+        z = [(v - self.stats[f"{n}_med"]) / self.stats[f"{n}_mad"] for n, v in zip(("er", "es20", "ploss"), values, strict=True)]
+        offense = float(np.interp(z[0] - 1.2 * z[1] - 0.8 * z[2], self.cuts, LEVELS))
+        stance = "DEFENSIVE" if offense <= 35 else "OFFENSIVE" if offense >= 65 else "NEUTRAL"
+        return ("NORMAL", "ok", *pi.round(6), self.labels[str(int(pi.argmax()))], *full.round(6), *(round(v, 6) for v in values), round(offense, 4), stance)
+
+    @staticmethod
+    def blank(mode: str, reason: str, pi: list[float], state: str | None) -> tuple:
+        """Blocked weeks have no distribution, degraded ones a zero one; both have the neutral score."""
+        number = 0.0 if mode == "DEGRADED" else None
+        return (mode, reason, *pi, state, *[number] * 10, 50.0, "NEUTRAL")
+
+
+def inferred(rows: DataFrame, scaled: list[str], files: DataFrame, first: DataFrame) -> DataFrame:
+    """WEEKLY of each series from its stored files (series_id, file, text): all weeks of rows (series_id, week, scaled) from
+    first (series_id, first) on, each from the LONGEST weeks up to it. A series without files is blocked."""
+    dealt = rows.join(first, "series_id").select("series_id", "week", *scaled, "first")
+
+    def infer(key: tuple, pdf: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("week").reset_index(drop=True)
+        columns = [c.split(" ")[0] for c in WEEKLY.split(", ")]
+        if pdf.empty:
+            return pd.DataFrame(columns=columns)
+        artifact = Artifact(dict(zip(files["file"], files["text"], strict=True)))
+        x = pdf[scaled].to_numpy(float)
+        asked = np.flatnonzero(pdf["week"] >= pdf["first"].iloc[0])
+        return pd.DataFrame([(key[0], pdf["week"].iloc[i], *artifact.week(x[max(0, i + 1 - LONGEST) : i + 1])) for i in asked], columns=columns)
+
+    return dealt.groupBy("series_id").cogroup(files.select("series_id", "file", "text").groupBy("series_id")).applyInPandas(infer, WEEKLY)

@@ -88,17 +88,31 @@ def training_files(spark, d, restarts: int = 50, iterations: int = 200) -> DataF
     return training.trained(rows, ZS, XS, restarts, iterations)
 
 
+def stored_files(spark, made: DataFrame) -> DataFrame:
+    """(series_id, file, read) of made (series_id, file, text), written to a folder each and read back."""
+    path = Folder(spark, "training").path()
+    made.select("series_id", "file", "text").write.partitionBy("series_id", "file").text(path)
+    return spark.read.text(path).select(F.col("series_id").cast("string").alias("series_id"), "file", F.col("value").alias("read"))
+
+
 @query()
 def training_job(spark, d):
     """The six files of each series' training run, written, read back and compared: size, digest, and whether they are the same."""
     made = materialised(spark, training_files(spark, d), "training-made")
-    path = Folder(spark, "training").path()
-    made.select("series_id", "file", "text").write.partitionBy("series_id", "file").text(path)
-    back = spark.read.text(path).select(F.col("series_id").cast("string").alias("series_id"), "file", F.col("value").alias("read"))
-    rows = made.join(back, ["series_id", "file"], "left")
+    rows = made.join(stored_files(spark, made), ["series_id", "file"], "left")
     return rows.select("series_id", "file", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), F.coalesce(F.col("text") == F.col("read"), F.lit(False)).alias("round_trip"))
 
 
+@query()
+def artifact_inference(spark, d):
+    """The weeks after each series' training rows, inferred from the stored files of its training run: states, distribution,
+    score, and modes for what is missing."""
+    files = stored_files(spark, materialised(spark, training_files(spark, d), "training-made")).withColumnRenamed("read", "text")
+    rows = materialised(spark, features_and_targets(spark, d).select("series_id", "week").join(scaled_features(spark, d), "week", "left"), "inference-rows")
+    first = rows.groupBy("series_id").agg(F.date_sub(F.max("week"), 7 * training.EMBARGO - 7).alias("first"))
+    return training.inferred(rows, ZS, files, first)
+
+
 @query(
     f"""{RAW}, guard AS ({ORACLES['missing_guard']}), o AS (SELECT w.series_id, w.week, CASE WHEN fc.week IS NULL THEN 'insufficient_history' WHEN guard.mode IS NULL THEN 'no_features' WHEN guard.mode <> 'NORMAL' THEN 'missing_inputs' ELSE 'ok' END AS reason, CASE WHEN fc.week IS NULL OR guard.mode IS NULL THEN 'BLOCKED' ELSE guard.mode END AS mode, fc.q4, raw FROM weekly w LEFT JOIN fc USING (series_id, week) LEFT JOIN s USING (series_id, week) LEFT JOIN guard ON guard.week = w.week)
 SELECT series_id, week, mode, reason, CASE WHEN mode = 'NORMAL' THEN round(q4, 6) WHEN mode = 'DEGRADED' THEN 0 END AS q50, round(CASE WHEN mode = 'NORMAL' THEN raw ELSE 50 END, 4) AS offense, CASE WHEN mode <> 'NORMAL' THEN 'NEUTRAL' WHEN raw <= 35 THEN 'DEFENSIVE' WHEN raw >= 65 THEN 'OFFENSIVE' ELSE 'NEUTRAL' END AS stance FROM o"""
