@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import Folder
@@ -44,7 +44,6 @@ def of_label(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray
 
 
 COUNTS = "label int, dim int, side int, digit int, n long"
-KNOWN = "label int, dim int, found0 long, k0 long, found1 long, k1 long"
 
 
 def counting(shift: int, later: bool):
@@ -70,42 +69,42 @@ def counting(shift: int, later: bool):
     return count
 
 
-def narrowed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The next digit of one label's and dimension's middle values. k: their places among the values still in question."""
-    out = [pdf["label"].iloc[0], pdf["dim"].iloc[0]]
-    for side in (0, 1):
-        own = pdf[pdf["side"] == side].sort_values("digit")
-        n, first = own["n"].to_numpy(), own.iloc[0]
-        total = int(n.sum())
-        k = (total - (1 - side)) // 2 if pd.isna(first[f"k{side}"]) else int(first[f"k{side}"])
-        before = 0 if pd.isna(first[f"found{side}"]) else int(first[f"found{side}"]) % (1 << 64)
-        upto = np.cumsum(n)
-        at = int(np.searchsorted(upto, k, "right"))
-        found = (before << DIGIT) | int(own["digit"].iloc[at])
-        out += [int(np.array(found, np.uint64).view(np.int64)), k - int(upto[at] - n[at])]
-    return pd.DataFrame([out], columns=["label", "dim", "found0", "k0", "found1", "k1"])
+def narrowed(counts: DataFrame) -> DataFrame:
+    """(label, dim, side, found, k) with the next digit of each middle value; k: its place among the values still in question."""
+    one = Window.partitionBy("label", "dim", "side")
+    upto = F.sum("n").over(one.orderBy("digit"))
+    middle = F.expr("(total - 1 + side) div 2")
+    rows = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(one)).withColumn("k", F.coalesce("k", middle))
+    hit = rows.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))
+    found = F.shiftleft(F.coalesce("found", F.lit(0).cast("bigint")), DIGIT).bitwiseOR(F.col("digit"))
+    return hit.select("label", "dim", "side", found.alias("found"), (F.col("k") - F.col("upto") + F.col("n")).alias("k"))
+
+
+def both_sides(known: DataFrame) -> DataFrame:
+    """(label, found0, found1): the digits found of both middle values, by dimension."""
+    side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("dim", "found")))), lambda s: s["found"]).alias(f"found{k}")
+    return known.groupBy("label").agg(side(0), side(1))
 
 
 def medians(rows: DataFrame, tmp: Folder) -> DataFrame:
     """rows (label, x: array) -> (label, centre: array): the median of each dimension, the mean of the two middle ones where
     rows are even in number."""
     known = None
-    nothing = F.lit(None).cast("long")
+    nothing = F.lit(None).cast("bigint")
     for shift in range(64 - DIGIT, -1, -DIGIT):
         dealt = rows.select("label", "x")
         if known is not None:
-            order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda s: s[c]).alias(c)
-            dealt = dealt.join(known.groupBy("label").agg(order("found0"), order("found1")), "label")
+            dealt = dealt.join(both_sides(known), "label")
         counts = dealt.mapInArrow(counting(shift, known is not None), COUNTS).groupBy("label", "dim", "side", "digit").agg(F.sum("n").alias("n"))
-        counts = counts.join(known, ["label", "dim"]) if known is not None else counts.select("*", *[nothing.alias(c) for c in ("found0", "k0", "found1", "k1")])
-        known = tmp.cut(counts.groupBy("label", "dim").applyInPandas(narrowed, KNOWN))
+        before = counts.join(known, ["label", "dim", "side"]) if known is not None else counts.withColumns({"found": nothing, "k": nothing})
+        known = tmp.cut(narrowed(before))
 
-    def value(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dim")
-        low, high = (doubles(pdf[c].to_numpy(np.int64).view(np.uint64)) for c in ("found0", "found1"))
-        return pd.DataFrame({"label": pdf["label"].iloc[:1].to_numpy(), "centre": [((low + high) / 2).tolist()]})
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            middle = [[doubles(np.asarray(r[c], np.int64).view(np.uint64)) for c in ("found0", "found1")] for _, r in pdf.iterrows()]
+            yield pd.DataFrame({"label": pdf["label"], "centre": [((low + high) / 2).tolist() for low, high in middle]})
 
-    return known.groupBy("label").applyInPandas(value, "label int, centre array<double>")
+    return both_sides(known).mapInPandas(values, "label int, centre array<double>")
 
 
 SUMS = "label int, kind int, i int, j int, s double"
