@@ -98,7 +98,7 @@ def fresh_models(macro: DataFrame, bounds: DataFrame, features: list[str], run:
     at = F.datediff("week", "first") + 7 * run.embargo
     low = F.ceil(at / step)
     high = F.least(F.floor((at + 7 * run.longest - 1) / step), F.floor(F.datediff("last", "first") / step))
-    dealt = macro.join(F.broadcast(bounds), "panel").withColumn("k", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
+    dealt = macro.join(bounds, "panel").withColumn("k", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
     dealt = dealt.withColumn("as_of", F.expr(f"date_add(first, cast(k * {step} as int))"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,8 +226,8 @@ def laws(rows: DataFrame, models: DataFrame, bounds: DataFrame, macro: list[str]
     at = F.datediff("week", "first")
     low = F.floor(at / step)
     high = F.least(F.floor((at + 7 * (run.embargo + run.longest)) / step), F.floor(F.datediff("last", "first") / step))
-    dealt = rows.join(F.broadcast(bounds), "panel").withColumn("chunk", F.explode(F.sequence(low, high)))
-    own = models.join(F.broadcast(bounds), "panel").withColumn("chunk", F.floor(F.datediff("as_of", "first") / step)).select("chunk", *COLUMNS)
+    dealt = rows.join(bounds, "panel").withColumn("chunk", F.explode(F.sequence(low, high)))
+    own = models.join(bounds, "panel").withColumn("chunk", F.floor(F.datediff("as_of", "first") / step)).select("chunk", *COLUMNS)
 
     def fit(key: tuple, pdf: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["series_id", "week"])

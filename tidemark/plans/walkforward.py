@@ -67,14 +67,18 @@ def panel_fit(pairs: DataFrame) -> DataFrame:
 
 
 def spread_fit(pairs: DataFrame) -> DataFrame:
+    """Median and four spreads of a panel's assets, their slopes pooled: each asset's own parameters, the shared ones and what
+    the joint fit has reached."""
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tidemark.models import quantreg
+        from tidemark.models import pooled
 
+        names, groups = np.unique(pdf["series_id"], return_inverse=True)
         x = pdf[["x"]].to_numpy(float)
-        theta, out = quantreg.fit_spreads(x, np.abs(x), pdf["y"].to_numpy(float))
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "theta": [theta.round(5).tolist()], "objective": round(out.objective, 6), "status": out.status})
+        law, _ = pooled.fit_spreads(groups, x, np.abs(x), pdf["y"].to_numpy(float))
+        return pd.DataFrame({"series_id": names, "own": [o.round(5).tolist() for o in law.own], "shared": [law.shared.round(5).tolist()] * len(names), "objective": round(law.objective, 6), "status": law.status})
 
-    return by_series(pairs, fit, "series_id string, theta array<double>, objective double, status string")
+    return one_group(pairs, fit, "series_id string, own array<double>, shared array<double>, objective double, status string")
 
 
 def student_fits(pairs: DataFrame) -> DataFrame:

@@ -119,6 +119,7 @@ def panel_quantile_regression(spark, d):
 
 @query()
 def panel_spread_regression(spark, d):
+    """The pooled spread law of the panel on the forecast median and its size."""
     return WF.spread_fit(pairs(spark, d))
 
 
