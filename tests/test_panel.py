@@ -190,3 +190,39 @@ def test_walk_forward_outcomes_and_policies(spark):
     assert WF.under_policy(outcomes.where("series_id <> 'C'"), late, 30, "raise").count() == 30 + 20
     with pytest.raises(ValueError):
         WF.under_policy(outcomes, first, 30, "other")
+
+
+def test_groups_of_few_rows_are_fitted_in_tasks_of_their_own(spark):
+    """Adaptive execution would merge them into one task, in which all weeks come one after another."""
+    from pyspark.sql import functions as F
+
+    run = plan.Run(embargo=4, longest=50, least=30, restarts=1, iterations=2, fresh_every=5, chain=20, laws=7)
+    schema = "panel string, series_id string, week date, z1 double, z2 double, z3 double, m1 double, m2 double, available boolean, y double"
+    rows = spark.createDataFrame(panel_rows("one", 75, 1), schema)
+    bounds = rows.groupBy("panel").agg(F.min("week").alias("first"), F.max("week").alias("last"))
+    fresh = plan.fresh_models(rows.where("series_id = 'A'"), bounds, MACRO, run).select("as_of", F.spark_partition_id().alias("task")).collect()
+    assert len({r.as_of for r in fresh}) == 8 and len({r.task for r in fresh}) > 4
+    laws = plan.backtest(rows, MACRO, MICRO, "A", run).select("week", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in laws}) > 3
+
+
+def test_the_panel_query_scans_each_table_once_a_series(spark, monkeypatch):
+    from tidemark.queries import panel as queries
+    from tidemark.sources import tables as T
+
+    class Found(Exception):
+        pass
+
+    def stop(frame, *rest):
+        raise Found
+
+    scans, table = [], T.table
+    monkeypatch.setattr(T, "table", lambda spark, d, name: scans.append(name) or table(spark, d, name))
+    monkeypatch.setattr(queries.plan, "backtest", stop)
+    with pytest.raises(Found):
+        queries.panel_backtest(spark, "/root/testdata/sf0.001")
+    assert sorted(scans) == ["lineitem", "lineitem", "orders"]
+    d = T.stored(spark, "/root/testdata/sf0.001")
+    seen = len(scans)
+    mine = queries.panel_frame(spark, d).orderBy("series_id", "week").collect()
+    assert len(scans) == seen and mine == queries.panel_frame(spark, "/root/testdata/sf0.001").orderBy("series_id", "week").collect()

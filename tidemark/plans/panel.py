@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.models import hmm, pooled
+from tidemark.plans import tasks
 from tidemark.plans.training import state_inputs
 from tidemark.sources.scratch import Folder
 
@@ -109,7 +110,7 @@ def fresh_models(macro: DataFrame, bounds: DataFrame, features: list[str], run:
         model = fresh_start(pdf[features].to_numpy(float), seeds_of(np.datetime64(as_of, "D"), run), run.iterations)
         return pd.DataFrame([packed(panel, as_of, model, "fresh", len(pdf), "failed")], columns=COLUMNS)
 
-    return dealt.select("panel", "as_of", "week", *features).groupBy("panel", "as_of").applyInPandas(fit, MODEL)
+    return tasks.dealt(dealt.select("panel", "as_of", "week", *features), "panel", "as_of").groupBy("panel", "as_of").applyInPandas(fit, MODEL)
 
 
 def advancing(features: list[str], start: np.datetime64, run: Run):
@@ -152,7 +153,7 @@ def chained(macro: DataFrame, fresh: DataFrame, bounds: DataFrame, features: lis
 
         path = tmp.path()
         known = known.toDF(*known.columns)
-        rows.groupBy("panel").cogroup(known.groupBy("panel")).applyInPandas(advancing(features, np.datetime64(start, "D"), run), MODEL).write.parquet(path)
+        tasks.dealt(rows, "panel").groupBy("panel").cogroup(tasks.dealt(known, "panel").groupBy("panel")).applyInPandas(advancing(features, np.datetime64(start, "D"), run), MODEL).write.parquet(path)
         done = spark.read.schema(MODEL).parquet(path)
         newest = done.groupBy("panel").agg(F.max_by(F.struct(*COLUMNS[1:]), "as_of").alias("m")).select("panel", "m.*")
         # a panel without a week in this chunk keeps what it had
@@ -238,7 +239,8 @@ def laws(rows: DataFrame, models: DataFrame, bounds: DataFrame, macro: list[str]
                 out.append((key[0], series, m.as_of, n, status, m.start, *p, name, dwell, hazard, *q))
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in WEEKS.split(", ")])
 
-    return dealt.groupBy("panel", "chunk").cogroup(own.groupBy("panel", "chunk")).applyInPandas(fit, WEEKS)
+    key = ["panel", "chunk"]
+    return tasks.dealt(dealt, *key).groupBy(*key).cogroup(tasks.dealt(own, *key).groupBy(*key)).applyInPandas(fit, WEEKS)
 
 
 def backtest(rows: DataFrame, macro: list[str], micro: list[str], anchor: str, run: Run) -> DataFrame:

@@ -132,7 +132,7 @@ def weekly_inference(spark, d):
 MICRO = ["m1", "m2", "m3"]
 
 
-def panel_frame(spark: SparkSession, d: str) -> DataFrame:
+def panel_frame(spark: SparkSession, d: str | T.Stored) -> DataFrame:
     """(panel, series_id, week, z1..z5, m1..m3, mode, available, y): the week's macro features, each asset's volatility
     features and 13-week forward return. Of the volatility: its logarithm, that over 4 weeks, and against the realised one;
     an asset without an index has its realised volatility in place of it. Micro features are scaled like macro ones."""
@@ -155,6 +155,7 @@ def panel_backtest(spark, d):
     The tables have 340 weeks, fewer than the 52-week horizon with 312 training weeks needs: 13 weeks ahead, 14 of embargo, 60
     training rows. Fresh starts of the state model come every 13 weeks, the warm start's chain goes on each week."""
     run = plan.Run(embargo=14, least=60, fresh_every=13)
+    d = T.stored(spark, d)
     frame = materialised(spark, panel_frame(spark, d), "panel-frame")
     q = plan.backtest(frame, ZS, MICRO, "A", run).join(frame.select("series_id", "week", F.col("mode").alias("micro_mode"), "y"), ["series_id", "week"])
     low, high = Q.extrapolated("q10", "q25", "q75", "q90")

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import Folder
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Daily series of a folder's tables, for the place of the folder in queries that need them often."""
+
+    prices: DataFrame
+    volatility: DataFrame
+    macro: DataFrame
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,25 +28,37 @@ def mean(x: str) -> Column:
     return F.sum(F.round(F.col(x) * 100).cast("bigint")).cast("double") / F.count(x).cast("double") / 100
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str | Stored) -> DataFrame:
     """Daily price of three assets."""
+    if isinstance(sf_dir, Stored):
+        return sf_dir.prices
     rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy(F.col("l_returnflag").alias("series_id"), F.to_date("l_shipdate").alias("obs_date")).agg(mean("l_extendedprice").alias("value"))
 
 
-def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+def volatility(spark: SparkSession, sf_dir: str | Stored) -> DataFrame:
     """Daily volatility index by line status; the first year of 'F' is missing."""
+    if isinstance(sf_dir, Stored):
+        return sf_dir.volatility
     rows = table(spark, sf_dir, "lineitem")
     out = rows.groupBy(F.col("l_linestatus").alias("series_id"), F.to_date("l_shipdate").alias("obs_date")).agg(mean("l_quantity").alias("value"))
     return out.where("not (series_id = 'F' and obs_date < date'1996-01-01')")
 
 
-def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+def macro(spark: SparkSession, sf_dir: str | Stored) -> DataFrame:
     """Daily level of five macro series."""
+    if isinstance(sf_dir, Stored):
+        return sf_dir.macro
     rows = table(spark, sf_dir, "orders")
     return rows.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("obs_date")).agg(mean("o_totalprice").alias("value"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Stored:
+    """The daily series, each written once from one scan of its table."""
+    tmp = Folder(spark, "daily")
+    return Stored(*(tmp.cut(f(spark, sf_dir)) for f in (prices, volatility, macro)))
+
+
 def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with the day on which they became known, and the day before they were revised."""
     from pyspark.sql import Window
