@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.models import hmm, quantreg
 from tidemark.models.pca import two_components
+from tidemark.plans import tasks
 
 EMBARGO, LONGEST, LEAST = 14, 416, 60
 #: Rank of the full curve's levels.
@@ -119,7 +120,7 @@ def trained(rows: DataFrame, scaled: list[str], raw: list[str], restarts: int =
         return pd.DataFrame([(series, s, m.loglik) for s, m in zip(own, found, strict=True) if m is not None], columns=["series_id", "seed", "loglik"])
 
     dealt = sets.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1), F.lit(together))))
-    fits = dealt.groupBy("series_id", "first").applyInPandas(starts, "series_id string, seed int, loglik double")
+    fits = tasks.dealt(dealt, "series_id", "first").groupBy("series_id", "first").applyInPandas(starts, "series_id string, seed int, loglik double")
     best = fits.groupBy("series_id").agg(F.max_by("seed", F.struct(F.round("loglik", 6), -F.col("seed"))).alias("seed"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans import tasks
+
 #: Starts of a state model that one task advances together.
 TOGETHER = 25
 
@@ -29,7 +31,7 @@ def best_hmm(returns: DataFrame, restarts: int, iterations: int) -> DataFrame:
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "start": [s for s, _ in found], "loglik": [m.loglik for _, m in found], "means": [m.means[:, 0].tolist() for _, m in found]})
 
     rows = returns.where("r is not null").select("series_id", "week", "r").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1), F.lit(TOGETHER))))
-    fits = rows.groupBy("series_id", "first").applyInPandas(fit, "series_id string, start int, loglik double, means array<double>")
+    fits = tasks.dealt(rows, "series_id", "first").groupBy("series_id", "first").applyInPandas(fit, "series_id string, start int, loglik double, means array<double>")
     best = fits.groupBy("series_id").agg(F.max_by(F.struct("start", "loglik", "means"), F.struct(F.round("loglik", 6), -F.col("start"))).alias("b"))
     order = F.array_sort(F.transform(F.col("b.means"), lambda m, i: F.struct(m.alias("m"), i.alias("i"))))
     return best.select("series_id", "b.start", F.round("b.loglik", 3).alias("loglik"), F.transform(order, lambda s: s["i"].cast("int")).alias("states_by_return"))
@@ -184,7 +186,7 @@ def run(pairs: DataFrame, embargo: int, min_train: int, every: int = 1, longest:
             out.append((key[0], pdf["week"].iloc[i], n, status, *q))
         return pd.DataFrame(out, columns=["series_id", "as_of", "n_train", "status", *NAMES])
 
-    return dealt.groupBy("series_id", "block").applyInPandas(predict_block, OUTCOMES)
+    return tasks.dealt(dealt, "series_id", "block").groupBy("series_id", "block").applyInPandas(predict_block, OUTCOMES)
 
 
 def under_policy(outcomes: DataFrame, start, min_train: int, policy: str) -> DataFrame:
@@ -259,4 +261,4 @@ def hypotheses(rows: DataFrame, features: list[str], embargo: int, min_train: in
                 out.append((key[0], pdf["week"].iloc[i], name, n, y[i], mu[0], sigma[0], *q[0]))
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in LAW_ROWS.split(", ")])
 
-    return dealt.groupBy("series_id", "block").applyInPandas(fit, LAW_ROWS)
+    return tasks.dealt(dealt, "series_id", "block").groupBy("series_id", "block").applyInPandas(fit, LAW_ROWS)
